@@ -76,17 +76,24 @@ def _lookup(points: DataFrame, asked: DataFrame, group: Sequence[str], measures:
     )
 
 
-def _ranks(points: DataFrame, probes: DataFrame, column: str, low: str, high: str) -> DataFrame:
-    """Rank of every value and band end that occurs: the count of distinct values below it."""
-    values = points.select(F.col(column).alias("_at")).distinct()
+def _ranks(values: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranks of the distinct values ``_at``, and of the distinct band ends (``_lo``, ``_hi``).
+
+    A value's rank is the count of distinct values below it; a band covers the
+    ranks ``_from`` up to, but not including, ``_to``. All tables here hold distinct
+    values of one column only.
+    """
     asked = (
         values.select("_at", F.lit(False).alias("_closed"))
-        .unionByName(probes.select(F.col(low).alias("_at"), F.lit(False).alias("_closed")))
-        .unionByName(probes.select(F.col(high).alias("_at"), F.lit(True).alias("_closed")))
+        .unionByName(ends.select(F.col("_lo").alias("_at"), F.lit(False).alias("_closed")))
+        .unionByName(ends.select(F.col("_hi").alias("_at"), F.lit(True).alias("_closed")))
         .distinct()
     )
     found = _lookup(values.withColumn("_one", F.lit(1).cast("bigint")), asked, [], ["_one"])
-    return found.select("_at", "_closed", F.col("_one_run").alias("_rank"), F.col("_one_all").alias("_size"))
+    below = found.filter(~F.col("_closed")).select("_at", F.col("_one_run").alias("_rank"), F.col("_one_all").alias("_size"))
+    upto = found.filter("_closed").select(F.col("_at").alias("_hi"), F.col("_one_run").alias("_to"))
+    spans = ends.join(below.withColumnsRenamed({"_at": "_lo", "_rank": "_from"}), "_lo").join(upto, "_hi")
+    return below, spans
 
 
 def _range_sizes(size: Column) -> Column:
@@ -96,11 +103,10 @@ def _range_sizes(size: Column) -> Column:
 
 def _enter_points(points: DataFrame, ranks: DataFrame, column: str, depth: str, node: str) -> DataFrame:
     """History side: one row per range that holds the value's rank."""
-    rank = ranks.filter(~F.col("_closed")).select(F.col("_at").alias(column), "_rank", "_size")
     shifted = F.call_function("shiftright", F.col("_rank"), F.col(depth))
     fits = F.call_function("shiftleft", shifted + 1, F.col(depth)) <= F.col("_size")
     return (
-        points.join(rank, on=column, how="inner")
+        points.join(ranks.withColumnRenamed("_at", column), on=column, how="inner")
         .withColumn(depth, F.explode(_range_sizes(F.col("_size"))))
         .withColumn(node, shifted)
         .filter(fits)
@@ -108,16 +114,13 @@ def _enter_points(points: DataFrame, ranks: DataFrame, column: str, depth: str,
     )
 
 
-def _enter_probes(probes: DataFrame, ranks: DataFrame, low: str, high: str, depth: str, node: str) -> DataFrame:
+def _enter_probes(probes: DataFrame, spans: DataFrame, low: str, high: str, depth: str, node: str) -> DataFrame:
     """Probe side: the ranges that together make up the probe's interval of ranks."""
-    start = ranks.filter(~F.col("_closed")).select(F.col("_at").alias(low), F.col("_rank").alias("_from"), "_size")
-    stop = ranks.filter("_closed").select(F.col("_at").alias(high), F.col("_rank").alias("_to"))
     first = -F.call_function("shiftright", -F.col("_from"), F.col(depth))
     last = F.call_function("shiftright", F.col("_to"), F.col(depth))
     pieces = F.array_compact(F.array(F.when(first % 2 == 1, first), F.when(last % 2 == 1, last - 1)))
     return (
-        probes.join(start, on=low, how="inner")
-        .join(stop, on=high, how="inner")
+        probes.join(spans.withColumnsRenamed({"_lo": low, "_hi": high}), on=[low, high], how="inner")
         .withColumn(depth, F.explode(_range_sizes(F.col("_size"))))
         .filter(first < last)
         .withColumn(node, F.explode(pieces))
@@ -141,32 +144,31 @@ def band_totals(
     measures = list(measures)
     key = list(key)
     columns = [b.column for b in bands]
-    points = (
-        history.select(
-            *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(m).cast("bigint").alias(m) for m in measures]
-        )
-        .dropna(subset=columns)
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+    complete = history.select(
+        *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(m).cast("bigint").alias(m) for m in measures]
+    ).dropna(subset=columns)
+    points = complete.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
     )
     totals = ["n", *measures]
     ends = {b.column: (f"_{b.column}_lo", f"_{b.column}_hi") for b in bands}
-    asked = probes.select(
+    boxes = probes.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
         *[e.cast("double").alias(name) for b in bands for e, name in zip((b.low, b.high), ends[b.column])],
     )
     for low, high in ends.values():
-        asked = asked.filter(F.col(low) <= F.col(high))
-    asked = asked.distinct()
+        boxes = boxes.filter(F.col(low) <= F.col(high))
 
     group: list[str] = []
-    entered, wanted = points, asked
+    entered, wanted = points, boxes.distinct()
     for index, band in enumerate(bands[:-1]):
         low, high = ends[band.column]
         depth, node = f"_d{index}", f"_r{index}"
-        ranks = _ranks(points, asked, band.column, low, high)
+        values = complete.select(F.col(band.column).alias("_at")).distinct()
+        ends_seen = boxes.select(F.col(low).alias("_lo"), F.col(high).alias("_hi")).distinct()
+        ranks, spans = _ranks(values, ends_seen)
         entered = _enter_points(entered, ranks, band.column, depth, node)
-        wanted = _enter_probes(wanted, ranks, low, high, depth, node)
+        wanted = _enter_probes(wanted, spans, low, high, depth, node)
         group += [depth, node]
 
     last = bands[-1].column

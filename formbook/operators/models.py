@@ -70,11 +70,12 @@ def r_squared(df: DataFrame, fit: LinearFit) -> DataFrame:
     return data.agg((1 - F.avg(miss * miss) / F.var_pop(fit.target)).alias("r2"))
 
 
-def simple_fit(df: DataFrame, target: str, regressor: str, **labels: str) -> DataFrame:
+def simple_fit(df: DataFrame, target: str, regressor: str) -> DataFrame:
     """Slope, intercept and R-squared of one regressor, in one aggregation."""
-    y, x = F.col(target).cast("double"), F.col(regressor).cast("double")
+    y, x = F.col(f"`{target}`").cast("double"), F.col(f"`{regressor}`").cast("double")
     return df.agg(
-        *[F.lit(v).alias(k) for k, v in labels.items()],
+        F.lit(target).alias("target"),
+        F.lit(regressor).alias("regressor"),
         F.regr_count(y, x).alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),

@@ -57,6 +57,8 @@ METRICS = (
     "proj_att",
     "own_rate",
     "allowed_rate",
+    "opp_any_rate",
+    "opp_allowed_rate",
     "exp_att",
     "adj_exp_att",
     "xppg",
@@ -150,7 +152,8 @@ def _side_metrics(side: str, other: str) -> dict[str, Column]:
         return F.col(f"{whose}_{name}")
 
     att_rate = safe_ratio(c("fg_att"), c("games"))
-    proj_att = (safe_ratio(c("allowed_att_any", other), c("games", other)) + att_rate) / 2
+    any_conceded = safe_ratio(c("allowed_att_any", other), c("games", other))
+    proj_att = (any_conceded + att_rate) / 2
     own = safe_ratio(c("own_att"), c("games"))
     conceded = safe_ratio(c("allowed_att", other), c("games", other))
     exp_att = (own + conceded) / 2
@@ -162,6 +165,8 @@ def _side_metrics(side: str, other: str) -> dict[str, Column]:
         "proj_att": proj_att,
         "own_rate": own,
         "allowed_rate": safe_ratio(c("allowed_att"), c("games")),
+        "opp_any_rate": any_conceded,
+        "opp_allowed_rate": conceded,
         "exp_att": exp_att,
         "adj_exp_att": adj_exp_att,
         "xppg": xppg,

@@ -83,8 +83,8 @@ def period_count(sides: DataFrame) -> DataFrame:
     return sides.select("season", "week").distinct().agg(F.count(F.lit(1)).alias("periods"))
 
 
-def _periods(sides: DataFrame) -> Column:
-    """The same number as a scalar: one row by construction, whatever the input."""
+def period_scalar(sides: DataFrame) -> Column:
+    """The same number as a scalar subquery: one row by construction, whatever the input."""
     return period_count(sides).scalar()
 
 
@@ -109,7 +109,7 @@ def threshold_report(
     rows = board.select(
         "game_id", "side", "team", F.col(board_expectation).alias("threshold"), F.col(board_pct).alias("pct_threshold")
     ).join(found, ["threshold", "pct_threshold"], "left")
-    return verdict(rows, _periods(sides))
+    return verdict(rows, period_scalar(sides))
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def threshold_sweep(
     found = band_totals(history, tries, key, bands, OUTCOME_COUNTS).withColumnsRenamed({k: f"_{k}" for k in key})
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
     joined = tries.join(found, match, "left").drop(*[f"_{k}" for k in key])
-    return verdict(joined, _periods(sides), F.col("o_u"))
+    return verdict(joined, period_scalar(sides), F.col("o_u"))
 
 
 def threshold_single(
@@ -158,7 +158,7 @@ def threshold_single(
         F.count_if(inside).alias("n"),
         *[F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(c) for c in OUTCOME_COUNTS],
     ).select(F.lit(float(threshold)).alias("threshold"), F.lit(flag).alias("o_u"), "*")
-    return verdict(counts, _periods(sides), F.col("o_u"))
+    return verdict(counts, period_scalar(sides), F.col("o_u"))
 
 
 def points_threshold(
@@ -225,6 +225,7 @@ __all__ = [
     "low_accuracy_cut",
     "outcome_history",
     "period_count",
+    "period_scalar",
     "points_threshold",
     "threshold_report",
     "threshold_single",

@@ -144,7 +144,7 @@ def all_weekly(spark: SparkSession, folder: str, seasons: Sequence[int] | range
 
     rows = stack_sides(
         games,
-        ["season", "week", "player_id", "position"],
+        ["game_id", "season", "week", "player_id", "position"],
         {
             "recent_team": ("home_team", "away_team"),
             **{name: (value("home", name), value("away", name)) for name in counts},
