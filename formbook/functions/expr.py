@@ -11,8 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnLike = Column | str
-
 # The usual market line on made kicks, points per made kick used
 # in the expectation, the two blend weights and the fitted points model.
 OVER_LINE = 1.5
@@ -39,29 +37,28 @@ BUCKET_POINTS = {
 FLAT_POINTS = 3
 
 
-def _col(value: ColumnLike) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
+def ratio_sql(numerator: str, denominator: str) -> str:
+    """SQL text of :func:`safe_ratio`, for use inside larger expressions."""
+    den = f"CAST({denominator} AS DOUBLE)"
+    # try_divide: a shared sub-expression may be evaluated ahead of the CASE that guards it.
+    return f"(CASE WHEN {den} = 0 THEN 0D ELSE try_divide(CAST({numerator} AS DOUBLE), {den}) END)"
 
-def safe_ratio(numerator: ColumnLike, denominator: ColumnLike) -> Column:
-    """``numerator / denominator``; 0 when the denominator is 0, NULL when it is NULL."""
-    den = _col(denominator).cast("double")
-    return F.when(den == 0, F.lit(0.0)).otherwise(_col(numerator).cast("double") / den)
 
+def safe_ratio(numerator: str, denominator: str) -> Column:
+    """``numerator / denominator``; 0 when the denominator is 0, NULL when it is NULL.
 
-def over_line(made: ColumnLike, line: float = OVER_LINE) -> Column:
-    """+1 above the line, -1 at or below it, NULL while the outcome is unknown."""
-    made = _col(made)
-    return F.when(made > line, F.lit(1)).when(made <= line, F.lit(-1))
+    Arguments are column names or SQL expressions.
+    """
+    return F.expr(ratio_sql(numerator, denominator))
 
 
-def outcome_flag(text: ColumnLike, success: str = "made") -> Column:
-    """1 when the text names a success, else 0 (also for NULL)."""
-    return F.when(_col(text) == success, F.lit(1)).otherwise(F.lit(0))
+def over_line_sql(made: str, line: float = OVER_LINE) -> str:
+    return f"(CASE WHEN {made} > {line}D THEN 1 WHEN {made} <= {line}D THEN -1 END)"
 
 
-def or_zero(value: ColumnLike) -> Column:
-    return F.coalesce(_col(value), F.lit(0))
+def over_line(made: str, line: float = OVER_LINE) -> Column:
+    """+1 above the line, -1 at or below it, NULL while the outcome is unknown."""
+    return F.expr(over_line_sql(made, line))
 
 
 def bucket_points(available: Sequence[str], extra: str = "pat_made", made: str = "fg_made") -> Column:
@@ -71,56 +68,44 @@ def bucket_points(available: Sequence[str], extra: str = "pat_made", made: str =
     otherwise every made kick counts the same.
     """
     if set(BUCKET_POINTS) <= set(available):
-        total = or_zero(extra)
-        for name, value in BUCKET_POINTS.items():
-            total = total + or_zero(name) * value
-        return total
-    return or_zero(extra) + or_zero(made) * FLAT_POINTS
+        worth = BUCKET_POINTS
+    else:
+        worth = {made: FLAT_POINTS}
+    terms = [f"coalesce({name}, 0) * {value}" for name, value in worth.items()]
+    return F.expr(" + ".join([f"coalesce({extra}, 0)", *terms]))
 
 
-def distance_list_points(text: ColumnLike, max_kicks: int | None = None) -> Column:
+def distance_list_points(text: str, max_kicks: int | None = None) -> Column:
     """Points of a ``;``-separated list of made distances, without extra points.
 
     The tens digit decides: below 40 yards 3, from 40 to 49 4, from 50 on 5.
     Text that is not a number adds nothing. ``max_kicks=8`` counts only the
     first eight entries, as a fixed eight-column split would.
     """
-    parts = F.split(_col(text), ";")
+    parts = f"split({text}, ';')"
     if max_kicks is not None:
-        parts = F.slice(parts, 1, max_kicks)
-
-    def value(part: Column) -> Column:
-        tens = part.substr(F.lit(1), F.length(part) - 1).try_cast("int")
-        return (
-            F.when(tens.isNull(), F.lit(0))
-            .when(tens.isin(1, 2), F.lit(3))
-            .when(tens >= 6, F.lit(5))
-            .otherwise(tens)
-        )
+        parts = f"slice({parts}, 1, {int(max_kicks)})"
+    tens = f"transform({parts}, kick -> try_cast(left(kick, length(kick) - 1) AS INT))"
+    worth = "CASE WHEN tens IN (1, 2) THEN 3 WHEN tens >= 6 THEN 5 ELSE coalesce(tens, 0) END"
+    return F.expr(f"coalesce(aggregate({tens}, 0, (total, tens) -> total + {worth}), 0)")
 
-    points = F.aggregate(parts, F.lit(0), lambda acc, part: acc + value(part))
-    return F.coalesce(points, F.lit(0))
 
-
-def linear_score(coefficients: Mapping[str, float], columns: Mapping[str, ColumnLike] | None = None) -> Column:
+def linear_score_sql(coefficients: Mapping[str, float], columns: Mapping[str, str] | None = None) -> str:
     """Intercept plus weighted terms; ``a:b`` is the product of two terms."""
     columns = columns or {}
-
-    def term(name: str) -> Column:
-        return _col(columns.get(name, name))
-
-    score = F.lit(float(coefficients.get("intercept", 0.0)))
+    score = f"{float(coefficients.get('intercept', 0.0))!r}D"
     for name, weight in coefficients.items():
         if name == "intercept":
             continue
-        product = F.lit(float(weight))
-        for factor in name.split(":"):
-            product = product * term(factor)
-        score = score + product
-    return score
+        factors = "".join(f" * {columns.get(f, f)}" for f in name.split(":"))
+        score += f" + {float(weight)!r}D{factors}"
+    return f"({score})"
+
+
+def linear_score(coefficients: Mapping[str, float], columns: Mapping[str, str] | None = None) -> Column:
+    return F.expr(linear_score_sql(coefficients, columns))
 
 
-def relative_band(value: ColumnLike, threshold: ColumnLike, low: float, high: float) -> Column:
-    """``threshold*low <= value <= threshold*high`` with both ends included."""
-    threshold = _col(threshold)
-    return _col(value).between(threshold * low, threshold * high)
+def relative_band(value: str, threshold: float, spread: float) -> Column:
+    """Within ``spread`` of the threshold on either side, both ends included."""
+    return F.col(value).between(threshold * round(1 - spread, 12), threshold * round(1 + spread, 12))

@@ -29,14 +29,15 @@ def jarque_bera_signs(n: Column, hits: Column, misses: Column) -> Column:
     0 or 1, so counts carry all four moments and stay exact however many rows
     were added up, in whatever order.
     """
+    # try_divide throughout: common sub-expressions may be computed before the guard below.
     size = n.cast("double")
-    mean = (hits - misses) / size
-    even = (hits + misses) / size
+    mean = F.try_divide(hits - misses, size)
+    even = F.try_divide(hits + misses, size)
     var = even - mean * mean
     third = mean - 3 * mean * even + 2 * mean * mean * mean
     fourth = even - 4 * mean * mean + 6 * mean * mean * even - 3 * mean * mean * mean * mean
-    skew2 = third * third / (var * var * var)
-    excess = fourth / (var * var) - 3
+    skew2 = F.try_divide(third * third, var * var * var)
+    excess = F.try_divide(fourth, var * var) - 3
     return F.when((n > 0) & (var > 0), size / 6 * (skew2 + excess * excess / 4))
 
 
@@ -47,10 +48,9 @@ def chi2_2df_tail(statistic: Column) -> Column:
 
 def hit_rate_doubled(n: Column, profit: Column) -> Column:
     """0.5 + profit/n: the published figure, which counts the edge twice."""
-    return F.when(n > 0, (n / F.lit(2.0) + profit) / n)
+    return F.try_divide(n / F.lit(2.0) + profit, n.cast("double"))
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:
     """Share of hits among decided rows."""
-    decided = hits + misses
-    return F.when(decided > 0, hits / decided.cast("double"))
+    return F.try_divide(hits.cast("double"), (hits + misses).cast("double"))

@@ -16,115 +16,119 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.cumulative import running_totals
+from formbook.operators.durable import written
+from formbook.operators.sides import stack_rows
 
 HIGHEST = 1.7e308
 
 
 @dataclass(frozen=True)
 class Band:
-    """One dimension of the box: a history column and the probe's two inclusive ends."""
+    """One dimension of the box: a history column and the probe's two inclusive ends (SQL)."""
 
     column: str
-    low: Column
-    high: Column
+    low: str
+    high: str
 
 
-def around(column: str, threshold: Column | str, spread: float) -> Band:
+def around(column: str, threshold: str, spread: float) -> Band:
     """``threshold`` plus or minus a relative ``spread``."""
-    threshold = F.col(threshold) if isinstance(threshold, str) else threshold
-    threshold = threshold.cast("double")
-    return Band(column, threshold * round(1 - spread, 12), threshold * round(1 + spread, 12))
+    value = f"CAST({threshold} AS DOUBLE)"
+    return Band(column, f"{value} * {round(1 - spread, 12)}D", f"{value} * {round(1 + spread, 12)}D")
 
 
-def anything(column: str) -> Band:
-    return Band(column, F.lit(-HIGHEST), F.lit(HIGHEST))
-
-
-def at_most(column: str, limit: Column) -> Band:
-    return Band(column, F.lit(-HIGHEST), limit)
+def _both_ends(df: DataFrame, low: str, high: str, keep: Sequence[str] = ()) -> DataFrame:
+    return stack_rows(df, list(keep), {"_at": (low, high), "_closed": ("false", "true")})
 
 
 def _lookup(points: DataFrame, asked: DataFrame, group: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Totals of ``points`` below each asked ``_at`` (``_closed``: up to and including it)."""
     group = list(group)
-    extra = [c for c in asked.columns if c not in {*group, "_at", "_closed"}]
-    types = {f.name: f.dataType for f in asked.schema}
-    stacked = points.select(
+    extra = [f for f in asked.schema if f.name not in {*group, "_at", "_closed"}]
+    stacked = points.selectExpr(
         *group,
         "_at",
-        F.lit(1).alias("_tie"),
+        "1 AS _tie",
         *measures,
-        *[F.lit(None).cast(types[c]).alias(c) for c in extra],
+        *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in extra],
     ).unionByName(
-        asked.select(
+        asked.selectExpr(
             *group,
             "_at",
-            F.when(F.col("_closed"), F.lit(2)).otherwise(F.lit(0)).alias("_tie"),
-            *[F.lit(0).cast("bigint").alias(m) for m in measures],
-            *extra,
+            "CASE WHEN _closed THEN 2 ELSE 0 END AS _tie",
+            *[f"0L AS {m}" for m in measures],
+            *[f.name for f in extra],
         )
     )
+    # The stacked rows are read twice below: once for the sums inside a block, once for
+    # the sums of blocks.
     return (
-        running_totals(stacked, "_at", measures, group, tie="_tie")
-        .filter(F.col("_tie") != 1)
-        .withColumn("_closed", F.col("_tie") == 2)
-        .drop("_tie", *measures)
+        running_totals(written(stacked), "_at", measures, group, tie="_tie")
+        .filter("_tie != 1")
+        .selectExpr(
+            *group,
+            "_at",
+            "_tie = 2 AS _closed",
+            *[f.name for f in extra],
+            *[f"{m}_{part}" for m in measures for part in ("run", "all")],
+        )
     )
 
 
-def _ranks(values: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ranks of the distinct values ``_at``, and of the distinct band ends (``_lo``, ``_hi``).
+def _ranks(values: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rank of every distinct value and band end ``_at``: the count of distinct values below it.
 
-    A value's rank is the count of distinct values below it; a band covers the
-    ranks ``_from`` up to, but not including, ``_to``. All tables here hold distinct
-    values of one column only.
+    For an upper end (``_closed``) the values equal to it count as well. The table
+    holds distinct values of one column only and is written out, so the joins
+    with it know its size: broadcast when small, shuffled otherwise.
     """
     asked = (
-        values.select("_at", F.lit(False).alias("_closed"))
-        .unionByName(ends.select(F.col("_lo").alias("_at"), F.lit(False).alias("_closed")))
-        .unionByName(ends.select(F.col("_hi").alias("_at"), F.lit(True).alias("_closed")))
+        values.selectExpr("_at", "false AS _closed")
+        .unionByName(_both_ends(ends, "_lo", "_hi"))
         .distinct()
     )
-    found = _lookup(values.withColumn("_one", F.lit(1).cast("bigint")), asked, [], ["_one"])
-    below = found.filter(~F.col("_closed")).select("_at", F.col("_one_run").alias("_rank"), F.col("_one_all").alias("_size"))
-    upto = found.filter("_closed").select(F.col("_at").alias("_hi"), F.col("_one_run").alias("_to"))
-    spans = ends.join(below.withColumnsRenamed({"_at": "_lo", "_rank": "_from"}), "_lo").join(upto, "_hi")
-    return below, spans
+    found = _lookup(values.selectExpr("_at", "1L AS _one"), asked, [], ["_one"])
+    return written(found.selectExpr("_at", "_closed", "_one_run AS _rank", "_one_all AS _size"))
 
 
-def _range_sizes(size: Column) -> Column:
-    """Exponents 0, 1, 2 ... of the range sizes that can fit into ``size`` ranks."""
-    return F.sequence(F.lit(0), F.length(F.bin(size)) - 1)
+# Exponents 0, 1, 2 ... of the range sizes that can fit into all ranks.
+_DEPTHS = "explode(sequence(0, length(bin(_size)) - 1))"
 
 
 def _enter_points(points: DataFrame, ranks: DataFrame, column: str, depth: str, node: str) -> DataFrame:
     """History side: one row per range that holds the value's rank."""
-    shifted = F.call_function("shiftright", F.col("_rank"), F.col(depth))
-    fits = F.call_function("shiftleft", shifted + 1, F.col(depth)) <= F.col("_size")
+    kept = [c for c in points.columns if c != column]
+    ranked = points.join(ranks.filter("NOT _closed").withColumnRenamed("_at", column), column)
     return (
-        points.join(ranks.withColumnRenamed("_at", column), on=column, how="inner")
-        .withColumn(depth, F.explode(_range_sizes(F.col("_size"))))
-        .withColumn(node, shifted)
-        .filter(fits)
-        .drop("_rank", "_size", column)
+        ranked.selectExpr(*kept, "_rank", "_size", f"{_DEPTHS} AS {depth}")
+        .selectExpr(*kept, depth, f"shiftright(_rank, {depth}) AS {node}", "_size")
+        .filter(f"shiftleft({node} + 1, {depth}) <= _size")
+        .drop("_size")
     )
 
 
-def _enter_probes(probes: DataFrame, spans: DataFrame, low: str, high: str, depth: str, node: str) -> DataFrame:
+def _enter_probes(probes: DataFrame, ranks: DataFrame, low: str, high: str, depth: str, node: str) -> DataFrame:
     """Probe side: the ranges that together make up the probe's interval of ranks."""
-    first = -F.call_function("shiftright", -F.col("_from"), F.col(depth))
-    last = F.call_function("shiftright", F.col("_to"), F.col(depth))
-    pieces = F.array_compact(F.array(F.when(first % 2 == 1, first), F.when(last % 2 == 1, last - 1)))
+    kept = [c for c in probes.columns if c not in (low, high)]
+    start = ranks.filter("NOT _closed").selectExpr(f"_at AS {low}", "_rank AS _from", "_size")
+    stop = ranks.filter("_closed").selectExpr(f"_at AS {high}", "_rank AS _to")
     return (
-        probes.join(spans.withColumnsRenamed({"_lo": low, "_hi": high}), on=[low, high], how="inner")
-        .withColumn(depth, F.explode(_range_sizes(F.col("_size"))))
-        .filter(first < last)
-        .withColumn(node, F.explode(pieces))
-        .drop("_from", "_to", "_size", low, high)
+        probes.join(start, low)
+        .join(stop, high)
+        .selectExpr(*kept, "_from", "_to", f"{_DEPTHS} AS {depth}")
+        .selectExpr(*kept, depth, f"-shiftright(-_from, {depth}) AS _first", f"shiftright(_to, {depth}) AS _last")
+        .filter("_first < _last")
+        .selectExpr(
+            *kept,
+            depth,
+            "explode(array_compact(array("
+            "CASE WHEN _first % 2 = 1 THEN _first END, CASE WHEN _last % 2 = 1 THEN _last - 1 END))) AS "
+            f"{node}",
+        )
     )
 
 
@@ -139,57 +143,45 @@ def band_totals(
 
     Adds the count ``n`` and the total of every measure. ``key`` must determine
     the bands. Measures are integers, so totals and their differences are exact.
-    A NULL in a band column or a band end matches nothing.
+    A NULL in a band column or a band end matches nothing. Both inputs
+    are read more than once: pass written tables or cheap plans.
     """
     measures = list(measures)
-    key = list(key)
     columns = [b.column for b in bands]
-    complete = history.select(
-        *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(m).cast("bigint").alias(m) for m in measures]
-    ).dropna(subset=columns)
-    points = complete.groupBy(*columns).agg(
-        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures]
-    )
     totals = ["n", *measures]
     ends = {b.column: (f"_{b.column}_lo", f"_{b.column}_hi") for b in bands}
-    boxes = probes.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-        *[e.cast("double").alias(name) for b in bands for e, name in zip((b.low, b.high), ends[b.column])],
-    )
-    for low, high in ends.values():
-        boxes = boxes.filter(F.col(low) <= F.col(high))
+    keys = [f"_k{i}" for i in range(len(key))]
 
+    complete = history.selectExpr(
+        *[f"CAST({c} AS DOUBLE) AS {c}" for c in columns], *[f"CAST({m} AS BIGINT) AS {m}" for m in measures]
+    ).dropna(subset=columns)
+    boxes = probes.selectExpr(
+        *[f"{k} AS {alias}" for k, alias in zip(key, keys)],
+        *[f"CAST({sql} AS DOUBLE) AS {name}" for b in bands for sql, name in zip((b.low, b.high), ends[b.column])],
+    ).filter(" AND ".join(f"{low} <= {high}" for low, high in ends.values()))
+
+    # Copies are folded first: a box or a point shared by many rows travels once.
+    entered = complete.groupBy(*columns).agg(
+        F.expr("count(1) AS n"), *[F.expr(f"coalesce(sum({m}), 0L) AS {m}") for m in measures]
+    )
+    wanted = boxes.distinct()
     group: list[str] = []
-    entered, wanted = points, boxes.distinct()
     for index, band in enumerate(bands[:-1]):
         low, high = ends[band.column]
         depth, node = f"_d{index}", f"_r{index}"
-        values = complete.select(F.col(band.column).alias("_at")).distinct()
-        ends_seen = boxes.select(F.col(low).alias("_lo"), F.col(high).alias("_hi")).distinct()
-        ranks, spans = _ranks(values, ends_seen)
+        values = complete.selectExpr(f"{band.column} AS _at").distinct()
+        ranks = _ranks(values, boxes.selectExpr(f"{low} AS _lo", f"{high} AS _hi").distinct())
         entered = _enter_points(entered, ranks, band.column, depth, node)
-        wanted = _enter_probes(wanted, spans, low, high, depth, node)
+        wanted = _enter_probes(wanted, ranks, low, high, depth, node)
         group += [depth, node]
 
     last = bands[-1].column
     low, high = ends[last]
-    entered = entered.groupBy(*group, F.col(last).alias("_at")).agg(*[F.sum(t).alias(t) for t in totals])
-    keys = [f"_k{i}" for i in range(len(key))]
-    both_ends = F.inline(
-        F.array(
-            F.struct(F.col(low).alias("_at"), F.lit(False).alias("_closed")),
-            F.struct(F.col(high).alias("_at"), F.lit(True).alias("_closed")),
-        )
-    )
-    found = _lookup(entered, wanted.select(*keys, *group, both_ends), group, totals)
-
-    def signed(name: str) -> Column:
-        run = F.col(f"{name}_run")
-        return F.sum(F.when(F.col("_closed"), run).otherwise(-run)).alias(name)
-
+    entered = entered.groupBy(*group, F.col(last).alias("_at")).agg(*[F.expr(f"sum({t}) AS {t}") for t in totals])
+    found = _lookup(entered, _both_ends(wanted, low, high, [*keys, *group]), group, totals)
     return (
         found.groupBy(*keys)
-        .agg(*[signed(t) for t in totals])
-        .filter(F.col("n") > 0)
+        .agg(*[F.expr(f"sum(CASE WHEN _closed THEN {t}_run ELSE -{t}_run END) AS {t}") for t in totals])
+        .filter("n > 0")
         .withColumnsRenamed(dict(zip(keys, key)))
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # One block spans a factor of e**(1/256), about 0.4 %. The exponent range of a
@@ -20,10 +20,10 @@ BLOCKS_PER_E = 256
 _BLOCK_SHIFT = 200_000
 
 
-def value_block(value: Column) -> Column:
-    """Block number of a double: never decreases as the value grows."""
-    magnitude = F.floor(F.log(F.abs(value)) * BLOCKS_PER_E) + _BLOCK_SHIFT
-    return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("int")
+def value_block(value: str) -> str:
+    """SQL of the block number of a double: never decreases as the value grows."""
+    magnitude = f"CAST(floor(ln(abs({value})) * {BLOCKS_PER_E}) AS INT) + {_BLOCK_SHIFT}"
+    return f"CASE WHEN {value} > 0 THEN {magnitude} WHEN {value} < 0 THEN -({magnitude}) ELSE 0 END"
 
 
 def running_totals(
@@ -35,30 +35,32 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<m>_run`` (total up to and including the row) and ``<m>_all`` (group total).
 
-    Rows are ordered by ``value`` then ``tie`` within ``group``. The second
-    window below runs over block totals only, at most a few thousand rows.
+    Rows are ordered by ``value`` then ``tie`` within ``group``. Only the first window
+    sees rows, a block at a time; the others run over block totals, at most a few
+    thousand per group. ``df`` is evaluated twice.
     """
     group = list(group)
-    keyed = df.withColumn("_block", value_block(F.col(value).cast("double")))
-    order = [value] if tie is None else [value, tie]
-    within = (
-        Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    below = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*group)
+    block = [*group, "_block"]
+    keyed = df.selectExpr("*", f"{value_block(f'CAST({value} AS DOUBLE)')} AS _block")
+    order = value if tie is None else f"{value}, {tie}"
+    whole = f"PARTITION BY {', '.join(group)}" if group else ""
+    within = f"PARTITION BY {', '.join(block)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    below = f"{whole} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     blocks = (
-        keyed.groupBy(*group, "_block")
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .select(
-            *group,
-            "_block",
-            *[F.coalesce(F.sum(m).over(below), F.lit(0)).alias(f"_{m}_below") for m in measures],
-            *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
+        keyed.groupBy(*block)
+        .agg(*[F.expr(f"sum({m}) AS _{m}") for m in measures])
+        .selectExpr(
+            *block,
+            *[f"coalesce(sum(_{m}) OVER ({below}), 0) AS _{m}_below" for m in measures],
+            *[f"sum(_{m}) OVER ({whole}) AS {m}_all" for m in measures],
         )
     )
     return (
-        keyed.withColumns({f"{m}_run": F.sum(m).over(within) for m in measures})
-        .join(blocks, on=[*group, "_block"], how="inner")
-        .withColumns({f"{m}_run": F.col(f"{m}_run") + F.col(f"_{m}_below") for m in measures})
-        .drop("_block", *[f"_{m}_below" for m in measures])
+        keyed.selectExpr("*", *[f"sum({m}) OVER ({within}) AS _{m}_within" for m in measures])
+        .join(blocks, on=block, how="inner")
+        .selectExpr(
+            *df.columns,
+            *[f"_{m}_within + _{m}_below AS {m}_run" for m in measures],
+            *[f"{m}_all" for m in measures],
+        )
     )

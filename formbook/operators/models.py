@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +19,14 @@ class LinearFit:
     target: str
     intercept: float
     weights: dict[str, float]
-    zero_fill: bool
+    r2: float
+    n: int
+    zero_fill: bool = False
 
     def score(self) -> Column:
         """The prediction as an expression, so scoring stays inside the scan's own stage."""
         plain = {c for term in self.weights for c in term.split(":")}
-        columns = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if self.zero_fill else F.col(c) for c in plain}
+        columns = {c: f"coalesce({c}, 0D)" for c in plain} if self.zero_fill else None
         return linear_score({"intercept": self.intercept, **self.weights}, columns)
 
     def table(self, df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -35,39 +36,34 @@ class LinearFit:
         return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
 
 
-def _prepared(df: DataFrame, target: str, terms: Sequence[str], zero_fill: bool) -> DataFrame:
-    plain = sorted({c for term in terms for c in term.split(":")})
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*plain, target])])
-    return data.fillna(0.0) if zero_fill else data.dropna()
-
-
 def fit_linear(df: DataFrame, target: str, terms: Sequence[str], zero_fill: bool = False) -> LinearFit:
-    """Ordinary least squares by normal equations: one pass, a k-by-k matrix to the driver.
+    """Ordinary least squares from the covariances of terms and target.
 
-    Rows with a NULL are left out, or their NULLs read as 0 with ``zero_fill``.
+    One aggregation over the data returns one row of moments; only the k-by-k system is
+    solved on the driver. Rows with a NULL are left out, or their NULLs read as 0
+    with ``zero_fill``.
     """
-    data = _prepared(df, target, terms, zero_fill)
-    products = []
-    for i, term in enumerate(terms):
-        value = F.lit(1.0)
-        for factor in term.split(":"):
-            value = value * F.col(factor)
-        products.append(value.alias(f"_x{i}"))
-    features = data.select(*products, F.col(target).alias("_y"))
-    names = [f"_x{i}" for i in range(len(terms))]
-    assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(features)
-    model = LinearRegression(
-        featuresCol="_features", labelCol="_y", solver="normal", regParam=0.0, standardization=False
-    ).fit(assembled)
-    weights = dict(zip(terms, map(float, model.coefficients)))
-    return LinearFit(target, float(model.intercept), weights, zero_fill)
-
-
-def r_squared(df: DataFrame, fit: LinearFit) -> DataFrame:
-    """Share of the target's variance the fit explains, over the rows it was fitted on."""
-    data = _prepared(df, fit.target, list(fit.weights), fit.zero_fill)
-    miss = F.col(fit.target) - fit.score()
-    return data.agg((1 - F.avg(miss * miss) / F.var_pop(fit.target)).alias("r2"))
+    plain = sorted({c for term in terms for c in term.split(":")})
+    data = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" for c in dict.fromkeys([*plain, target])])
+    data = data.fillna(0.0) if zero_fill else data.dropna()
+    sql = [" * ".join(term.split(":")) for term in terms] + [target]
+    k = len(terms)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    moments = data.agg(
+        F.expr("count(1) AS n"),
+        *[F.expr(f"avg({x}) AS m{i}") for i, x in enumerate(sql)],
+        *[F.expr(f"covar_pop({sql[i]}, {sql[j]}) AS c{i}_{j}") for i, j in pairs],
+    ).first()
+    if not moments["n"]:
+        raise ValueError("no complete row to fit")
+    cov = np.zeros((k + 1, k + 1))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = moments[f"c{i}_{j}"]
+    means = np.array([moments[f"m{i}"] for i in range(k + 1)])
+    weights = np.linalg.lstsq(cov[:k, :k], cov[:k, k], rcond=None)[0]
+    r2 = float(weights @ cov[:k, k] / cov[k, k]) if cov[k, k] > 0 else 1.0
+    intercept = float(means[k] - weights @ means[:k])
+    return LinearFit(target, intercept, dict(zip(terms, map(float, weights))), r2, int(moments["n"]), zero_fill)
 
 
 def simple_fit(df: DataFrame, target: str, regressor: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.functions.expr import outcome_flag
 from formbook.operators.rolling import trailing_on_spine
+from formbook.operators.sides import stack_rows
+
+# Fixed value: text of a successful attempt.
+SUCCESS = "made"
 
 ROLE_MEASURES = ("own_att", "own_made", "allowed_att", "allowed_made")
 
@@ -24,19 +27,20 @@ def role_rows(plays: DataFrame) -> DataFrame:
     Own and allowed counts are separate columns of one table, so a single
     aggregation by team serves both roles.
     """
-    made = outcome_flag("field_goal_result").cast("bigint")
-    tried = F.col("field_goal_attempt").cast("bigint")
-    nothing = F.lit(None).cast("bigint")
-
-    def role(team: str, own: bool) -> Column:
-        pair = (tried, made)
-        empty = (nothing, nothing)
-        cells = (pair + empty) if own else (empty + pair)
-        return F.struct(F.col(team).alias("team"), *[c.alias(n) for c, n in zip(cells, ROLE_MEASURES)])
-
-    both = F.array(role("posteam", True), role("defteam", False))
-    keep = [c for c in ("season", "week", "down") if c in plays.columns]
-    return plays.select(*keep, F.inline(both)).filter(F.col("team").isNotNull())
+    tried = "CAST(field_goal_attempt AS BIGINT)"
+    made = f"CASE WHEN field_goal_result = '{SUCCESS}' THEN 1L ELSE 0L END"
+    nothing = "CAST(NULL AS BIGINT)"
+    return stack_rows(
+        plays,
+        [c for c in ("season", "week", "down") if c in plays.columns],
+        {
+            "team": ("posteam", "defteam"),
+            "own_att": (tried, nothing),
+            "own_made": (made, nothing),
+            "allowed_att": (nothing, tried),
+            "allowed_made": (nothing, made),
+        },
+    ).filter("team IS NOT NULL")
 
 
 def attempts_by_role(plays: DataFrame, down: int | None = None) -> DataFrame:

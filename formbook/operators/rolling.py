@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.relational import group_sums, stack_tables
@@ -27,8 +27,9 @@ def trailing_sums(
     events an entity has. The frame is by period value, not by row: gaps stay gaps. An
     empty frame gives NULL.
     """
-    frame = Window.partitionBy(season, entity).orderBy(period).rangeBetween(-width, -1)
-    return df.withColumns({f"{m}{suffix}": F.sum(m).over(frame) for m in measures})
+    frame = f"PARTITION BY {season}, {entity} ORDER BY {period} RANGE BETWEEN {int(width)} PRECEDING AND 1 PRECEDING"
+    kept = [c for c in df.columns if suffix or c not in measures]
+    return df.selectExpr(*kept, *[f"sum({m}) OVER ({frame}) AS {m}{suffix}" for m in measures])
 
 
 def period_spine(
@@ -61,7 +62,7 @@ def trailing_on_spine(
     dense = (
         stack_tables([facts.filter(F.col("week") <= last), spine])
         .groupBy(*keys)
-        .agg(*[F.sum(m).alias(m) for m in measures])
+        .agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
     )
     rolled = trailing_sums(dense, measures, width).filter(F.col("week").between(first, last))
     if not keep_empty:

@@ -4,35 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOME, AWAY = "home", "away"
 SIDES = (HOME, AWAY)
 
 
-def stack_sides(
-    games: DataFrame,
-    keep: Sequence[str],
-    values: Mapping[str, tuple[str | Column, str | Column]],
-) -> DataFrame:
-    """Two rows per game in one pass over it.
+def stack_rows(df: DataFrame, keep: Sequence[str], values: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Several rows out of each input row, in one pass over it.
 
-    ``values`` maps an output column to its (home, away) sources. Both structs
-    are built from the same input row, so the games are read and computed once,
-    which a union of two projections would not do.
+    ``values`` maps an output column to its source in each of the rows: names or SQL
+    expressions. All structs are built from the same input row, so the input is read
+    and computed once, which a union of projections would not do.
     """
+    height = max(len(sources) for sources in values.values())
+    rows = [
+        "named_struct(" + ", ".join(f"'{name}', {sources[i]}" for name, sources in values.items()) + ")"
+        for i in range(height)
+    ]
+    return df.selectExpr(*keep, f"inline(array({', '.join(rows)}))")
 
-    def as_col(value: str | Column) -> Column:
-        return F.col(value) if isinstance(value, str) else value
-
-    def side(index: int) -> Column:
-        return F.struct(
-            F.lit(SIDES[index]).alias("side"),
-            *[as_col(pair[index]).alias(name) for name, pair in values.items()],
-        )
 
-    return games.select(*keep, F.inline(F.array(side(0), side(1))))
+def stack_sides(games: DataFrame, keep: Sequence[str], values: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Two rows per game; ``values`` maps an output column to its (home, away) sources."""
+    return stack_rows(games, keep, {"side": ("'home'", "'away'"), **values})
 
 
 def schedule_sides(schedule: DataFrame, keep: Sequence[str] = ("game_id", "season", "week", "roof")) -> DataFrame:
@@ -56,7 +52,7 @@ def sides_to_games(sides: DataFrame, keys: Sequence[str], values: Sequence[str])
     features reach each other without a second join.
     """
     picks = [
-        F.max(F.when(F.col("side") == side, F.col(v))).alias(f"{side}_{v}") for side in SIDES for v in values
+        F.expr(f"max(CASE WHEN side = '{side}' THEN {v} END) AS {side}_{v}") for side in SIDES for v in values
     ]
     return sides.groupBy(*keys).agg(*picks)
 

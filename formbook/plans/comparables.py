@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.operators.bands import Band, HIGHEST, around, band_totals
+from formbook.operators.bands import HIGHEST, Band, around, band_totals
 
 POINTS_BAND = 0.05
 
 
-def _period() -> Column:
-    return F.col("season") * 100 + F.col("week")
+_PERIOD = "season * 100 + week"
 
 
 def comparable_points(
@@ -27,9 +26,9 @@ def comparable_points(
     key = ["exp_points", "kick_pct"]
     bands = [around("kick_pct", "kick_pct", spread), around("exp_points", "exp_points", spread)]
     if as_of == "past":
-        history = history.withColumn("_period", _period())
+        history = history.selectExpr("*", f"{_PERIOD} AS _period")
         key = ["season", "week", *key]
-        bands = [Band("_period", F.lit(-HIGHEST), _period() - 1), *bands]
+        bands = [Band("_period", f"-{HIGHEST}D", f"{_PERIOD} - 1"), *bands]
     elif as_of != "all":
         raise ValueError("as_of is 'all' or 'past'")
     found = band_totals(history, probes, key, bands, ["points"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.expr import (
@@ -13,15 +13,14 @@ from formbook.functions.expr import (
     POINTS_MODEL,
     POINTS_PER_KICK,
     bucket_points,
-    linear_score,
-    or_zero,
-    over_line,
-    safe_ratio,
+    linear_score_sql,
+    over_line_sql,
+    ratio_sql,
 )
-from formbook.operators.plays import attempts, role_rows
+from formbook.operators.plays import ROLE_MEASURES, attempts, role_rows
 from formbook.operators.relational import stack_tables
 from formbook.operators.rolling import games_by_team, trailing_sums
-from formbook.operators.sides import AWAY, HOME, long_sides, schedule_sides, sides_to_games
+from formbook.operators.sides import AWAY, HOME, schedule_sides, sides_to_games, stack_sides
 from formbook.sources.schema import KICK_COUNTS
 from formbook.sources.sinks import write_games
 from formbook.sources.tables import FormTables, in_seasons
@@ -110,75 +109,61 @@ def team_week_facts(tables: FormTables, settings: FormSettings) -> DataFrame:
     before the shuffle, so a team with a third of all plays sends one row per
     task, and after it a team has at most one row per week.
     """
-    weekly, plays = tables.weekly, tables.plays
-    kicks = weekly.filter(F.col("team").isNotNull()).select(
+    weekly = tables.weekly
+    kicks = weekly.filter("team IS NOT NULL").select(
         "season",
         "week",
         "team",
-        *[or_zero(c).alias(c) for c in KICK_COUNTS],
+        *[F.expr(f"coalesce({c}, 0) AS {c}") for c in KICK_COUNTS],
         bucket_points(weekly.columns).alias("points"),
     )
-    fourth = F.col("down") == settings.adjusted_down
-    tries = role_rows(attempts(plays)).select(
+    fourth = f"down = {int(settings.adjusted_down)}"
+    tries = role_rows(attempts(tables.plays)).selectExpr(
         "season",
         "week",
         "team",
-        F.col("allowed_att").alias("allowed_att_any"),
-        *[F.when(fourth, F.col(c)).alias(c) for c in ("own_att", "own_made", "allowed_att", "allowed_made")],
-    )
-    sides = schedule_sides(tables.schedule, ("season", "week")).filter(F.col("team").isNotNull())
-    fixtures = sides.select("season", "week", "team", F.lit(1).cast("bigint").alias("games"))
-    stacked = stack_tables([fixtures, kicks, tries]).filter(F.col("week") <= settings.max_week)
-    return stacked.groupBy("season", "week", "team").agg(
-        *[F.sum(c).alias(c) for c in TRAILING], F.sum("points").alias("points")
+        "allowed_att AS allowed_att_any",
+        *[f"CASE WHEN {fourth} THEN {c} END AS {c}" for c in ROLE_MEASURES],
     )
+    sides = schedule_sides(tables.schedule, ("season", "week")).filter("team IS NOT NULL")
+    fixtures = sides.selectExpr("season", "week", "team", "1L AS games")
+    stacked = stack_tables([fixtures, kicks, tries]).filter(f"week <= {int(settings.max_week)}")
+    return stacked.groupBy("season", "week", "team").agg(*[F.expr(f"sum({c}) AS {c}") for c in (*TRAILING, "points")])
 
 
 def team_week_features(tables: FormTables, settings: FormSettings) -> DataFrame:
     """Trailing totals next to the week's own outcome, for weeks the team plays."""
-    own = team_week_facts(tables, settings).withColumns(
-        {f"actual_{c}": F.col(c) for c in ("fg_att", "fg_made", "pat_made")}
-    )
+    facts = team_week_facts(tables, settings)
+    outcomes = facts.selectExpr("*", *[f"{c} AS actual_{c}" for c in ("fg_att", "fg_made", "pat_made")])
     # A team that plays in the target week has a row there through its fixture.
-    return (
-        trailing_sums(own, TRAILING, settings.window_weeks)
-        .filter(F.col("week") >= settings.min_week)
-        .select("season", "week", "team", *TRAILING, *OUTCOMES)
-    )
-
-
-def _side_metrics(side: str, other: str) -> dict[str, Column]:
-    def c(name: str, whose: str = side) -> Column:
-        return F.col(f"{whose}_{name}")
-
-    att_rate = safe_ratio(c("fg_att"), c("games"))
-    any_conceded = safe_ratio(c("allowed_att_any", other), c("games", other))
-    proj_att = (any_conceded + att_rate) / 2
-    own = safe_ratio(c("own_att"), c("games"))
-    conceded = safe_ratio(c("allowed_att", other), c("games", other))
-    exp_att = (own + conceded) / 2
-    xppg = safe_ratio(c("pat_made"), c("games"))
-    kick_pct = safe_ratio(c("fg_made"), c("fg_made") + c("fg_missed"))
-    adj_exp_att = F.lit(OWN_WEIGHT) * own + F.lit(OPPONENT_WEIGHT) * conceded
-    values = {
-        "att_rate": att_rate,
-        "proj_att": proj_att,
-        "own_rate": own,
-        "allowed_rate": safe_ratio(c("allowed_att"), c("games")),
-        "opp_any_rate": any_conceded,
-        "opp_allowed_rate": conceded,
-        "exp_att": exp_att,
-        "adj_exp_att": adj_exp_att,
-        "xppg": xppg,
-        "kick_pct": kick_pct,
-        "exp_points": exp_att * POINTS_PER_KICK * kick_pct + xppg,
-        "regress_points": linear_score(
-            POINTS_MODEL, {"xppg": xppg, "adj_exp_att": adj_exp_att, "kick_pct": kick_pct}
+    return trailing_sums(outcomes, TRAILING, settings.window_weeks).filter(f"week >= {int(settings.min_week)}")
+
+
+def _side_metrics(side: str, other: str) -> list[list[str]]:
+    """SQL of one side's metrics, in three steps that each use the one before."""
+    s, o = f"{side}_", f"{other}_"
+    rates = {
+        "att_rate": ratio_sql(f"{s}fg_att", f"{s}games"),
+        "opp_any_rate": ratio_sql(f"{o}allowed_att_any", f"{o}games"),
+        "own_rate": ratio_sql(f"{s}own_att", f"{s}games"),
+        "allowed_rate": ratio_sql(f"{s}allowed_att", f"{s}games"),
+        "opp_allowed_rate": ratio_sql(f"{o}allowed_att", f"{o}games"),
+        "xppg": ratio_sql(f"{s}pat_made", f"{s}games"),
+        "kick_pct": ratio_sql(f"{s}fg_made", f"({s}fg_made + {s}fg_missed)"),
+        "cash": over_line_sql(f"{s}actual_fg_made"),
+    }
+    blends = {
+        "proj_att": f"({s}opp_any_rate + {s}att_rate) / 2",
+        "exp_att": f"({s}own_rate + {s}opp_allowed_rate) / 2",
+        "adj_exp_att": f"{OWN_WEIGHT}D * {s}own_rate + {OPPONENT_WEIGHT}D * {s}opp_allowed_rate",
+    }
+    points = {
+        "exp_points": f"{s}exp_att * {POINTS_PER_KICK}D * {s}kick_pct + {s}xppg",
+        "regress_points": linear_score_sql(
+            POINTS_MODEL, {c: f"{s}{c}" for c in ("xppg", "adj_exp_att", "kick_pct")}
         ),
-        "cash": over_line(c("actual_fg_made")),
-        "points": or_zero(c("points")),
     }
-    return {f"{side}_{name}": value for name, value in values.items()}
+    return [[f"{sql} AS {s}{name}" for name, sql in step.items()] for step in (rates, blends, points)]
 
 
 def build_games(tables: FormTables, settings: FormSettings = FormSettings()) -> DataFrame:
@@ -189,21 +174,25 @@ def build_games(tables: FormTables, settings: FormSettings = FormSettings()) ->
     sides = schedule_sides(target, ("game_id", "season", "week", "roof"))
     # The opponent's figures arrive through the regrouping by game, so features
     # are computed and joined once, not once per role.
-    fixture = {
-        "home_team": F.when(F.col("side") == HOME, F.col("team")).otherwise(F.col("opp")),
-        "away_team": F.when(F.col("side") == AWAY, F.col("team")).otherwise(F.col("opp")),
-    }
-    joined = sides.join(team_week_features(tables, settings), ["season", "week", "team"], "left").withColumns(fixture)
-    wide = sides_to_games(joined, GAME_KEYS, (*TRAILING, *OUTCOMES))
-    return wide.withColumns({**_side_metrics(HOME, AWAY), **_side_metrics(AWAY, HOME)})
+    joined = sides.join(team_week_features(tables, settings), ["season", "week", "team"], "left").selectExpr(
+        "*",
+        f"CASE WHEN side = '{HOME}' THEN team ELSE opp END AS home_team",
+        f"CASE WHEN side = '{AWAY}' THEN team ELSE opp END AS away_team",
+    )
+    games = sides_to_games(joined, GAME_KEYS, (*TRAILING, *OUTCOMES)).fillna(0, ["home_points", "away_points"])
+    for home, away in zip(_side_metrics(HOME, AWAY), _side_metrics(AWAY, HOME)):
+        games = games.selectExpr("*", *home, *away)
+    return games
 
 
 def game_sides(games: DataFrame) -> DataFrame:
     """One row per side with team, opponent, form, expectation and outcome."""
     extra = ["historical_points"] if "home_historical_points" in games.columns else []
     values = ["team", *TRAILING, *OUTCOMES, *METRICS, *extra]
-    with_opp = games.withColumns({"home_opp": F.col("away_team"), "away_opp": F.col("home_team")})
-    return long_sides(with_opp, [*values, "opp"], ["game_id", "season", "week", "roof"])
+    pairs = {v: (f"home_{v}", f"away_{v}") for v in values}
+    return stack_sides(
+        games, ["game_id", "season", "week", "roof"], {**pairs, "opp": ("away_team", "home_team")}
+    )
 
 
 def with_dotted_names(games: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from formbook.functions.stats import (
     jarque_bera,
     jarque_bera_signs,
 )
-from formbook.operators.bands import Band, HIGHEST, anything, around, band_totals
+from formbook.operators.bands import HIGHEST, Band, around, band_totals
 
 REPORT_BAND = 0.06
 THRESHOLD_BAND = 0.03
@@ -133,8 +133,7 @@ def threshold_sweep(
     rows = [(float(t.exatt), t.flag, t.min_pct, t.max_pct) for t in thresholds]
     tries = sides.sparkSession.createDataFrame(rows, "threshold double, o_u string, min_pct double, max_pct double")
     history = outcome_history(sides, expectation, zero_fill)
-    low = F.coalesce("min_pct", F.lit(-HIGHEST))
-    high = F.coalesce("max_pct", F.lit(HIGHEST))
+    low, high = f"coalesce(min_pct, -{HIGHEST}D)", f"coalesce(max_pct, {HIGHEST}D)"
     bands = [Band("pct", low, high), around("exatt", "threshold", spread)]
     key = ["threshold", "min_pct", "max_pct"]
     found = band_totals(history, tries, key, bands, OUTCOME_COUNTS).withColumnsRenamed({k: f"_{k}" for k in key})
@@ -153,7 +152,7 @@ def threshold_single(
 ) -> DataFrame:
     """One threshold: a plain filter and one aggregation."""
     history = outcome_history(sides, expectation, zero_fill)
-    inside = relative_band("exatt", F.lit(float(threshold)), round(1 - spread, 12), round(1 + spread, 12))
+    inside = relative_band("exatt", float(threshold), spread)
     counts = history.agg(
         F.count_if(inside).alias("n"),
         *[F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(c) for c in OUTCOME_COUNTS],
@@ -165,7 +164,7 @@ def points_threshold(
     sides: DataFrame, threshold: float = 10.25, spread: float = 0.05, min_pct: float = 0.95
 ) -> DataFrame:
     """Points of sides near an expectation with accuracy above a cut, against everybody's."""
-    inside = relative_band("exp_points", F.lit(float(threshold)), round(1 - spread, 12), round(1 + spread, 12)) & (
+    inside = relative_band("exp_points", float(threshold), spread) & (
         F.col("kick_pct") > min_pct
     )
     points = F.col("points").cast("double")
@@ -221,7 +220,6 @@ def low_accuracy_cut(sides: DataFrame, max_pct: float = 0.65) -> DataFrame:
 
 __all__ = [
     "Threshold",
-    "anything",
     "low_accuracy_cut",
     "outcome_history",
     "period_count",

@@ -28,6 +28,7 @@ from formbook.plans import reports
 from formbook.plans.comparables import add_comparables, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides
 from formbook.sources import orders
+from formbook.sources.orders import OrderFolder
 from formbook.sources.schema import KICK_COUNTS
 from formbook.sources.tables import season_range
 
@@ -50,7 +51,7 @@ def registered() -> dict[str, Query]:
 
 
 def games(spark: SparkSession, d: str) -> DataFrame:
-    return build_games(orders.tables(spark, d), SETTINGS)
+    return build_games(orders.tables(OrderFolder.at(spark, d)), SETTINGS)
 
 
 def sides(spark: SparkSession, d: str) -> DataFrame:
@@ -71,18 +72,19 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 @_query
 def scan_filter_rename(spark: SparkSession, d: str) -> DataFrame:
-    return orders.weekly(spark, d).select("season", "week", "team", "player_id", *KICK_COUNTS)
+    return orders.weekly(OrderFolder.at(spark, d)).select("season", "week", "team", "player_id", *KICK_COUNTS)
 
 
 @_query
 def season_range_filter(spark: SparkSession, d: str) -> DataFrame:
-    return orders.schedule(spark, d, season_range(1996, 1998))
+    return orders.schedule(OrderFolder.at(spark, d), season_range(1996, 1998))
 
 
 @_query
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    kicks = orders.weekly(spark, d).select("season", "week", "team", "fg_att")
-    fixtures = schedule_sides(orders.schedule(spark, d), ("season", "week")).select(
+    source = OrderFolder.at(spark, d)
+    kicks = orders.weekly(source).select("season", "week", "team", "fg_att")
+    fixtures = schedule_sides(orders.schedule(source), ("season", "week")).select(
         "season", "week", "team", F.lit(1).cast("bigint").alias("games")
     )
     return stack_tables([kicks, fixtures])
@@ -90,14 +92,14 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def sum_all_numeric(spark: SparkSession, d: str) -> DataFrame:
-    weekly = orders.weekly(spark, d)
+    weekly = orders.weekly(OrderFolder.at(spark, d))
     measures = numeric_columns(weekly, exclude=("season", "week", "team", "player_id", "game_id"))
     return group_sums(weekly, ["season", "team"], measures)
 
 
 @_query
 def safe_ratio_columns(spark: SparkSession, d: str) -> DataFrame:
-    return orders.weekly(spark, d).select(
+    return orders.weekly(OrderFolder.at(spark, d)).select(
         "game_id",
         "team",
         safe_ratio("fg_made", "fg_att").alias("pct"),
@@ -149,7 +151,7 @@ def code_normalize_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def null_fill(spark: SparkSession, d: str) -> DataFrame:
-    return orders.weekly(spark, d).select("game_id", "team", "fg_made_30_39").fillna(0, ["fg_made_30_39"])
+    return orders.weekly(OrderFolder.at(spark, d)).select("game_id", "team", "fg_made_30_39").fillna(0, ["fg_made_30_39"])
 
 
 @_query
@@ -168,33 +170,33 @@ def dropna_complete_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def games_by_team_week(spark: SparkSession, d: str) -> DataFrame:
-    return games_by_team(orders.schedule(spark, d))
+    return games_by_team(orders.schedule(OrderFolder.at(spark, d)))
 
 
 @_query
 def games_played_outer(spark: SparkSession, d: str) -> DataFrame:
-    return home_away_games(orders.schedule(spark, d))
+    return home_away_games(orders.schedule(OrderFolder.at(spark, d)))
 
 
 @_query
 def sides_long(spark: SparkSession, d: str) -> DataFrame:
-    return schedule_sides(orders.schedule(spark, d))
+    return schedule_sides(orders.schedule(OrderFolder.at(spark, d)))
 
 
 @_query
 def matchups_union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_matchups(orders.schedule(spark, d))
+    return distinct_matchups(orders.schedule(OrderFolder.at(spark, d)))
 
 
 @_query
 def opponent_lookup(spark: SparkSession, d: str) -> DataFrame:
-    kicks = team_week_kicking(orders.weekly(spark, d), ["fg_att"])
-    return add_opponent(kicks, orders.schedule(spark, d))
+    source = OrderFolder.at(spark, d)
+    return add_opponent(team_week_kicking(orders.weekly(source), ["fg_att"]), orders.schedule(source))
 
 
 @_query
 def team_week_spine(spark: SparkSession, d: str) -> DataFrame:
-    fixtures = schedule_sides(orders.schedule(spark, d), ("season", "week"))
+    fixtures = schedule_sides(orders.schedule(OrderFolder.at(spark, d)), ("season", "week"))
     return period_spine(fixtures, SETTINGS.min_week, SETTINGS.max_week)
 
 
@@ -220,7 +222,7 @@ def actual_outcomes(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def rolling_games_played(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
-    return rolling_games(orders.schedule(spark, d), s.window_weeks, s.min_week, s.max_week)
+    return rolling_games(orders.schedule(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week)
 
 
 @_query
@@ -230,9 +232,9 @@ def games_played_calendar(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def rolling_form(spark: SparkSession, d: str) -> DataFrame:
-    s = SETTINGS
-    fixtures = games_by_team(orders.schedule(spark, d))
-    kicks = orders.weekly(spark, d).select("season", "week", "team", *KICK_COUNTS)
+    s, source = SETTINGS, OrderFolder.at(spark, d)
+    fixtures = games_by_team(orders.schedule(source))
+    kicks = orders.weekly(source).select("season", "week", "team", *KICK_COUNTS)
     rolled = trailing_on_spine(
         stack_tables([fixtures, kicks]), ["games", *KICK_COUNTS], s.window_weeks, s.min_week, s.max_week
     )
@@ -242,13 +244,13 @@ def rolling_form(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def rolling_allowed_any(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
-    return rolling_allowed(orders.plays(spark, d), s.window_weeks, s.min_week, s.max_week)
+    return rolling_allowed(orders.plays(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week)
 
 
 @_query
 def rolling_allowed_fourth(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
-    return rolling_allowed(orders.plays(spark, d), s.window_weeks, s.min_week, s.max_week, down=4)
+    return rolling_allowed(orders.plays(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week, down=4)
 
 
 @_query
@@ -276,19 +278,19 @@ def regression_score(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def points_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    weekly = orders.weekly(spark, d)
+    weekly = orders.weekly(OrderFolder.at(spark, d))
     return weekly.select("game_id", "season", "week", "team", bucket_points(weekly.columns).alias("fantasy_points"))
 
 
 @_query
 def points_fallback(spark: SparkSession, d: str) -> DataFrame:
-    weekly = orders.weekly(spark, d).select("game_id", "season", "week", "team", "pat_made", "fg_made")
+    weekly = orders.weekly(OrderFolder.at(spark, d)).select("game_id", "season", "week", "team", "pat_made", "fg_made")
     return weekly.select("game_id", "season", "week", "team", bucket_points(weekly.columns).alias("fantasy_points"))
 
 
 @_query
 def points_from_list(spark: SparkSession, d: str) -> DataFrame:
-    lists = orders.weekly_lists(spark, d)
+    lists = orders.weekly_lists(OrderFolder.at(spark, d))
     return (
         lists.withColumns(
             {
@@ -303,7 +305,7 @@ def points_from_list(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def actual_points(spark: SparkSession, d: str) -> DataFrame:
-    weekly = orders.weekly(spark, d)
+    weekly = orders.weekly(OrderFolder.at(spark, d))
     rows = weekly.withColumn("fantasy_points", bucket_points(weekly.columns))
     return group_sums(rows, ["season", "week", "team"], ["fantasy_points"])
 
@@ -387,7 +389,7 @@ def summary_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def roof_levels(spark: SparkSession, d: str) -> DataFrame:
-    return orders.schedule(spark, d).select("roof").distinct()
+    return orders.schedule(OrderFolder.at(spark, d)).select("roof").distinct()
 
 
 @_query
@@ -476,13 +478,14 @@ def threshold_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def over_under_flip(spark: SparkSession, d: str) -> DataFrame:
-    decided = sides(spark, d).filter(F.col("cash").isNotNull())
+    rows = sides(spark, d)
+    decided = rows.filter(F.col("cash").isNotNull())
     counts = decided.groupBy("team").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("cash") == 1).alias("hits"),
         F.count_if(F.col("cash") == -1).alias("misses"),
     )
-    return _rounded(reports.verdict(counts, reports.period_scalar(sides(spark, d))), 9, "p_value")
+    return _rounded(reports.verdict(counts, reports.period_scalar(rows)), 9, "p_value")
 
 
 # --- regressions -----------------------------------------------------------------------------------

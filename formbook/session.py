@@ -18,6 +18,8 @@ def local_session(cores: int | str | None = None, app: str = "formbook") -> Spar
         # Eight shuffle partitions on eight cores leave nothing to coalesce.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites recorded for every expression cost more than planning small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -11,8 +11,9 @@ The customer is the kicker.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.functions.expr import BUCKET_POINTS
@@ -26,168 +27,156 @@ from formbook.sources.tables import FormTables, kickers_only
 _SUPPLIER_BITS = 48
 _SUPPLIER_MASK = (1 << _SUPPLIER_BITS) - 1
 
-_BUCKET_LIMITS = dict(zip(BUCKET_POINTS, (19, 29, 39, 49, 59, None)))
+_BUCKET_LIMITS = dict(zip(BUCKET_POINTS, (19, 29, 39, 49, 59, 999)))
 _LIST_CHUNK = 64
 
 
-def _line_order() -> Column:
-    return F.shiftleft(F.col("l_linenumber").cast("bigint"), _SUPPLIER_BITS).bitwiseOR(F.col("l_suppkey"))
+_LINE_ORDER = f"shiftleft(CAST(l_linenumber AS BIGINT), {_SUPPLIER_BITS}) | l_suppkey"
+_ATTEMPT = "l_returnflag IN ('R', 'A')"
+_MADE = f"{_ATTEMPT} AND l_discount <= 0.08D"
+_EXTRA_POINT = f"NOT {_ATTEMPT} AND l_tax <= 0.07D"
+_HOME_LINE = "l_linenumber % 2 = 1"
+_DISTANCE = "CAST(l_quantity AS INT) + 18"
 
 
-def _is_attempt() -> Column:
-    return F.col("l_returnflag").isin("R", "A")
+@dataclass(frozen=True)
+class OrderFolder:
+    """Line items and orders, each opened once for all tables derived from them."""
 
+    lines: DataFrame
+    orders: DataFrame
 
-def _is_good() -> Column:
-    return F.col("l_discount") <= 0.08
+    @staticmethod
+    def at(spark: SparkSession, folder: str) -> OrderFolder:
+        return OrderFolder(spark.read.parquet(f"{folder}/lineitem.parquet"), spark.read.parquet(f"{folder}/orders.parquet"))
 
 
-def _is_home_line() -> Column:
-    return F.col("l_linenumber") % 2 == 1
-
-
-def _distance() -> Column:
-    return F.col("l_quantity").cast("int") + 18
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def _orders(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> DataFrame:
-    orders = _table(spark, folder, "orders")
-    date = F.col("o_orderdate")
+def _orders(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    orders = source.orders
     if seasons:
         # A range on the stored date reaches the Parquet footers; year(date) would not.
-        first, last = min(seasons), max(seasons)
+        wanted = ", ".join(str(int(s)) for s in seasons)
         orders = orders.filter(
-            (date >= F.lit(f"{first}-01-01").cast("timestamp")) & (date < F.lit(f"{last + 1}-01-01").cast("timestamp"))
-        ).filter(F.year(date).isin([int(s) for s in seasons]))
-    return orders.select(
-        F.col("o_orderkey").alias("game_id"),
-        F.year(date).alias("season"),
-        (F.floor((F.dayofyear(date) - 1) / 7) + 1).cast("int").alias("week"),
-        F.col("o_orderpriority").alias("roof"),
-        F.col("o_custkey").alias("player_id"),
-        F.when(F.col("o_totalprice") < 10000, F.lit("P")).otherwise(F.lit("K")).alias("position"),
+            f"o_orderdate >= TIMESTAMP_NTZ'{min(seasons)}-01-01' AND o_orderdate < TIMESTAMP_NTZ'{max(seasons) + 1}-01-01'"
+        ).filter(f"year(o_orderdate) IN ({wanted})")
+    return orders.selectExpr(
+        "o_orderkey AS game_id",
+        "year(o_orderdate) AS season",
+        "CAST(floor((dayofyear(o_orderdate) - 1) / 7) + 1 AS INT) AS week",
+        "o_orderpriority AS roof",
+        "o_custkey AS player_id",
+        "CASE WHEN o_totalprice < 10000 THEN 'P' ELSE 'K' END AS position",
     )
 
 
-def _games(lines: DataFrame, *more: Column) -> DataFrame:
-    order = _line_order()
-    return (
-        lines.groupBy(F.col("l_orderkey").alias("game_id"))
-        .agg(F.min(order).alias("_first"), F.max(order).alias("_last"), *more)
-        .withColumn("home_team", F.col("_first").bitwiseAND(F.lit(_SUPPLIER_MASK)))
-        .withColumn("away_team", F.col("_last").bitwiseAND(F.lit(_SUPPLIER_MASK)))
-        .filter(F.col("home_team") != F.col("away_team"))
-        .drop("_first", "_last")
+def _games(lines: DataFrame, *more: str) -> DataFrame:
+    ends = lines.groupBy(F.col("l_orderkey").alias("game_id")).agg(
+        *[F.expr(e) for e in (f"min({_LINE_ORDER}) AS _first", f"max({_LINE_ORDER}) AS _last", *more)]
     )
+    kept = [c for c in ends.columns if c not in ("_first", "_last")]
+    return ends.selectExpr(
+        *kept, f"_first & {_SUPPLIER_MASK}L AS home_team", f"_last & {_SUPPLIER_MASK}L AS away_team"
+    ).filter("home_team != away_team")
 
 
-def schedule(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> DataFrame:
-    games = _games(_table(spark, folder, "lineitem"))
-    return games.join(_orders(spark, folder, seasons), "game_id").select(
+def schedule(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    return _games(source.lines).join(_orders(source, seasons), "game_id").select(
         "game_id", "season", "week", "home_team", "away_team", "roof"
     )
 
 
-def plays(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> DataFrame:
-    lines = _table(spark, folder, "lineitem")
-    home = _is_home_line()
-    joined = lines.withColumnRenamed("l_orderkey", "game_id").join(schedule(spark, folder, seasons), "game_id")
-    return joined.select(
+def plays(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    lines = source.lines.withColumnRenamed("l_orderkey", "game_id")
+    return lines.join(schedule(source, seasons), "game_id").selectExpr(
         "game_id",
         "season",
         "week",
-        F.when(home, F.col("home_team")).otherwise(F.col("away_team")).alias("posteam"),
-        F.when(home, F.col("away_team")).otherwise(F.col("home_team")).alias("defteam"),
-        F.when(F.col("l_linenumber") <= 5, 4).otherwise(3).alias("down"),
-        F.when(_is_attempt(), 1).otherwise(0).alias("field_goal_attempt"),
-        F.when(_is_attempt() & _is_good(), "made").when(_is_attempt(), "missed").alias("field_goal_result"),
+        f"CASE WHEN {_HOME_LINE} THEN home_team ELSE away_team END AS posteam",
+        f"CASE WHEN {_HOME_LINE} THEN away_team ELSE home_team END AS defteam",
+        "CASE WHEN l_linenumber <= 5 THEN 4 ELSE 3 END AS down",
+        f"CASE WHEN {_ATTEMPT} THEN 1 ELSE 0 END AS field_goal_attempt",
+        f"CASE WHEN {_MADE} THEN 'made' WHEN {_ATTEMPT} THEN 'missed' END AS field_goal_result",
     )
 
 
-def _kick_counts() -> dict[str, Column]:
+def _kick_counts() -> dict[str, str]:
     """Condition counted for each measure of a kicking row."""
-    made = _is_attempt() & _is_good()
     counts = {
-        "n_lines": F.lit(True),
-        "fg_att": _is_attempt(),
-        "fg_made": made,
-        "fg_missed": _is_attempt() & ~_is_good(),
-        "pat_att": ~_is_attempt(),
-        "pat_made": ~_is_attempt() & (F.col("l_tax") <= 0.07),
+        "n_lines": "true",
+        "fg_att": _ATTEMPT,
+        "fg_made": _MADE,
+        "fg_missed": f"{_ATTEMPT} AND NOT ({_MADE})",
+        "pat_att": f"NOT {_ATTEMPT}",
+        "pat_made": _EXTRA_POINT,
     }
-    below = None
+    above = 0
     for name, limit in _BUCKET_LIMITS.items():
-        inside = made if below is None else made & (_distance() > below)
-        counts[name] = inside if limit is None else inside & (_distance() <= limit)
-        below = limit
+        counts[name] = f"{_MADE} AND {_DISTANCE} BETWEEN {above} AND {limit}"
+        above = limit + 1
     return counts
 
 
-def all_weekly(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> DataFrame:
+def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
     """One row per player appearance, every position; one aggregation over the lines."""
-    home = _is_home_line()
     counts = _kick_counts()
     sums = [
-        F.count_if(condition & side).alias(f"{prefix}_{name}")
-        for prefix, side in (("home", home), ("away", ~home))
+        f"count_if({condition} AND {side}) AS {prefix}_{name}"
+        for prefix, side in (("home", _HOME_LINE), ("away", f"NOT {_HOME_LINE}"))
         for name, condition in counts.items()
     ]
-    games = _games(_table(spark, folder, "lineitem"), *sums).join(_orders(spark, folder, seasons), "game_id")
-
-    def value(prefix: str, name: str) -> Column:
-        count = F.col(f"{prefix}_{name}")
-        return F.nullif(count, F.lit(0)) if name in BUCKET_POINTS else count
-
-    rows = stack_sides(
-        games,
-        ["game_id", "season", "week", "player_id", "position"],
-        {
-            "recent_team": ("home_team", "away_team"),
-            **{name: (value("home", name), value("away", name)) for name in counts},
-        },
+    games = _games(source.lines, *sums).join(_orders(source, seasons), "game_id")
+
+    def value(prefix: str, name: str) -> str:
+        return f"nullif({prefix}_{name}, 0)" if name in BUCKET_POINTS else f"{prefix}_{name}"
+
+    return (
+        stack_sides(
+            games,
+            ["game_id", "season", "week", "player_id", "position"],
+            {
+                "recent_team": ("home_team", "away_team"),
+                **{name: (value("home", name), value("away", name)) for name in counts},
+            },
+        )
+        .filter("n_lines > 0")
+        .drop("side", "n_lines")
     )
-    return rows.filter(F.col("n_lines") > 0).drop("side", "n_lines")
 
 
-def weekly(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> DataFrame:
-    return kickers_only(all_weekly(spark, folder, seasons))
+def weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    return kickers_only(all_weekly(source, seasons))
 
 
-def weekly_lists(spark: SparkSession, folder: str) -> DataFrame:
+def weekly_lists(source: OrderFolder) -> DataFrame:
     """Kicking rows with the made distances as text, shortest first.
 
     A very large game is cut into several rows, so no list outgrows its cell:
     the number of pieces follows from the counted kicks of the game.
     """
-    made = _is_attempt() & _is_good()
-    games = _games(_table(spark, folder, "lineitem"), F.count_if(made).alias("n_made"))
-    games = games.join(_orders(spark, folder), "game_id").filter(F.col("position") == "K")
-    pieces = F.ceil(F.greatest(F.col("n_made"), F.lit(1)) / _LIST_CHUNK)
-    spread = F.col("l_partkey") * 31 + F.col("l_suppkey") * 7 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    lines = _table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "game_id").join(games, "game_id")
+    games = _games(source.lines, f"count_if({_MADE}) AS n_made")
+    games = games.join(_orders(source), "game_id").filter("position = 'K'")
+    lines = source.lines.withColumnRenamed("l_orderkey", "game_id").join(games, "game_id")
+    pieces = f"ceil(greatest(n_made, 1) / {_LIST_CHUNK})"
+    spread = "l_partkey * 31 + l_suppkey * 7 + CAST(round(l_extendedprice * 100) AS BIGINT)"
     return (
-        lines.select(
+        lines.selectExpr(
             "game_id",
             "season",
             "week",
-            F.when(_is_home_line(), F.col("home_team")).otherwise(F.col("away_team")).alias("team"),
+            f"CASE WHEN {_HOME_LINE} THEN home_team ELSE away_team END AS team",
             "player_id",
-            F.pmod(spread, pieces).alias("piece"),
-            F.when(made, _distance()).alias("distance"),
-            F.when(~_is_attempt() & (F.col("l_tax") <= 0.07), 1).otherwise(0).alias("pat"),
+            f"pmod({spread}, {pieces}) AS piece",
+            f"CASE WHEN {_MADE} THEN {_DISTANCE} END AS distance",
+            f"CASE WHEN {_EXTRA_POINT} THEN 1 ELSE 0 END AS pat",
         )
         .groupBy("game_id", "season", "week", "team", "player_id", "piece")
         .agg(
-            F.array_join(F.sort_array(F.collect_list("distance")).cast("array<string>"), ";").alias("fg_made_list"),
-            F.sum("pat").alias("pat_made"),
+            F.expr("array_join(CAST(sort_array(collect_list(distance)) AS ARRAY<STRING>), ';') AS fg_made_list"),
+            F.expr("sum(pat) AS pat_made"),
         )
         .drop("piece")
     )
 
 
-def tables(spark: SparkSession, folder: str, seasons: Sequence[int] | range = ()) -> FormTables:
-    return FormTables(weekly(spark, folder, seasons), schedule(spark, folder, seasons), plays(spark, folder, seasons))
+def tables(source: OrderFolder, seasons: Sequence[int] | range = ()) -> FormTables:
+    return FormTables(weekly(source, seasons), schedule(source, seasons), plays(source, seasons))
