@@ -64,10 +64,8 @@ def _lookup(points: DataFrame, asked: DataFrame, group: Sequence[str], measures:
             *[f.name for f in extra],
         )
     )
-    # The stacked rows are read twice below: once for the sums inside a block, once for
-    # the sums of blocks.
     return (
-        running_totals(written(stacked), "_at", measures, group, tie="_tie")
+        running_totals(stacked, "_at", measures, group, tie="_tie")
         .filter("_tie != 1")
         .selectExpr(
             *group,
@@ -96,40 +94,45 @@ def _ranks(values: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 # Exponents 0, 1, 2 ... of the range sizes that can fit into all ranks.
-_DEPTHS = "explode(sequence(0, length(bin(_size)) - 1))"
+_DEPTHS = "explode(sequence(0, length(bin(_size)) - 1)) AS _depth"
 
 
-def _enter_points(points: DataFrame, ranks: DataFrame, column: str, depth: str, node: str) -> DataFrame:
-    """History side: one row per range that holds the value's rank."""
-    kept = [c for c in points.columns if c != column]
-    ranked = points.join(ranks.filter("NOT _closed").withColumnRenamed("_at", column), column)
-    return (
-        ranked.selectExpr(*kept, "_rank", "_size", f"{_DEPTHS} AS {depth}")
-        .selectExpr(*kept, depth, f"shiftright(_rank, {depth}) AS {node}", "_size")
-        .filter(f"shiftleft({node} + 1, {depth}) <= _size")
-        .drop("_size")
-    )
+def _range_number(first: str) -> str:
+    """One number for a range of 2**_depth ranks; ``first`` counts ranges of that size."""
+    return f"shiftleft(CAST(_depth AS BIGINT), 48) | {first}"
 
 
-def _enter_probes(probes: DataFrame, ranks: DataFrame, low: str, high: str, depth: str, node: str) -> DataFrame:
-    """Probe side: the ranges that together make up the probe's interval of ranks."""
-    kept = [c for c in probes.columns if c not in (low, high)]
-    start = ranks.filter("NOT _closed").selectExpr(f"_at AS {low}", "_rank AS _from", "_size")
-    stop = ranks.filter("_closed").selectExpr(f"_at AS {high}", "_rank AS _to")
+def _span_ranges(ends: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The ranges that together make up each band's interval of ranks."""
+    start = ranks.filter("NOT _closed").selectExpr("_at AS _lo", "_rank AS _from", "_size")
+    stop = ranks.filter("_closed").selectExpr("_at AS _hi", "_rank AS _to")
     return (
-        probes.join(start, low)
-        .join(stop, high)
-        .selectExpr(*kept, "_from", "_to", f"{_DEPTHS} AS {depth}")
-        .selectExpr(*kept, depth, f"-shiftright(-_from, {depth}) AS _first", f"shiftright(_to, {depth}) AS _last")
+        ends.join(start, "_lo")
+        .join(stop, "_hi")
+        .selectExpr("_lo", "_hi", "_from", "_to", _DEPTHS)
+        .selectExpr(
+            "_lo", "_hi", "_depth", "-shiftright(-_from, _depth) AS _first", "shiftright(_to, _depth) AS _last"
+        )
         .filter("_first < _last")
         .selectExpr(
-            *kept,
-            depth,
+            "_lo",
+            "_hi",
+            "_depth",
             "explode(array_compact(array("
-            "CASE WHEN _first % 2 = 1 THEN _first END, CASE WHEN _last % 2 = 1 THEN _last - 1 END))) AS "
-            f"{node}",
+            "CASE WHEN _first % 2 = 1 THEN _first END, CASE WHEN _last % 2 = 1 THEN _last - 1 END))) AS _nth",
         )
+        .selectExpr("_lo", "_hi", f"{_range_number('_nth')} AS _range")
+    )
+
+
+def _value_ranges(ranks: DataFrame, spans: DataFrame) -> DataFrame:
+    """The ranges that hold each value, as far as any band asks for them."""
+    holding = (
+        ranks.filter("NOT _closed")
+        .selectExpr("_at", "_rank", _DEPTHS)
+        .selectExpr("_at", f"{_range_number('shiftright(_rank, _depth)')} AS _range")
     )
+    return holding.join(spans.select("_range").distinct(), "_range", "left_semi")
 
 
 def band_totals(
@@ -168,12 +171,15 @@ def band_totals(
     group: list[str] = []
     for index, band in enumerate(bands[:-1]):
         low, high = ends[band.column]
-        depth, node = f"_d{index}", f"_r{index}"
-        values = complete.selectExpr(f"{band.column} AS _at").distinct()
-        ranks = _ranks(values, boxes.selectExpr(f"{low} AS _lo", f"{high} AS _hi").distinct())
-        entered = _enter_points(entered, ranks, band.column, depth, node)
-        wanted = _enter_probes(wanted, ranks, low, high, depth, node)
-        group += [depth, node]
+        asked = boxes.selectExpr(f"{low} AS _lo", f"{high} AS _hi").distinct()
+        ranks = _ranks(complete.selectExpr(f"{band.column} AS _at").distinct(), asked)
+        spans = _span_ranges(asked, ranks)
+        place = f"_range{index}"
+        holding = _value_ranges(ranks, spans).withColumnsRenamed({"_at": band.column, "_range": place})
+        entered = entered.join(holding, band.column).drop(band.column)
+        wanted = wanted.join(spans.withColumnsRenamed({"_lo": low, "_hi": high, "_range": place}), [low, high])
+        wanted = wanted.drop(low, high)
+        group.append(place)
 
     last = bands[-1].column
     low, high = ends[last]

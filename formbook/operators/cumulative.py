@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formbook.operators.durable import written
+
 # One block spans a factor of e**(1/256), about 0.4 %. The exponent range of a
 # double bounds the number of blocks of any group: 2 * 400,000 at the very most,
 # some thousands for values within a few powers of ten.
@@ -37,11 +39,11 @@ def running_totals(
 
     Rows are ordered by ``value`` then ``tie`` within ``group``. Only the first window
     sees rows, a block at a time; the others run over block totals, at most a few
-    thousand per group. ``df`` is evaluated twice.
+    thousand per group. ``df`` is written out once, because both steps read it.
     """
     group = list(group)
     block = [*group, "_block"]
-    keyed = df.selectExpr("*", f"{value_block(f'CAST({value} AS DOUBLE)')} AS _block")
+    keyed = written(df).selectExpr("*", f"{value_block(f'CAST({value} AS DOUBLE)')} AS _block")
     order = value if tie is None else f"{value}, {tie}"
     whole = f"PARTITION BY {', '.join(group)}" if group else ""
     within = f"PARTITION BY {', '.join(block)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

@@ -99,47 +99,60 @@ def plays(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame
     )
 
 
-def _kick_counts() -> dict[str, str]:
-    """Condition counted for each measure of a kicking row."""
-    counts = {
-        "n_lines": "true",
-        "fg_att": _ATTEMPT,
-        "fg_made": _MADE,
-        "fg_missed": f"{_ATTEMPT} AND NOT ({_MADE})",
-        "pat_att": f"NOT {_ATTEMPT}",
-        "pat_made": _EXTRA_POINT,
-    }
-    above = 0
-    for name, limit in _BUCKET_LIMITS.items():
-        counts[name] = f"{_MADE} AND {_DISTANCE} BETWEEN {above} AND {limit}"
-        above = limit + 1
-    return counts
+# What a line is: a made kick by distance bucket, a missed one, a good or a failed extra point.
+_KINDS = (*BUCKET_POINTS, "fg_missed", "pat_made", "pat_missed")
+
+
+def _kind() -> str:
+    bucket = "CASE " + " ".join(
+        f"WHEN {_DISTANCE} <= {limit} THEN {_KINDS.index(name)}" for name, limit in _BUCKET_LIMITS.items()
+    )
+    missed, good, failed = (_KINDS.index(k) for k in ("fg_missed", "pat_made", "pat_missed"))
+    return (
+        f"CASE WHEN {_ATTEMPT} THEN CASE WHEN l_discount <= 0.08D THEN {bucket} END ELSE {missed} END "
+        f"WHEN l_tax <= 0.07D THEN {good} ELSE {failed} END"
+    )
 
 
 def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
-    """One row per player appearance, every position; one aggregation over the lines."""
-    counts = _kick_counts()
+    """One row per player appearance, every position; one aggregation over the lines.
+
+    Each line is classified once, before the aggregation only compares small numbers.
+    """
+    lines = source.lines.selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey", f"IF({_HOME_LINE}, 0, {len(_KINDS)}) + {_kind()} AS kind"
+    )
     sums = [
-        f"count_if({condition} AND {side}) AS {prefix}_{name}"
-        for prefix, side in (("home", _HOME_LINE), ("away", f"NOT {_HOME_LINE}"))
-        for name, condition in counts.items()
+        f"count_if(kind = {offset + i}) AS {prefix}_{name}"
+        for prefix, offset in (("home", 0), ("away", len(_KINDS)))
+        for i, name in enumerate(_KINDS)
     ]
-    games = _games(source.lines, *sums).join(_orders(source, seasons), "game_id")
-
-    def value(prefix: str, name: str) -> str:
-        return f"nullif({prefix}_{name}, 0)" if name in BUCKET_POINTS else f"{prefix}_{name}"
-
+    games = _games(lines, *sums).join(_orders(source, seasons), "game_id")
+    buckets = " + ".join(BUCKET_POINTS)
     return (
         stack_sides(
             games,
             ["game_id", "season", "week", "player_id", "position"],
             {
                 "recent_team": ("home_team", "away_team"),
-                **{name: (value("home", name), value("away", name)) for name in counts},
+                **{name: (f"home_{name}", f"away_{name}") for name in _KINDS},
             },
         )
-        .filter("n_lines > 0")
-        .drop("side", "n_lines")
+        .selectExpr(
+            "game_id",
+            "season",
+            "week",
+            "player_id",
+            "position",
+            "recent_team",
+            f"{buckets} + fg_missed AS fg_att",
+            f"{buckets} AS fg_made",
+            "fg_missed",
+            "pat_made + pat_missed AS pat_att",
+            "pat_made",
+            *[f"nullif({name}, 0) AS {name}" for name in BUCKET_POINTS],
+        )
+        .filter("fg_att + pat_att > 0")
     )
 
 
