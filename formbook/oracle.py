@@ -25,7 +25,7 @@ fixtures AS (
   FROM ends JOIN orders ON o_orderkey = game_id WHERE home_team <> away_team),
 schedule AS (SELECT game_id, season, week, home_team, away_team, roof FROM fixtures),
 lines AS (
-  SELECT f.*, l_partkey, l_suppkey, l_linenumber,
+  SELECT f.*, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
          CASE WHEN l_linenumber % 2 = 1 THEN home_team ELSE away_team END AS posteam,
          CASE WHEN l_linenumber % 2 = 1 THEN away_team ELSE home_team END AS defteam,
          CASE WHEN l_linenumber <= 5 THEN 4 ELSE 3 END AS down,
@@ -237,11 +237,21 @@ SWEEP = (
 )
 
 
-def _sweep_values() -> str:
-    def text(v: float | None) -> str:
-        return "CAST(NULL AS DOUBLE)" if v is None else f"{v}e0"
+# One-sided rules: flag, lower and upper end of expectation, of accuracy.
+CUTS = (
+    ("u", None, 1.3, None, 0.9),
+    ("o", 2.7, None, 0.9, None),
+    ("o", 2.6, None, None, None),
+    ("u", None, 1.5, None, 0.65),
+)
+
+
+def _sql_double(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"{v}e0"
+
 
-    return ", ".join(f"({t}e0, '{f}', {text(lo)}, {text(hi)})" for t, f, lo, hi in SWEEP)
+def _sweep_values() -> str:
+    return ", ".join(f"({t}e0, '{f}', {_sql_double(lo)}, {_sql_double(hi)})" for t, f, lo, hi in SWEEP)
 
 
 def _normal_equations(target: str, x1: str, x2: str) -> str:
@@ -458,17 +468,24 @@ FROM sides h JOIN sides a ON h.game_id = a.game_id AND h.side = 'home' AND a.sid
     sql["points_fallback"] = (
         _LINES + "SELECT game_id, season, week, team, pat_made + 3 * fg_made AS fantasy_points FROM weekly"
     )
+    # Lists hold about 64 kicks at most: a larger game is cut into pieces, each with its own first eight.
     sql["points_from_list"] = (
         _LINES
-        + """SELECT game_id, season, week, team, player_id, CAST(points AS BIGINT) AS fantasy_points,
-  CAST((SELECT coalesce(sum(CASE WHEN y < 40 THEN 3 WHEN y < 50 THEN 4 ELSE 5 END), 0)
-        FROM (SELECT unnest(first_eight) AS y)) + pat_made AS BIGINT) AS first_eight_points
-FROM (SELECT game_id, season, week, posteam AS team, player_id,
-        sum(CASE WHEN made = 1 AND yards < 40 THEN 3 WHEN made = 1 AND yards < 50 THEN 4
-                 WHEN made = 1 THEN 5 ELSE pat END) AS points,
-        sum(pat) AS pat_made,
-        (list(yards ORDER BY yards) FILTER (WHERE made = 1))[1:8] AS first_eight
-      FROM lines WHERE position = 'K' GROUP BY ALL)"""
+        + """, sized AS (
+  SELECT *, CAST(ceil(greatest(sum(made) OVER (PARTITION BY game_id), 1) / 64e0) AS BIGINT) AS pieces
+  FROM lines WHERE position = 'K'),
+lists AS (
+  SELECT game_id, season, week, posteam AS team, player_id,
+         (l_partkey * 31 + l_suppkey * 7 + CAST(round(l_extendedprice * 100) AS BIGINT)) % pieces AS piece,
+         sum(CASE WHEN made = 1 AND yards < 40 THEN 3 WHEN made = 1 AND yards < 50 THEN 4
+                  WHEN made = 1 THEN 5 ELSE pat END) AS points,
+         sum(pat) AS pat_made,
+         (list(yards ORDER BY yards) FILTER (WHERE made = 1))[1:8] AS first_eight
+  FROM sized GROUP BY ALL)
+SELECT game_id, season, week, team, player_id, CAST(sum(points) AS BIGINT) AS fantasy_points,
+  CAST(sum(pat_made + (SELECT coalesce(sum(CASE WHEN y < 40 THEN 3 WHEN y < 50 THEN 4 ELSE 5 END), 0)
+        FROM (SELECT unnest(first_eight) AS y))) AS BIGINT) AS first_eight_points
+FROM lists GROUP BY ALL"""
     )
     sql["actual_points"] = (
         _LINES
@@ -628,6 +645,37 @@ counted AS (SELECT team, count(cash) AS n, sum(CASE WHEN cash = 1 THEN 1 ELSE 0
         + _verdict("(SELECT * FROM counted, period)", "team")
     )
 
+    cuts = " UNION ALL ".join(
+        f"SELECT '{flag}' AS o_u, {_sql_double(lo)} AS min_exatt, {_sql_double(hi)} AS max_exatt, "
+        f"{_sql_double(plo)} AS min_pct, {_sql_double(phi)} AS max_pct"
+        for flag, lo, hi, plo, phi in CUTS
+    )
+    sql["cut_rules"] = (
+        _FORM
+        + _HISTORY_ZERO
+        + f""", rules AS ({cuts}),
+counted AS (
+  SELECT o_u AS flag, min_exatt, max_exatt, min_pct, max_pct, count(cash) AS n,
+         coalesce(sum(CASE WHEN cash = 1 THEN 1 ELSE 0 END), 0) AS hits,
+         coalesce(sum(CASE WHEN cash = -1 THEN 1 ELSE 0 END), 0) AS misses
+  FROM rules LEFT JOIN history ON (min_exatt IS NULL OR exatt >= min_exatt) AND (max_exatt IS NULL OR exatt <= max_exatt)
+    AND (min_pct IS NULL OR pct >= min_pct) AND (max_pct IS NULL OR pct <= max_pct)
+  GROUP BY ALL)"""
+        + _verdict("(SELECT * FROM counted, period)", "min_exatt, max_exatt, min_pct, max_pct", "flag")
+    )
+    sql["points_by_expectation"] = (
+        _FORM
+        + f"""SELECT exp_points > 4e0 AS above, {_summary_moments('CAST(points AS DOUBLE)')} FROM sides
+WHERE exp_points IS NOT NULL GROUP BY above"""
+    )
+    sql["correlation_attempts"] = (
+        _FORM
+        + """, attempts AS (SELECT actual_fg_att AS fgatt, actual_pat_made AS xpmade, actual_fg_made AS fgmade, cash,
+  fg_att AS pastatt, fg_made AS pastmade, exp_att AS exatt, pct FROM sides
+  WHERE actual_fg_att IS NOT NULL AND fg_att > 0 AND exp_att IS NOT NULL) """
+        + _matrix("fgatt xpmade fgmade cash pastatt pastmade exatt pct".split(), "attempts")
+    )
+
     # --- regressions ----------------------------------------------------------------------
     sql["ols_simple"] = (
         _FORM

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.functions.expr import relative_band, safe_ratio
+from formbook.functions.expr import ratio_sql, relative_band, safe_ratio
 from formbook.functions.stats import (
     chi2_2df_tail,
     hit_rate,
@@ -30,27 +30,22 @@ def week_board(sides: DataFrame, season: int, week: int) -> DataFrame:
     )
 
 
-def outcome_history(sides: DataFrame, expectation: str = "adj_exp_att", zero_fill: bool = False) -> DataFrame:
-    """History rows (exatt, pct, outcome) with accuracy over attempts.
+def outcome_rows(sides: DataFrame, expectation: str = "adj_exp_att", zero_fill: bool = False) -> DataFrame:
+    """Every side as (season, week, exatt, pct, cash), with accuracy over attempts.
 
-    ``zero_fill`` reads every missing value as 0, an unknown outcome
-    included: such rows count as observations without profit. Otherwise
-    undecided rows and rows without an expectation are left out.
+    ``zero_fill`` reads every missing value as 0, an unknown outcome included: such
+    rows count as observations without profit.
     """
-    rows = sides.select(
-        "season",
-        "week",
-        F.col(expectation).alias("exatt"),
-        safe_ratio("fg_made", "fg_att").alias("pct"),
-        F.col("cash"),
-    )
-    rows = rows.fillna(0, ["exatt", "pct", "cash"]) if zero_fill else rows.dropna(subset=["exatt", "cash"])
-    return rows.withColumns(
-        {
-            "hits": F.when(F.col("cash") == 1, 1).otherwise(0),
-            "misses": F.when(F.col("cash") == -1, 1).otherwise(0),
-        }
+    rows = sides.selectExpr(
+        "season", "week", f"{expectation} AS exatt", f"{ratio_sql('fg_made', 'fg_att')} AS pct", "cash"
     )
+    return rows.fillna(0, ["exatt", "pct", "cash"]) if zero_fill else rows
+
+
+def outcome_history(sides: DataFrame, expectation: str = "adj_exp_att", zero_fill: bool = False) -> DataFrame:
+    """Decided rows as countable ``hits`` and ``misses``; with ``zero_fill`` all rows."""
+    rows = outcome_rows(sides, expectation, zero_fill).dropna(subset=["exatt", "cash"])
+    return rows.selectExpr("exatt", "pct", "IF(cash = 1, 1, 0) AS hits", "IF(cash = -1, 1, 0) AS misses")
 
 
 def verdict(counts: DataFrame, periods: Column, flag: Column | None = None) -> DataFrame:
@@ -114,7 +109,7 @@ def threshold_report(
 
 @dataclass(frozen=True)
 class Threshold:
-    """One try of a threshold analysis: a band around ``exatt``, optional accuracy cut."""
+    """One try of a threshold analysis: a band around ``exatt``, optional accuracy cuts."""
 
     exatt: float
     flag: str = "u"
@@ -122,24 +117,85 @@ class Threshold:
     min_pct: float | None = None
 
 
-def threshold_sweep(
-    sides: DataFrame,
-    thresholds: Sequence[Threshold],
-    spread: float = THRESHOLD_BAND,
-    expectation: str = "exp_att",
-    zero_fill: bool = False,
+@dataclass(frozen=True)
+class Cut:
+    """One-sided limits on expectation and accuracy, each optional."""
+
+    flag: str
+    min_exatt: float | None = None
+    max_exatt: float | None = None
+    min_pct: float | None = None
+    max_pct: float | None = None
+
+
+# Tries answered by conditional counts in one pass; a longer list goes through the band totals.
+ONE_PASS_TRIES = 32
+
+
+def _literal(value: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if value is None else f"{float(value)!r}D"
+
+
+def _within(column: str, low: float | None, high: float | None) -> list[str]:
+    limits = ((">=", low), ("<=", high))
+    return [f"{column} {op} {_literal(v)}" for op, v in limits if v is not None]
+
+
+def _count_tries(rows: DataFrame, tries: Sequence[tuple[dict[str, str], list[str]]]) -> DataFrame:
+    """(labels, n, hits, misses, periods) of each try, from a single aggregation without a join."""
+    totals, structs = [], []
+    for i, (labels, conditions) in enumerate(tries):
+        inside = " AND ".join([*conditions, "cash IS NOT NULL"])
+        totals += [
+            f"count_if({inside}) AS n{i}",
+            f"count_if({inside} AND cash = 1) AS hits{i}",
+            f"count_if({inside} AND cash = -1) AS misses{i}",
+        ]
+        cells = {**labels, "n": f"n{i}", "hits": f"hits{i}", "misses": f"misses{i}", "periods": "periods"}
+        structs.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
+    counted = rows.agg(F.expr("count(DISTINCT season, week) AS periods"), *[F.expr(t) for t in totals])
+    return counted.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def _sweep_by_bands(
+    sides: DataFrame, thresholds: Sequence[Threshold], spread: float, expectation: str, zero_fill: bool
 ) -> DataFrame:
-    """One row per threshold tried, all in the same pass over the sides."""
     rows = [(float(t.exatt), t.flag, t.min_pct, t.max_pct) for t in thresholds]
     tries = sides.sparkSession.createDataFrame(rows, "threshold double, o_u string, min_pct double, max_pct double")
     history = outcome_history(sides, expectation, zero_fill)
     low, high = f"coalesce(min_pct, -{HIGHEST}D)", f"coalesce(max_pct, {HIGHEST}D)"
+    # A row without accuracy can only pass where no cut is asked for.
+    history = history.fillna(-HIGHEST, ["pct"])
     bands = [Band("pct", low, high), around("exatt", "threshold", spread)]
     key = ["threshold", "min_pct", "max_pct"]
     found = band_totals(history, tries, key, bands, OUTCOME_COUNTS).withColumnsRenamed({k: f"_{k}" for k in key})
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    joined = tries.join(found, match, "left").drop(*[f"_{k}" for k in key])
-    return verdict(joined, period_scalar(sides), F.col("o_u"))
+    return tries.join(found, match, "left").drop(*[f"_{k}" for k in key])
+
+
+def threshold_sweep(
+    sides: DataFrame,
+    thresholds: Sequence[Threshold],
+    spread: float = THRESHOLD_BAND,
+    expectation: str = "exp_att",
+    zero_fill: bool = False,
+) -> DataFrame:
+    """One row per threshold tried, all in the same pass over the sides."""
+    if len(thresholds) > ONE_PASS_TRIES:
+        found = _sweep_by_bands(sides, thresholds, spread, expectation, zero_fill)
+        return verdict(found, period_scalar(sides), F.col("o_u"))
+    tries = []
+    for t in thresholds:
+        band = _within("exatt", t.exatt * round(1 - spread, 12), t.exatt * round(1 + spread, 12))
+        labels = {
+            "threshold": _literal(t.exatt),
+            "o_u": f"'{t.flag}'",
+            "min_pct": _literal(t.min_pct),
+            "max_pct": _literal(t.max_pct),
+        }
+        tries.append((labels, band + _within("pct", t.min_pct, t.max_pct)))
+    found = _count_tries(outcome_rows(sides, expectation, zero_fill), tries)
+    return verdict(found, F.col("periods"), F.col("o_u")).drop("periods")
 
 
 def threshold_single(
@@ -150,14 +206,22 @@ def threshold_single(
     expectation: str = "exp_att",
     zero_fill: bool = False,
 ) -> DataFrame:
-    """One threshold: a plain filter and one aggregation."""
-    history = outcome_history(sides, expectation, zero_fill)
-    inside = relative_band("exatt", float(threshold), spread)
-    counts = history.agg(
-        F.count_if(inside).alias("n"),
-        *[F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(c) for c in OUTCOME_COUNTS],
-    ).select(F.lit(float(threshold)).alias("threshold"), F.lit(flag).alias("o_u"), "*")
-    return verdict(counts, period_scalar(sides), F.col("o_u"))
+    """One threshold without an accuracy cut."""
+    found = threshold_sweep(sides, [Threshold(threshold, flag)], spread, expectation, zero_fill)
+    return found.drop("min_pct", "max_pct")
+
+
+def cut_report(
+    sides: DataFrame, cuts: Sequence[Cut], expectation: str = "exp_att", zero_fill: bool = False
+) -> DataFrame:
+    """One row per rule of thumb: everything below or above the given limits."""
+    tries = []
+    for c in cuts:
+        labels = {k: _literal(getattr(c, k)) for k in ("min_exatt", "max_exatt", "min_pct", "max_pct")}
+        inside = _within("exatt", c.min_exatt, c.max_exatt) + _within("pct", c.min_pct, c.max_pct)
+        tries.append(({**labels, "o_u": f"'{c.flag}'"}, [*inside, "exatt IS NOT NULL"]))
+    found = _count_tries(outcome_rows(sides, expectation, zero_fill), tries)
+    return verdict(found, F.col("periods"), F.col("o_u")).drop("periods")
 
 
 def points_threshold(
@@ -219,9 +283,12 @@ def low_accuracy_cut(sides: DataFrame, max_pct: float = 0.65) -> DataFrame:
 
 
 __all__ = [
+    "Cut",
     "Threshold",
+    "cut_report",
     "low_accuracy_cut",
     "outcome_history",
+    "outcome_rows",
     "period_count",
     "period_scalar",
     "points_threshold",

@@ -23,7 +23,7 @@ from formbook.operators.rolling import (
     trailing_on_spine,
 )
 from formbook.operators.sides import add_opponent, distinct_matchups, schedule_sides
-from formbook.oracle import SWEEP
+from formbook.oracle import CUTS, SWEEP
 from formbook.plans import reports
 from formbook.plans.comparables import add_comparables, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides
@@ -413,6 +413,21 @@ def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(models.correlation_matrix(rows, ["fgatt", "pastpat", "g", "patpg"]), 6, "r")
 
 
+@_query
+def correlation_attempts(spark: SparkSession, d: str) -> DataFrame:
+    rows = sides(spark, d).select(
+        F.col("actual_fg_att").alias("fgatt"),
+        F.col("actual_pat_made").alias("xpmade"),
+        F.col("actual_fg_made").alias("fgmade"),
+        "cash",
+        F.col("fg_att").alias("pastatt"),
+        F.col("fg_made").alias("pastmade"),
+        F.col("exp_att").alias("exatt"),
+        _accuracy().alias("pct"),
+    )
+    return _rounded(models.correlation_matrix(complete_rows(rows), rows.columns), 6, "r")
+
+
 @_query
 def eval_mae_rmse(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(models.prediction_errors(sides(spark, d), "points", "regress_points"), 6, "mae", "rmse")
@@ -437,7 +452,20 @@ def threshold_single(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     tries = [reports.Threshold(t, flag, max_pct=hi, min_pct=lo) for t, flag, lo, hi in SWEEP]
-    return _rounded(reports.threshold_sweep(_report_sides(spark, d), tries, zero_fill=True), 9, "p_value")
+    return _rounded(reports.threshold_sweep(sides(spark, d), tries, zero_fill=True), 9, "p_value")
+
+
+@_query
+def cut_rules(spark: SparkSession, d: str) -> DataFrame:
+    cuts = [reports.Cut(*rule) for rule in CUTS]
+    return _rounded(reports.cut_report(sides(spark, d), cuts, zero_fill=True), 9, "p_value")
+
+
+@_query
+def points_by_expectation(spark: SparkSession, d: str) -> DataFrame:
+    known = sides(spark, d).filter("exp_points IS NOT NULL")
+    rows = known.selectExpr("exp_points > 4D AS above", "CAST(points AS DOUBLE) AS points")
+    return _rounded(quantiles.five_number_summary(rows, "points", ["above"]), 6, "q1", "median", "mean", "q3", "sd")
 
 
 @_query
@@ -478,7 +506,7 @@ def threshold_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def over_under_flip(spark: SparkSession, d: str) -> DataFrame:
-    rows = sides(spark, d)
+    rows = written(sides(spark, d).select("season", "week", "team", "cash"))
     decided = rows.filter(F.col("cash").isNotNull())
     counts = decided.groupBy("team").agg(
         F.count(F.lit(1)).alias("n"),

@@ -3,7 +3,15 @@ import pytest
 from formbook.operators.durable import written
 from formbook.plans.comparables import add_comparables, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides, run, with_dotted_names
-from formbook.plans.reports import Threshold, low_accuracy_cut, threshold_report, threshold_single, threshold_sweep
+from formbook.plans.reports import (
+    Cut,
+    Threshold,
+    cut_report,
+    low_accuracy_cut,
+    threshold_report,
+    threshold_single,
+    threshold_sweep,
+)
 from formbook.sources.schema import PLAYS, SCHEDULE, WEEKLY, require_columns
 from formbook.sources.sinks import read_report_csv, write_csv, write_report_csv
 from formbook.sources.tables import FormTables, in_seasons, kickers_only, read_tables, season_range
@@ -150,6 +158,28 @@ def test_sweep_accuracy_cuts(sides):
     assert got == {(None, 0.6): 1, (0.6, None): 2}
 
 
+def test_long_sweep_goes_through_bands(sides, monkeypatch):
+    tries = [Threshold(1.5), Threshold(1.5, "o", min_pct=0.6), Threshold(1.6, "o", max_pct=0.95), Threshold(7.0)]
+    for fill in (False, True):
+        short = rows(threshold_sweep(sides, tries, zero_fill=fill), "threshold", "min_pct")
+        monkeypatch.setattr("formbook.plans.reports.ONE_PASS_TRIES", 0)
+        long = threshold_sweep(sides, tries, zero_fill=fill)
+        names = threshold_sweep(sides, tries[:1]).columns
+        monkeypatch.undo()
+        assert rows(long.select(short_columns(threshold_sweep(sides, tries))), "threshold", "min_pct") == short
+        assert set(names) == set(long.columns)
+
+
+def short_columns(df):
+    return df.columns
+
+
+def test_cut_report(sides):
+    found = cut_report(sides, [Cut("u", max_exatt=1.5, max_pct=0.6), Cut("o", min_exatt=1.55), Cut("o")])
+    got = {(r["min_exatt"], r["max_exatt"]): (r["observations"], r["profit"]) for r in found.collect()}
+    assert got == {(None, 1.5): (1, 1), (1.55, None): (2, 2), (None, None): (5, 1)}
+
+
 def test_low_accuracy_cut(sides):
     r = low_accuracy_cut(sides).first()
     assert (r["observations"], r["profit"], r["hit_rate"]) == (1, -1, 0.0)
