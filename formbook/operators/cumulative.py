@@ -37,32 +37,37 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<m>_run`` (total up to and including the row) and ``<m>_all`` (group total).
 
-    Rows are ordered by ``value`` then ``tie`` within ``group``. Only the first window
+    Rows are ordered by ``value`` then ``tie`` within ``group``. Only the last window
     sees rows, a block at a time; the others run over block totals, at most a few
-    thousand per group. ``df`` is written out once, because both steps read it.
+    thousand per group. What lies below a block enters it as one more row in
+    front, so no join is needed. ``df`` is written out once, because both steps read it.
     """
     group = list(group)
     block = [*group, "_block"]
     keyed = written(df).selectExpr("*", f"{value_block(f'CAST({value} AS DOUBLE)')} AS _block")
-    order = value if tie is None else f"{value}, {tie}"
     whole = f"PARTITION BY {', '.join(group)}" if group else ""
-    within = f"PARTITION BY {', '.join(block)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     below = f"{whole} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    blocks = (
+    fronts = (
         keyed.groupBy(*block)
         .agg(*[F.expr(f"sum({m}) AS _{m}") for m in measures])
         .selectExpr(
             *block,
-            *[f"coalesce(sum(_{m}) OVER ({below}), 0) AS _{m}_below" for m in measures],
+            "0 AS _place",
+            *[f"coalesce(sum(_{m}) OVER ({below}), 0) AS {m}" for m in measures],
             *[f"sum(_{m}) OVER ({whole}) AS {m}_all" for m in measures],
         )
     )
+    order = f"_place, {value}" if tie is None else f"_place, {value}, {tie}"
+    frame = f"PARTITION BY {', '.join(block)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     return (
-        keyed.selectExpr("*", *[f"sum({m}) OVER ({within}) AS _{m}_within" for m in measures])
-        .join(blocks, on=block, how="inner")
+        keyed.selectExpr("*", "1 AS _place")
+        .unionByName(fronts, allowMissingColumns=True)
         .selectExpr(
             *df.columns,
-            *[f"_{m}_within + _{m}_below AS {m}_run" for m in measures],
-            *[f"{m}_all" for m in measures],
+            "_place",
+            *[f"sum({m}) OVER ({frame}) AS {m}_run" for m in measures],
+            *[f"max({m}_all) OVER ({frame}) AS {m}_all" for m in measures],
         )
+        .filter("_place = 1")
+        .drop("_place")
     )
