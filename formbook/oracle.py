@@ -605,6 +605,16 @@ alike AS (
         + with_history
         + """SELECT s.game_id, s.season, s.week, s.side, s.team, s.exp_points, s.kick_pct, s.points, historical_points
 FROM sides s LEFT JOIN alike c ON c.exp_points = s.exp_points AND c.kick_pct = s.kick_pct"""
+    )
+    sql["games_with_comparables"] = (
+        _FORM
+        + with_history
+        + """, answered AS (SELECT s.*, historical_points FROM sides s
+  LEFT JOIN alike c ON c.exp_points = s.exp_points AND c.kick_pct = s.kick_pct)
+SELECT h.game_id, h.exp_points AS home_exp_points, h.kick_pct AS home_kick_pct, h.points AS home_points,
+  h.historical_points AS home_historical_points, a.exp_points AS away_exp_points, a.kick_pct AS away_kick_pct,
+  a.points AS away_points, a.historical_points AS away_historical_points
+FROM answered h JOIN answered a ON h.game_id = a.game_id AND h.side = 'home' AND a.side = 'away'"""
     )
     sql["comparables_past_only"] = (
         _FORM

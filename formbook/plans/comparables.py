@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.bands import HIGHEST, Band, around, band_totals
+from formbook.operators.durable import written
 
 POINTS_BAND = 0.05
 
@@ -46,3 +47,16 @@ def add_comparables(
     found = comparable_points(history, sides, spread, as_of).drop("comparables")
     key = [c for c in found.columns if c != "historical_points"]
     return sides.join(found, on=key, how="left")
+
+
+def add_comparables_to_games(games: DataFrame, history: DataFrame, spread: float = POINTS_BAND) -> DataFrame:
+    """Wide games with ``home_`` and ``away_historical_points``.
+
+    ``history`` holds the sides; the answers per (exp_points, kick_pct) are worked out
+    once and written, then looked up for either side.
+    """
+    found = written(comparable_points(history, spread=spread).drop("comparables"))
+    for side in ("home", "away"):
+        mine = found.withColumnsRenamed({c: f"{side}_{c}" for c in found.columns})
+        games = games.join(mine, [f"{side}_exp_points", f"{side}_kick_pct"], "left")
+    return games

@@ -17,10 +17,12 @@ from formbook.functions.expr import (
     over_line_sql,
     ratio_sql,
 )
+from formbook.operators.durable import written
 from formbook.operators.plays import ROLE_MEASURES, attempts, role_rows
 from formbook.operators.relational import stack_tables
 from formbook.operators.rolling import games_by_team, trailing_sums
 from formbook.operators.sides import AWAY, HOME, schedule_sides, sides_to_games, stack_sides
+from formbook.plans.comparables import add_comparables_to_games
 from formbook.sources.schema import KICK_COUNTS
 from formbook.sources.sinks import write_games
 from formbook.sources.tables import FormTables, in_seasons
@@ -201,9 +203,21 @@ def with_dotted_names(games: DataFrame) -> DataFrame:
     return games.withColumnsRenamed({**names, **_ONE_SIDE_NAMES})
 
 
-def run(tables: FormTables, path: str, settings: FormSettings = FormSettings(), dotted: bool = False) -> str:
-    """Build the wide data set and write it as Parquet, one folder per season."""
+def run(
+    tables: FormTables,
+    path: str,
+    settings: FormSettings = FormSettings(),
+    dotted: bool = False,
+    comparables: bool = False,
+) -> str:
+    """Build the wide data set and write it as Parquet, one folder per season.
+
+    ``comparables`` adds what sides with a similar expectation scored.
+    """
     games = build_games(tables.with_modern_codes(), settings)
+    if comparables:
+        games = written(games)
+        games = add_comparables_to_games(games, game_sides(games))
     return write_games(with_dotted_names(games) if dotted else games, path)
 
 

@@ -22,10 +22,10 @@ from formbook.operators.rolling import (
     team_week_kicking,
     trailing_on_spine,
 )
-from formbook.operators.sides import add_opponent, distinct_matchups, schedule_sides
+from formbook.operators.sides import add_opponent, distinct_matchups, schedule_sides, stack_sides
 from formbook.oracle import CUTS, SWEEP
 from formbook.plans import reports
-from formbook.plans.comparables import add_comparables, comparable_points
+from formbook.plans.comparables import add_comparables, add_comparables_to_games, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides
 from formbook.sources import orders
 from formbook.sources.orders import OrderFolder
@@ -485,6 +485,14 @@ def historical_comparables(spark: SparkSession, d: str) -> DataFrame:
     return add_comparables(_report_sides(spark, d).select(*used))
 
 
+@_query
+def games_with_comparables(spark: SparkSession, d: str) -> DataFrame:
+    used = [f"{s}_{c}" for s in ("home", "away") for c in ("exp_points", "kick_pct", "points")]
+    wide = written(games(spark, d).select("game_id", *used))
+    history = stack_sides(wide, [], {c: (f"home_{c}", f"away_{c}") for c in ("exp_points", "kick_pct", "points")})
+    return add_comparables_to_games(wide, history)
+
+
 @_query
 def comparables_past_only(spark: SparkSession, d: str) -> DataFrame:
     return comparable_points(_report_sides(spark, d), as_of="past")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from formbook.operators.codes import DEFAULT_RULES, CodeRule, normalize_codes
 from formbook.sources.schema import KICK_COUNTS, PLAYS, SCHEDULE, WEEKLY, require_columns
@@ -65,6 +65,12 @@ def kickers_only(weekly: DataFrame) -> DataFrame:
     return weekly
 
 
+def single_precision(df: DataFrame) -> DataFrame:
+    """Doubles as floats: half the width for wide play tables whose measures need no more."""
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, DoubleType)]
+    return df.withColumns({c: F.col(c).cast("float") for c in doubles}) if doubles else df
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
@@ -76,12 +82,14 @@ def read_tables(
     schedule: str,
     plays: str,
     seasons: Sequence[int] | range = (),
+    downcast_plays: bool = False,
 ) -> FormTables:
-    """Three Parquet tables; the declared types are checked by name, further columns are kept."""
+    """Three Parquet tables, checked for the columns the plans need; further columns are kept."""
+    play_table = require_columns(read_table(spark, plays), PLAYS.fieldNames(), "plays")
     tables = FormTables(
         require_columns(kickers_only(read_table(spark, weekly)), ["season", "week", "team", *KICK_COUNTS], "weekly"),
         require_columns(read_table(spark, schedule), SCHEDULE.fieldNames(), "schedule"),
-        require_columns(read_table(spark, plays), PLAYS.fieldNames(), "plays"),
+        single_precision(play_table) if downcast_plays else play_table,
     )
     return tables.for_seasons(seasons)
 
@@ -96,4 +104,5 @@ __all__ = [
     "read_table",
     "read_tables",
     "season_range",
+    "single_precision",
 ]

@@ -14,7 +14,7 @@ from formbook.plans.reports import (
 )
 from formbook.sources.schema import PLAYS, SCHEDULE, WEEKLY, require_columns
 from formbook.sources.sinks import read_report_csv, write_csv, write_report_csv
-from formbook.sources.tables import FormTables, in_seasons, kickers_only, read_tables, season_range
+from formbook.sources.tables import FormTables, in_seasons, kickers_only, read_tables, season_range, single_precision
 from tests.conftest import rows
 
 
@@ -85,6 +85,9 @@ def test_run_writes_seasons_and_modern_codes(spark, tables, tmp_path):
     assert (tmp_path / "games" / "season=2021").is_dir()
     r = back.first()
     assert r["home_team"] == "LAC" and r["homegamesplayed"] == 6 and r["homeexpatt"] == pytest.approx(2.5)
+    path = run(tables, str(tmp_path / "more"), dotted=True, comparables=True)
+    r = spark.read.parquet(path).first()
+    assert r["homehistoricalfantasy"] == 7 and r["awayhistoricalfantasy"] == 0
 
 
 def test_readers(spark, tables, tmp_path):
@@ -95,8 +98,9 @@ def test_readers(spark, tables, tmp_path):
     )
     tables.schedule.write.partitionBy("season").parquet(paths["schedule"])
     tables.plays.write.parquet(paths["plays"])
-    back = read_tables(spark, **paths, seasons=season_range(2020, 2022))
+    back = read_tables(spark, **paths, seasons=season_range(2020, 2022), downcast_plays=True)
     assert rows(build_games(back), "game_id") == rows(build_games(tables), "game_id")
+    assert dict(single_precision(spark.range(1).selectExpr("1.5D AS a", "1 AS b")).dtypes) == {"a": "float", "b": "int"}
     assert kickers_only(spark.read.parquet(paths["weekly"])).count() == tables.weekly.count()
     assert in_seasons(tables.schedule, [2019, 2021]).count() == tables.schedule.count()
     with pytest.raises(ValueError, match="roof"):
