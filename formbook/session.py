@@ -17,6 +17,8 @@ def local_session(cores: int | str | None = None, app: str = "formbook") -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Eight shuffle partitions on eight cores leave nothing to coalesce.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # A report compiles more stages than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.sql.session.timeZone", "UTC")
         # Call sites recorded for every expression cost more than planning small queries.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
