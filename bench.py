@@ -35,7 +35,7 @@ HEADLINE = (
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="formbook-bench")
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.registered()
