@@ -57,11 +57,6 @@ def sides_to_games(sides: DataFrame, keys: Sequence[str], values: Sequence[str])
     return sides.groupBy(*keys).agg(*picks)
 
 
-def long_sides(games: DataFrame, values: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Wide games with ``home_x`` / ``away_x`` columns as one row per side with ``x``."""
-    return stack_sides(games, keep, {v: (f"home_{v}", f"away_{v}") for v in values})
-
-
 def add_opponent(team_rows: DataFrame, schedule: DataFrame) -> DataFrame:
     """Attach the opponents of the period; teams without a fixture are dropped."""
     matchups = distinct_matchups(schedule).withColumnRenamed("opp", "oppteam")
