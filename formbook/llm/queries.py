@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
 from formbook.llm.mixing import mix
+from formbook.llm.quality import judge
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,5 +22,9 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
