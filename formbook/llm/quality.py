@@ -108,7 +108,7 @@ def certified(good: np.ndarray, risk: float, level: float) -> int:
     return len(CUTOFFS)
 
 
-def _choose(found: pd.DataFrame, risk: float, level: float, cost: float) -> dict[str, float]:
+def _choose(found: pd.DataFrame, risk: float, level: float, cost: float, least: float) -> dict[str, float]:
     """The cutoff of each rule for one stratum's counts (rule, holdout, good, bucket, n)."""
     cuts = {}
     for rule in SHARES:
@@ -118,18 +118,20 @@ def _choose(found: pd.DataFrame, risk: float, level: float, cost: float) -> dict
 
         steps = certified(histogram(True, True), risk, level)
         gain = np.cumsum(histogram(False, False) - cost * histogram(False, True))[:steps]
-        if steps and gain.max() > 0:
+        if steps and gain.max() > least * histogram(False, False).sum():
             cuts[rule] = CUTOFFS[int(gain.argmax())]  # the most lenient of equals
     return cuts
 
 
 def learn_cutoffs(
-    counted: DataFrame, labels: DataFrame, risk: float = 0.1, confidence: float = 0.95, cost: float = 20.0
+    counted: DataFrame, labels: DataFrame, risk: float = 0.1, confidence: float = 0.95, cost: float = 20.0,
+    least: float = 0.1,
 ) -> DataFrame:
     """One row per stratum: ``_stratum`` and a cutoff for each rule (null: the rule rejects nothing).
 
     ``counted`` has ``doc_id, _stratum, _counts``; ``labels`` has ``doc_id, quality`` (1 good, 0 bad; null
-    is ignored, of several labels the best counts). Only counts per bucket leave the executors.
+    is ignored, of several labels the best counts). A rule is used where it gains more than ``least`` of
+    the bad documents, a good one beyond the cutoff counting as ``cost`` lost. Only counts per bucket leave the executors.
     """
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality IS NOT NULL")
     cutoffs = F.array(*[F.lit(c) for c in CUTOFFS])
@@ -152,7 +154,7 @@ def learn_cutoffs(
     schema = "_stratum string, " + ", ".join(f"{r} double" for r in SHARES)
 
     def choose(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        cuts = _choose(found, risk / len(SHARES), level, cost)
+        cuts = _choose(found, risk / len(SHARES), level, cost, least)
         return pd.DataFrame([[key[0], *(cuts.get(r) for r in SHARES)]], columns=["_stratum", *SHARES])
 
     return counts.groupBy("_stratum").applyInPandas(choose, schema)

@@ -11,6 +11,7 @@ from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
 from formbook.llm.mixing import mix
 from formbook.llm.quality import judge
+from formbook.llm.simhash import near_duplicates
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"), width=4, radius=4)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
 
