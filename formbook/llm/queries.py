@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
 from formbook.llm.mixing import mix
+from formbook.llm.packing import pack
 from formbook.llm.quality import judge
 from formbook.llm.simhash import near_duplicates
 
@@ -27,6 +28,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), width=4, radius=4)
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"), capacity=2048)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
 
