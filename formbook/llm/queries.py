@@ -13,6 +13,11 @@ from formbook.llm.mixing import mix
 from formbook.llm.packing import pack
 from formbook.llm.quality import judge
 from formbook.llm.simhash import near_duplicates
+from formbook.llm.warc import round_trip
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(read(spark, folder, "pages"), least_bytes=0).drop("url")
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
