@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
+from formbook.llm.langid import identify
 from formbook.llm.mixing import mix
 from formbook.llm.packing import pack
 from formbook.llm.quality import judge
@@ -37,6 +38,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), capacity=2048)
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(read(spark, folder, "documents"), vocabulary="piece_bpe_32k.model", per_language=2_000)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
 
