@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
 from formbook.llm.langid import identify
+from formbook.llm.licenses import scan as scan_licenses
 from formbook.llm.mixing import mix
 from formbook.llm.packing import pack
 from formbook.llm.quality import judge
+from formbook.llm.secrets import scan as scan_secrets
 from formbook.llm.simhash import near_duplicates
 from formbook.llm.warc import round_trip
 
@@ -38,6 +40,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), capacity=2048)
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(read(spark, folder, "documents"), reach=200)
+
+
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(read(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(read(spark, folder, "documents"), vocabulary="piece_bpe_32k.model", per_language=2_000)
 

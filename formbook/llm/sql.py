@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from formbook.llm.licenses import postings_values
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_WARC = """
@@ -62,6 +64,34 @@ SELECT doc_id, size, source_size, target,
 FROM budgets
 """
 
+#: Every place of every document against every template; no index.
+OP8_LICENSES = rf"""
+WITH postings(template, label, is_base, nth, word, is_key) AS ({postings_values()}),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+hits AS (SELECT r, pos - 1 AS pos, words[pos] AS word FROM texts, unnest(range(1, len(words) + 1)) AS u(pos)),
+seen AS (SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word),
+weights AS (
+  SELECT p.*, ln(1 + (SELECT count(*) FROM texts) / greatest(coalesce(df, 1), 1)::DOUBLE) AS idf
+  FROM postings p LEFT JOIN seen USING (word)),
+totals AS (SELECT template, sum(idf) AS weight, count(*) FILTER (WHERE is_key) AS keys FROM weights GROUP BY template),
+placed AS (
+  SELECT r, template, label, is_base, pos - nth AS place, sum(idf) AS there, count(*) FILTER (WHERE is_key) AS keys_there
+  FROM hits JOIN weights USING (word) GROUP BY ALL),
+found AS (
+  SELECT p.*, there / weight AS share FROM placed p JOIN totals t USING (template) WHERE keys_there = keys),
+folded AS (
+  SELECT r, count(*) FILTER (WHERE is_base) AS n_base, min(place) FILTER (WHERE is_base) AS first_word,
+         max(place) FILTER (WHERE is_base) AS last_word,
+         coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE is_base)), ','), '') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, round(max(share), 6) AS score
+  FROM found GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM texts LEFT JOIN folded USING (r)
+"""
+
 
 def statements() -> dict[str, str]:
     return {name.lower(): text for name, text in globals().items() if name.startswith("OP") and name[2].isdigit()}
