@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.operators.durable import written
+from formbook.operators.durable import shared_folder, written
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,13 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def written_by(df: DataFrame, column: str) -> DataFrame:
+    """``df`` written once with a folder per value of ``column``, so that a filter on it reads no other."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/formbook-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 100_000) -> DataFrame:
     """Join a table that is expected to be small. It is written and counted, and sent to all
     executors up to ``limit`` rows; beyond, both sides are shuffled and large keys split at run time."""

@@ -14,6 +14,7 @@ from formbook.llm.licenses import scan as scan_licenses
 from formbook.llm.mixing import mix
 from formbook.llm.packing import pack
 from formbook.llm.quality import judge
+from formbook.llm.repeats import remove_repeats
 from formbook.llm.secrets import scan as scan_secrets
 from formbook.llm.simhash import near_duplicates
 from formbook.llm.warc import round_trip
@@ -32,6 +33,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read(spark, folder, "documents"), least=100)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), width=4, radius=4)
 
