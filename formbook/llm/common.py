@@ -35,6 +35,18 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What names a row where identifiers may repeat: identifier and text. Null text is empty."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text).alias("_key")
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is in ``keys``, all columns; one of those that are alike in both."""
+    rows = docs.select(F.struct("*").alias("_doc"), row_key())
+    return rows.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
+
+
 def written_by(df: DataFrame, column: str) -> DataFrame:
     """``df`` written once with a folder per value of ``column``, so that a filter on it reads no other."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/formbook-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import ascii_lower, numbered
+from formbook.llm.common import ascii_lower, keep_rows, numbered, row_key
 
 _IDENTITY = ["_sha", "_bytes", "_check"]
 
@@ -30,19 +30,22 @@ def _best(key: str, keep: str) -> Column:
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8,
+    carry: tuple[Column, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z only; a null text equals an empty one.
     ``keep`` says which identifier of a group stays. A null identifier stays only where a
     group has no other. Rows that repeat an identifier and text count one by one in
-    ``group_size``, and exactly one of them is kept. An empty table gives an empty result.
+    ``group_size``, and exactly one of them is kept. An empty table gives an empty result. ``carry`` adds columns.
     """
     known = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    carried = docs.select(*carry).columns
     rows = numbered(
-        docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("_text")).select(
+        docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("_text"), *carry).select(
             "doc_id",
+            *carried,
             F.sha2("_text", 256).alias("_sha"),
             F.octet_length("_text").alias("_bytes"),
             F.xxhash64("_text").alias("_check"),
@@ -68,4 +71,10 @@ def exact_groups(
         F.col("_size").alias("group_size"),
         (F.col("_row") == F.col("_best._row")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *carried,
     )
+
+
+def without_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """``docs`` with one row of every group of equal texts, all columns."""
+    return keep_rows(docs, exact_groups(docs, keep=keep, carry=(row_key(),)).filter("kept").select("_key"))

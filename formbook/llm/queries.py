@@ -38,7 +38,7 @@ def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(read(spark, folder, "documents"), width=4, radius=4)
+    return near_duplicates(read(spark, folder, "documents"), width=4, radius=4).drop("kept")
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:

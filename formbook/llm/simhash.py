@@ -25,11 +25,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formbook.llm.common import numbered, utf8
+from formbook.llm.common import keep_rows, numbered, row_key, utf8
 from formbook.operators.durable import written
 
 _SEED, _BITS, _LEAF, _FAN = 42, 64, 8, 4
@@ -205,22 +205,38 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    carry: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hexadecimal digits), ``component_id``.
+    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hexadecimal digits), ``component_id``, ``kept``.
 
     ``component_id`` is the smallest identifier among rows linked directly or through others,
     where rows link at ``radius`` or fewer differing bits. Texts under ``width`` words are one
     shingle; a null, empty or blank text has fingerprint zero and links like any other. Null
-    identifiers are never a component's name unless the component has no other; then it is null. Repeated
-    rows share a component. An empty table gives an empty result.
+    identifiers never name a component that has others; else its name is null. Exactly one row of a component
+    is kept, one that has its name; rows that repeat an identifier share a component only if they link. An empty
+    table gives an empty result. ``carry`` adds columns.
     """
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(width)(utf8(text_col)).alias("fp")))
+    name = F.col(id_col).alias("doc_id")
+    rows = numbered(docs.select(name, _fingerprints(width)(utf8(text_col)).alias("fp"), *carry))
+    carried = docs.select(*carry).columns
     # Equal fingerprints are one from here on; a group of copies is folded before it is shuffled.
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min("_row").alias("name")))
-    links = near_links(prints, radius)
-    found = components(links, prints.select("fp", "name"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row"))
+    prints = written(rows.groupBy("fp").agg(first.alias("first"), F.min("_row").alias("name")))
+    found = components(near_links(prints, radius), prints.select("fp", "name"))
     named = written(prints.join(found, "fp", "left").withColumn("component", F.coalesce("component", "name")))
-    smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = named.join(smallest, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = named.groupBy("component").agg(F.min("first").alias("of_all"))
+    named = named.join(firsts, "component").select("fp", "of_all")
+    return rows.join(named, "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("of_all.doc_id").alias("component_id"),
+        (F.col("_row") == F.col("of_all._row")).alias("kept"),
+        *carried,
+    )
+
+
+def without_near_copies(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of every component, all columns."""
+    found = near_duplicates(docs, width, radius, carry=(row_key(),))
+    return keep_rows(docs, found.filter("kept").select("_key"))
