@@ -40,6 +40,8 @@ def exact_groups(
     group has no other. Rows that repeat an identifier and text count one by one in
     ``group_size``, and exactly one of them is kept. An empty table gives an empty result. ``carry`` adds columns.
     """
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
     known = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
     carried = docs.select(*carry).columns
     rows = numbered(

@@ -389,6 +389,8 @@ def remove_repeats(docs: DataFrame, least: int = 100, fan_in: int = 32) -> DataF
     """
     if not _GRAM + 8 <= least <= 255:
         raise ValueError(f"least must be from {_GRAM + 8} to 255 bytes")
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = total // _BUCKET + 1
