@@ -55,7 +55,7 @@ def test_odd_rows(odd, odd_docs, empty_docs):
 
 
 def test_rows_that_repeat_an_identifier(spark):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(400))
+    text = "".join(random.Random(1).choices("abcdef", k=400))
     docs = frame(spark, [(5, text, "en", "a")] * 3 + [(None, text, "en", "a"), (4, text[:250], "en", "a")])
     found = sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(docs).collect())
     # 301 windows; 151 of them are in document 4 and cover its 250 bytes.
