@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.operators.durable import shared_folder, written
+from formbook.operators.durable import fresh_folder, written
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +47,7 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def written_by(df: DataFrame, column: str) -> DataFrame:
     """``df`` written once with a folder per value of ``column``, so that a filter on it reads no other."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/formbook-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.partitionBy(column).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.operators.durable import shared_folder, written
+from formbook.operators.durable import fresh_folder, written
 
 _END = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -142,7 +142,7 @@ def normalise(spark: SparkSession, monolithic: str, folder: str, level: int = 6)
     """Rewrite every archive of a folder with one gzip member per record; returns the offset index
     (``page_id, record_type, archive, offset, length``), which also lies beside each archive as ``.cdxj``."""
     def rewrite(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = fs.FileSystem.from_uri(folder)
+        filesystem, root = fs.FileSystem.from_uri(_uri(folder))
         filesystem.create_dir(root)
         for part in parts:
             for source, raw in zip(part["path"], part["content"]):
@@ -172,7 +172,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of an index: headers, and payload (a revisit has none). ``payload_bytes`` is the length
     that the HTTP header states, which a revisit keeps too; for a response it is verified, as is the digest."""
     def fetch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = fs.FileSystem.from_uri(folder)
+        filesystem, root = fs.FileSystem.from_uri(_uri(folder))
         for part in parts:
             for archive, wanted in part.groupby("archive"):
                 rows = []
@@ -203,6 +203,11 @@ def _parsed(record: bytes) -> tuple:
     )
 
 
+def _uri(path: str) -> str:
+    """A path as Arrow's file systems take it: local ones with an empty authority."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0, records_per_archive: int = 2_000) -> DataFrame:
     """Write ``pages``, normalise the archives, and read every record back through the index:
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``.
@@ -212,8 +217,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, records_per_archive: int
     address are left out. An empty table gives archives without records and an empty result.
     """
     spark = pages.sparkSession
-    root = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    root = _uri(fresh_folder(spark, "warc"))
     write_monolithic(pages, f"{root}/monolithic", least_bytes, records_per_archive)
     index = normalise(spark, f"{root}/monolithic", f"{root}/members")
     return read_records(index, f"{root}/members").select(
