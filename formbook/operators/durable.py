@@ -1,32 +1,33 @@
 """Cutting a plan that several later steps read.
 
-The intermediate table is written as Parquet under the cluster's shared
-checkpoint folder: columnar, pruned on re-read, and still there when the
-executor that produced a part of it is gone.
+The intermediate table is written as Parquet into a folder that all executors share:
+columnar, pruned on re-read, and still there when the executor that produced a part of it is
+gone. Folders go when the driver ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session may fall back to a temporary one."""
+    """The session's checkpoint folder; where none is set, its warehouse, which executors share too."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="formbook-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, kind: str = "formbook") -> str:
+    """A new folder's path under the shared one, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/formbook-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

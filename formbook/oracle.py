@@ -234,6 +234,7 @@ SWEEP = (
     (0.8, "o", 0.9, None),
     (1.0, "o", 0.5, 0.95),
     (2.6, "o", None, None),
+    *(((2 * step + 1) / 100, "u" if step < 75 else "o", None, None) for step in range(30, 130)),
 )
 
 
@@ -468,24 +469,12 @@ FROM sides h JOIN sides a ON h.game_id = a.game_id AND h.side = 'home' AND a.sid
     sql["points_fallback"] = (
         _LINES + "SELECT game_id, season, week, team, pat_made + 3 * fg_made AS fantasy_points FROM weekly"
     )
-    # Lists hold about 64 kicks at most: a larger game is cut into pieces, each with its own first eight.
     sql["points_from_list"] = (
         _LINES
-        + """, sized AS (
-  SELECT *, CAST(ceil(greatest(sum(made) OVER (PARTITION BY game_id), 1) / 64e0) AS BIGINT) AS pieces
-  FROM lines WHERE position = 'K'),
-lists AS (
-  SELECT game_id, season, week, posteam AS team, player_id,
-         (l_partkey * 31 + l_suppkey * 7 + CAST(round(l_extendedprice * 100) AS BIGINT)) % pieces AS piece,
-         sum(CASE WHEN made = 1 AND yards < 40 THEN 3 WHEN made = 1 AND yards < 50 THEN 4
-                  WHEN made = 1 THEN 5 ELSE pat END) AS points,
-         sum(pat) AS pat_made,
-         (list(yards ORDER BY yards) FILTER (WHERE made = 1))[1:8] AS first_eight
-  FROM sized GROUP BY ALL)
-SELECT game_id, season, week, team, player_id, CAST(sum(points) AS BIGINT) AS fantasy_points,
-  CAST(sum(pat_made + (SELECT coalesce(sum(CASE WHEN y < 40 THEN 3 WHEN y < 50 THEN 4 ELSE 5 END), 0)
-        FROM (SELECT unnest(first_eight) AS y))) AS BIGINT) AS first_eight_points
-FROM lists GROUP BY ALL"""
+        + """SELECT game_id, season, week, posteam AS team, player_id,
+  CAST(sum(CASE WHEN made = 1 AND yards < 40 THEN 3 WHEN made = 1 AND yards < 50 THEN 4
+                WHEN made = 1 THEN 5 ELSE pat END) AS BIGINT) AS fantasy_points
+FROM lines WHERE position = 'K' GROUP BY ALL"""
     )
     sql["actual_points"] = (
         _LINES

@@ -16,7 +16,8 @@ from formbook.functions.stats import (
     jarque_bera,
     jarque_bera_signs,
 )
-from formbook.operators.bands import HIGHEST, Band, around, band_totals
+from formbook.operators.bands import around, band_totals
+from formbook.operators.intervals import Box, count_boxes
 
 REPORT_BAND = 0.06
 THRESHOLD_BAND = 0.03
@@ -128,51 +129,10 @@ class Cut:
     max_pct: float | None = None
 
 
-# Tries answered by conditional counts in one pass; a longer list goes through the band totals.
-ONE_PASS_TRIES = 32
-
-
 def _literal(value: float | None) -> str:
     return "CAST(NULL AS DOUBLE)" if value is None else f"{float(value)!r}D"
 
 
-def _within(column: str, low: float | None, high: float | None) -> list[str]:
-    limits = ((">=", low), ("<=", high))
-    return [f"{column} {op} {_literal(v)}" for op, v in limits if v is not None]
-
-
-def _count_tries(rows: DataFrame, tries: Sequence[tuple[dict[str, str], list[str]]]) -> DataFrame:
-    """(labels, n, hits, misses, periods) of each try, from a single aggregation without a join."""
-    totals, structs = [], []
-    for i, (labels, conditions) in enumerate(tries):
-        inside = " AND ".join([*conditions, "cash IS NOT NULL"])
-        totals += [
-            f"count_if({inside}) AS n{i}",
-            f"count_if({inside} AND cash = 1) AS hits{i}",
-            f"count_if({inside} AND cash = -1) AS misses{i}",
-        ]
-        cells = {**labels, "n": f"n{i}", "hits": f"hits{i}", "misses": f"misses{i}", "periods": "periods"}
-        structs.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
-    counted = rows.agg(F.expr("count(DISTINCT season, week) AS periods"), *[F.expr(t) for t in totals])
-    return counted.selectExpr(f"inline(array({', '.join(structs)}))")
-
-
-def _sweep_by_bands(
-    sides: DataFrame, thresholds: Sequence[Threshold], spread: float, expectation: str, zero_fill: bool
-) -> DataFrame:
-    rows = [(float(t.exatt), t.flag, t.min_pct, t.max_pct) for t in thresholds]
-    tries = sides.sparkSession.createDataFrame(rows, "threshold double, o_u string, min_pct double, max_pct double")
-    history = outcome_history(sides, expectation, zero_fill)
-    low, high = f"coalesce(min_pct, -{HIGHEST}D)", f"coalesce(max_pct, {HIGHEST}D)"
-    # A row without accuracy can only pass where no cut is asked for.
-    history = history.fillna(-HIGHEST, ["pct"])
-    bands = [Band("pct", low, high), around("exatt", "threshold", spread)]
-    key = ["threshold", "min_pct", "max_pct"]
-    found = band_totals(history, tries, key, bands, OUTCOME_COUNTS).withColumnsRenamed({k: f"_{k}" for k in key})
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    return tries.join(found, match, "left").drop(*[f"_{k}" for k in key])
-
-
 def threshold_sweep(
     sides: DataFrame,
     thresholds: Sequence[Threshold],
@@ -180,21 +140,20 @@ def threshold_sweep(
     expectation: str = "exp_att",
     zero_fill: bool = False,
 ) -> DataFrame:
-    """One row per threshold tried, all in the same pass over the sides."""
-    if len(thresholds) > ONE_PASS_TRIES:
-        found = _sweep_by_bands(sides, thresholds, spread, expectation, zero_fill)
-        return verdict(found, period_scalar(sides), F.col("o_u"))
-    tries = []
+    """One row per threshold tried, all in the same pass over the sides.
+
+    A side without accuracy counts only where no accuracy cut is asked for."""
+    boxes = []
     for t in thresholds:
-        band = _within("exatt", t.exatt * round(1 - spread, 12), t.exatt * round(1 + spread, 12))
         labels = {
             "threshold": _literal(t.exatt),
             "o_u": f"'{t.flag}'",
             "min_pct": _literal(t.min_pct),
             "max_pct": _literal(t.max_pct),
         }
-        tries.append((labels, band + _within("pct", t.min_pct, t.max_pct)))
-    found = _count_tries(outcome_rows(sides, expectation, zero_fill), tries)
+        near = (t.exatt * round(1 - spread, 12), t.exatt * round(1 + spread, 12))
+        boxes.append(Box(labels, {"exatt": near, "pct": (t.min_pct, t.max_pct)}))
+    found = count_boxes(outcome_rows(sides, expectation, zero_fill), boxes, ["season", "week"])
     return verdict(found, F.col("periods"), F.col("o_u")).drop("periods")
 
 
@@ -215,12 +174,15 @@ def cut_report(
     sides: DataFrame, cuts: Sequence[Cut], expectation: str = "exp_att", zero_fill: bool = False
 ) -> DataFrame:
     """One row per rule of thumb: everything below or above the given limits."""
-    tries = []
+    boxes = []
     for c in cuts:
         labels = {k: _literal(getattr(c, k)) for k in ("min_exatt", "max_exatt", "min_pct", "max_pct")}
-        inside = _within("exatt", c.min_exatt, c.max_exatt) + _within("pct", c.min_pct, c.max_pct)
-        tries.append(({**labels, "o_u": f"'{c.flag}'"}, [*inside, "exatt IS NOT NULL"]))
-    found = _count_tries(outcome_rows(sides, expectation, zero_fill), tries)
+        ends = {"exatt": (c.min_exatt, c.max_exatt), "pct": (c.min_pct, c.max_pct)}
+        boxes.append(Box({**labels, "o_u": f"'{c.flag}'"}, ends))
+    rows = outcome_rows(sides, expectation, zero_fill)
+    # A side without expectation counts as a period only.
+    rows = rows.withColumn("cash", F.when(F.col("exatt").isNotNull(), F.col("cash")))
+    found = count_boxes(rows, boxes, ["season", "week"])
     return verdict(found, F.col("periods"), F.col("o_u")).drop("periods")
 
 

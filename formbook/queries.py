@@ -23,7 +23,6 @@ from formbook.operators.rolling import (
     trailing_on_spine,
 )
 from formbook.operators.sides import add_opponent, distinct_matchups, schedule_sides, stack_sides
-from formbook.oracle import CUTS, SWEEP
 from formbook.plans import reports
 from formbook.plans.comparables import add_comparables, add_comparables_to_games, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides
@@ -38,6 +37,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = FormSettings(min_week=7, max_week=53, window_weeks=6)
 BOARD_SEASON, BOARD_WEEK = 2000, 20
 
+# The tries of the threshold analysis, and a row of tries a fiftieth apart.
+SWEEP = (
+    reports.Threshold(1.22),
+    reports.Threshold(1.3, max_pct=0.9),
+    reports.Threshold(1.5, max_pct=0.65),
+    reports.Threshold(0.8, "o", min_pct=0.9),
+    reports.Threshold(1.0, "o", max_pct=0.95, min_pct=0.5),
+    reports.Threshold(2.6, "o"),
+    *(reports.Threshold((2 * step + 1) / 100, "u" if step < 75 else "o") for step in range(30, 130)),
+)
+CUTS = (
+    reports.Cut("u", max_exatt=1.3, max_pct=0.9),
+    reports.Cut("o", min_exatt=2.7, min_pct=0.9),
+    reports.Cut("o", min_exatt=2.6),
+    reports.Cut("u", max_exatt=1.5, max_pct=0.65),
+)
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -291,16 +307,8 @@ def points_fallback(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def points_from_list(spark: SparkSession, d: str) -> DataFrame:
     lists = orders.weekly_lists(OrderFolder.at(spark, d))
-    return (
-        lists.withColumns(
-            {
-                "fantasy_points": distance_list_points("fg_made_list") + F.col("pat_made"),
-                "first_eight_points": distance_list_points("fg_made_list", 8) + F.col("pat_made"),
-            }
-        )
-        .groupBy("game_id", "season", "week", "team", "player_id")
-        .agg(F.sum("fantasy_points").alias("fantasy_points"), F.sum("first_eight_points").alias("first_eight_points"))
-    )
+    points = distance_list_points("fg_made_list") * F.col("times") + F.col("pat_made")
+    return lists.groupBy("game_id", "season", "week", "team", "player_id").agg(F.sum(points).alias("fantasy_points"))
 
 
 @_query
@@ -451,14 +459,12 @@ def threshold_single(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    tries = [reports.Threshold(t, flag, max_pct=hi, min_pct=lo) for t, flag, lo, hi in SWEEP]
-    return _rounded(reports.threshold_sweep(sides(spark, d), tries, zero_fill=True), 9, "p_value")
+    return _rounded(reports.threshold_sweep(sides(spark, d), SWEEP, zero_fill=True), 9, "p_value")
 
 
 @_query
 def cut_rules(spark: SparkSession, d: str) -> DataFrame:
-    cuts = [reports.Cut(*rule) for rule in CUTS]
-    return _rounded(reports.cut_report(sides(spark, d), cuts, zero_fill=True), 9, "p_value")
+    return _rounded(reports.cut_report(sides(spark, d), CUTS, zero_fill=True), 9, "p_value")
 
 
 @_query

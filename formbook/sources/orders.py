@@ -23,15 +23,20 @@ from formbook.sources.tables import FormTables, kickers_only
 # Line number and supplier packed into one long, so that first and last line
 # are a plain minimum and maximum: both are combined before the shuffle and an
 # order of any size costs one row per task. A window or a struct minimum
-# would sort all lines of an order together.
+# would sort all lines of an order together. What does not fit is an error, not another team.
 _SUPPLIER_BITS = 48
 _SUPPLIER_MASK = (1 << _SUPPLIER_BITS) - 1
+_LAST_LINE = (1 << (63 - _SUPPLIER_BITS)) - 1
 
-_BUCKET_LIMITS = dict(zip(BUCKET_POINTS, (19, 29, 39, 49, 59, 999)))
-_LIST_CHUNK = 64
+# Upper ends of the distance buckets; the last one is open.
+_BUCKET_LIMITS = dict(zip(BUCKET_POINTS, (19, 29, 39, 49, 59)))
 
 
-_LINE_ORDER = f"shiftleft(CAST(l_linenumber AS BIGINT), {_SUPPLIER_BITS}) | l_suppkey"
+_LINE_ORDER = (
+    f"IF(l_linenumber NOT BETWEEN 0 AND {_LAST_LINE} OR l_suppkey NOT BETWEEN 0 AND {_SUPPLIER_MASK}, "
+    "raise_error(concat('line number or supplier out of range: ', l_linenumber, ', ', l_suppkey)), "
+    f"shiftleft(CAST(l_linenumber AS BIGINT), {_SUPPLIER_BITS}) | l_suppkey)"
+)
 _ATTEMPT = "l_returnflag IN ('R', 'A')"
 _MADE = f"{_ATTEMPT} AND l_discount <= 0.08D"
 _EXTRA_POINT = f"NOT {_ATTEMPT} AND l_tax <= 0.07D"
@@ -107,9 +112,12 @@ def _kind() -> str:
     bucket = "CASE " + " ".join(
         f"WHEN {_DISTANCE} <= {limit} THEN {_KINDS.index(name)}" for name, limit in _BUCKET_LIMITS.items()
     )
+    first, last = _KINDS.index(next(iter(BUCKET_POINTS))), _KINDS.index(list(BUCKET_POINTS)[-1])
+    # A made kick of unknown distance counts as one of the shortest.
+    bucket += f" WHEN {_DISTANCE} IS NULL THEN {first} ELSE {last} END"
     missed, good, failed = (_KINDS.index(k) for k in ("fg_missed", "pat_made", "pat_missed"))
     return (
-        f"CASE WHEN {_ATTEMPT} THEN CASE WHEN l_discount <= 0.08D THEN {bucket} END ELSE {missed} END "
+        f"CASE WHEN {_ATTEMPT} THEN CASE WHEN l_discount <= 0.08D THEN {bucket} ELSE {missed} END "
         f"WHEN l_tax <= 0.07D THEN {good} ELSE {failed} END"
     )
 
@@ -161,33 +169,33 @@ def weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFram
 
 
 def weekly_lists(source: OrderFolder) -> DataFrame:
-    """Kicking rows with the made distances as text, shortest first.
+    """Kicking rows with made distances as text, shortest first: each distance in ``fg_made_list`` was made ``times``
+    times. One row per game, team, player and ``times``; extra points have a row with an empty list.
 
-    A very large game is cut into several rows, so no list outgrows its cell:
-    the number of pieces follows from the counted kicks of the game.
+    Kicks are counted by distance before they meet their game, so a game of any size costs one row per
+    distance and task, and the range of distances bounds every list.
     """
-    games = _games(source.lines, f"count_if({_MADE}) AS n_made")
-    games = games.join(_orders(source), "game_id").filter("position = 'K'")
-    lines = source.lines.withColumnRenamed("l_orderkey", "game_id").join(games, "game_id")
-    pieces = f"ceil(greatest(n_made, 1) / {_LIST_CHUNK})"
-    spread = "l_partkey * 31 + l_suppkey * 7 + CAST(round(l_extendedprice * 100) AS BIGINT)"
-    return (
-        lines.selectExpr(
-            "game_id",
-            "season",
-            "week",
-            f"CASE WHEN {_HOME_LINE} THEN home_team ELSE away_team END AS team",
-            "player_id",
-            f"pmod({spread}, {pieces}) AS piece",
+    counts = (
+        source.lines.selectExpr(
+            "l_orderkey AS game_id",
+            f"{_HOME_LINE} AS at_home",
             f"CASE WHEN {_MADE} THEN {_DISTANCE} END AS distance",
             f"CASE WHEN {_EXTRA_POINT} THEN 1 ELSE 0 END AS pat",
         )
-        .groupBy("game_id", "season", "week", "team", "player_id", "piece")
+        .groupBy("game_id", "at_home", "distance")
+        .agg(F.count("distance").alias("times"), F.sum("pat").alias("pat"))
+    )
+    games = _games(source.lines).join(_orders(source), "game_id").filter("position = 'K'")
+    return (
+        counts.join(games, "game_id")
+        .selectExpr(
+            "game_id", "season", "week", "IF(at_home, home_team, away_team) AS team", "player_id", "times", "distance", "pat"
+        )
+        .groupBy("game_id", "season", "week", "team", "player_id", "times")
         .agg(
             F.expr("array_join(CAST(sort_array(collect_list(distance)) AS ARRAY<STRING>), ';') AS fg_made_list"),
-            F.expr("sum(pat) AS pat_made"),
+            F.sum("pat").alias("pat_made"),
         )
-        .drop("piece")
     )
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from formbook.operators.durable import written
@@ -162,20 +165,44 @@ def test_sweep_accuracy_cuts(sides):
     assert got == {(None, 0.6): 1, (0.6, None): 2}
 
 
-def test_long_sweep_goes_through_bands(sides, monkeypatch):
-    tries = [Threshold(1.5), Threshold(1.5, "o", min_pct=0.6), Threshold(1.6, "o", max_pct=0.95), Threshold(7.0)]
-    for fill in (False, True):
-        short = rows(threshold_sweep(sides, tries, zero_fill=fill), "threshold", "min_pct")
-        monkeypatch.setattr("formbook.plans.reports.ONE_PASS_TRIES", 0)
-        long = threshold_sweep(sides, tries, zero_fill=fill)
-        names = threshold_sweep(sides, tries[:1]).columns
-        monkeypatch.undo()
-        assert rows(long.select(short_columns(threshold_sweep(sides, tries))), "threshold", "min_pct") == short
-        assert set(names) == set(long.columns)
-
-
-def short_columns(df):
-    return df.columns
+@pytest.mark.parametrize("zero_fill", [False, True])
+@pytest.mark.parametrize("count", [1, 32, 33, 200])
+def test_sweep_of_any_length_equals_brute_force(spark, count, zero_fill):
+    rng = random.Random(count)
+    pick = lambda *values: rng.choice([None, *values])
+    data = [
+        (rng.choice([2000, 2001]), rng.randint(1, 5), pick(1.0, 1.2, 1.25, 2.0), pick(0.0, 2.0, 4.0), pick(0.0, 1.0, 2.0, 3.0), pick(1, -1))
+        for _ in range(150)
+    ]
+    schema = "season int, week int, exp_att double, fg_att double, fg_made double, cash int"
+    tries = [
+        Threshold(rng.choice([1.0, 1.2, 1.25, 1.9, 7.0]), rng.choice("uo"), pick(0.5, 0.9, 1.5), pick(0.25, 0.5)) for _ in range(count)
+    ]
+    tries[0] = Threshold(1.2, "u", 0.9)
+    want = Counter()
+    for t in tries:
+        n = hits = misses = 0
+        for _, _, exatt, att, made, cash in data:
+            pct = None if att is None else 0.0 if att == 0 else None if made is None else made / att
+            if zero_fill:
+                exatt, pct, cash = exatt or 0, pct or 0, cash or 0
+            if exatt is None or cash is None or not t.exatt * 0.97 <= exatt <= t.exatt * 1.03:
+                continue
+            if (t.max_pct is not None or t.min_pct is not None) and pct is None:
+                continue
+            if (t.max_pct is not None and pct > t.max_pct) or (t.min_pct is not None and pct < t.min_pct):
+                continue
+            n, hits, misses = n + 1, hits + (cash == 1), misses + (cash == -1)
+        want[t.exatt, t.flag, t.min_pct, t.max_pct, n, (misses - hits) if t.flag == "u" else hits - misses] += 1
+    periods = len({r[:2] for r in data})
+    found = threshold_sweep(spark.createDataFrame(data, schema), tries, zero_fill=zero_fill).collect()
+    assert Counter((r.threshold, r.o_u, r.min_pct, r.max_pct, r.observations, r.profit) for r in found) == want
+    assert all(r.weeks_per_occurrence == pytest.approx(r.observations / periods) for r in found)
+
+
+def test_sweep_over_no_sides(sides):
+    found = threshold_sweep(sides.limit(0), [Threshold(1.5), Threshold(2.0)]).collect()
+    assert [r.observations for r in found] == [0, 0]
 
 
 def test_cut_report(sides):
