@@ -64,15 +64,20 @@ def count_boxes(rows: DataFrame, boxes: Sequence[Box], period: Sequence[str], ou
         f"(b.{c}_low IS NULL OR _{c} >= b.{c}_low) AND (b.{c}_high IS NULL OR _{c} <= b.{c}_high)" for c in columns
     )
     inside = f"transform(filter(array({', '.join(limits)}), b -> {tests}), b -> b.box)"
-    # Box -1 holds every row.
+    # Box -1 holds every row. Boxes without a row are entered once more, with nothing.
+    spark, sums = rows.sparkSession, ("n", "hits", "misses")
+    nothing = spark.range(-1, len(boxes)).selectExpr("CAST(id AS INT) AS _box", *[f"0L AS {c}" for c in (*sums, "_periods")])
     counted = (
         cells.selectExpr(*period, "n", "hits", "misses", f"explode(concat({inside}, array(-1))) AS _box")
         .groupBy("_box")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "hits", "misses")], F.count_distinct(*period).alias("_periods"))
+        .agg(*[F.sum(c).alias(c) for c in sums], F.count_distinct(*period).alias("_periods"))
+        .unionByName(nothing)
+        .groupBy("_box")
+        .agg(*[F.sum(c).alias(c) for c in (*sums, "_periods")])
         .withColumn("periods", F.max(F.when(F.col("_box") == -1, F.col("_periods"))).over(Window.partitionBy()))
     )
     named = ", ".join(
         f"named_struct('_box', {i}, " + ", ".join(f"'{k}', {v}" for k, v in b.labels.items()) + ")" for i, b in enumerate(boxes)
     )
-    listed = rows.sparkSession.range(1).selectExpr(f"inline(array({named}))")
-    return listed.join(counted.drop("_periods"), "_box", "left").fillna(0, ["n", "hits", "misses", "periods"]).drop("_box")
+    listed = spark.range(1).selectExpr(f"inline(array({named}))")
+    return listed.join(counted.drop("_periods"), "_box").drop("_box")

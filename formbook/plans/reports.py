@@ -63,7 +63,7 @@ def verdict(counts: DataFrame, periods: Column, flag: Column | None = None) -> D
     statistic = jarque_bera_signs(n, hits, misses)
     return counts.withColumns(
         {
-            "weeks_per_occurrence": n / periods,
+            "weeks_per_occurrence": F.try_divide(n, periods),
             "o_u": F.when(under, "u").otherwise("o"),
             "p_value": chi2_2df_tail(statistic),
             "observations": n,
