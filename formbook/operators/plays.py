@@ -25,10 +25,11 @@ def role_rows(plays: DataFrame) -> DataFrame:
     """Each attempt twice: once for the offence, once for the defence.
 
     Own and allowed counts are separate columns of one table, so a single
-    aggregation by team serves both roles.
+    aggregation by team serves both roles. A row may stand for several attempts with one result:
+    ``field_goal_attempt`` says how many.
     """
     tried = "CAST(field_goal_attempt AS BIGINT)"
-    made = f"CASE WHEN field_goal_result = '{SUCCESS}' THEN 1L ELSE 0L END"
+    made = f"CASE WHEN field_goal_result = '{SUCCESS}' THEN {tried} ELSE 0L END"
     nothing = "CAST(NULL AS BIGINT)"
     return stack_rows(
         plays,

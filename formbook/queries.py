@@ -260,13 +260,13 @@ def rolling_form(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def rolling_allowed_any(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
-    return rolling_allowed(orders.plays(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week)
+    return rolling_allowed(orders.attempts_by_game(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week)
 
 
 @_query
 def rolling_allowed_fourth(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
-    return rolling_allowed(orders.plays(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week, down=4)
+    return rolling_allowed(orders.attempts_by_game(OrderFolder.at(spark, d)), s.window_weeks, s.min_week, s.max_week, down=4)
 
 
 @_query
