@@ -636,6 +636,10 @@ FROM sides s LEFT JOIN alike c ON c.exp_points = s.exp_points AND c.kick_pct = s
   {board} GROUP BY ALL)"""
         + _verdict("(SELECT * FROM counted, period)", "game_id, side, team, threshold, pct_threshold")
     )
+    sql["weekly_report"] = f"""
+SELECT threshold, weeks_per_occurrence AS weeksperoccurence, o_u, pct_threshold AS kickpctthresh, p_value AS pvalue,
+       CAST(observations AS INTEGER) AS observations, team, CAST(profit AS INTEGER) AS profit, hit_rate_ref AS hitrate
+FROM ({sql["threshold_report"]})"""
     sql["over_under_flip"] = (
         _FORM
         + """, period AS (SELECT count(*) AS periods FROM (SELECT DISTINCT season, week FROM sides)),

@@ -108,6 +108,21 @@ def threshold_report(
     return verdict(rows, period_scalar(sides))
 
 
+def published(report: DataFrame) -> DataFrame:
+    """A threshold report in the published columns; ``hitrate`` is the published figure."""
+    return report.select(
+        "threshold",
+        F.col("weeks_per_occurrence").alias("weeksperoccurence"),
+        "o_u",
+        F.col("pct_threshold").alias("kickpctthresh"),
+        F.col("p_value").alias("pvalue"),
+        F.col("observations").cast("int").alias("observations"),
+        "team",
+        F.col("profit").cast("int").alias("profit"),
+        F.col("hit_rate_ref").alias("hitrate"),
+    )
+
+
 @dataclass(frozen=True)
 class Threshold:
     """One try of a threshold analysis: a band around ``exatt``, optional accuracy cuts."""
@@ -254,6 +269,7 @@ __all__ = [
     "period_count",
     "period_scalar",
     "points_threshold",
+    "published",
     "threshold_report",
     "threshold_single",
     "threshold_sweep",

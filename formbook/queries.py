@@ -518,6 +518,12 @@ def threshold_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(reports.threshold_report(history, board, zero_fill=True), 9, "p_value")
 
 
+@_query
+def weekly_report(spark: SparkSession, d: str) -> DataFrame:
+    """The week's report as it is published."""
+    return reports.published(threshold_report(spark, d))
+
+
 @_query
 def over_under_flip(spark: SparkSession, d: str) -> DataFrame:
     rows = written(sides(spark, d).select("season", "week", "team", "cash"))

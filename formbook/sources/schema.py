@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, NumericType, StringType, StructField, StructType
 
 KICK_COUNTS = ("fg_att", "fg_made", "fg_missed", "pat_att", "pat_made")
 
@@ -72,3 +73,18 @@ def require_columns(df: DataFrame, names: Iterable[str], table: str) -> DataFram
     if missing:
         raise ValueError(f"{table} lacks the columns {', '.join(missing)}")
     return df
+
+
+def conform(df: DataFrame, schema: StructType, table: str) -> DataFrame:
+    """Declared numbers in their declared type, NaN as NULL in every column; a declared number that is none is an error."""
+    wrong = [
+        f"{f.name} ({df.schema[f.name].dataType.simpleString()})"
+        for f in schema
+        if f.name in df.columns and isinstance(f.dataType, NumericType) and not isinstance(df.schema[f.name].dataType, NumericType)
+    ]
+    if wrong:
+        raise ValueError(f"{table} has text where numbers belong: {', '.join(wrong)}")
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    numbers = {f.name: f.dataType for f in schema if f.name in df.columns and isinstance(f.dataType, NumericType)}
+    return df.withColumns({c: F.col(c).cast(kind) for c, kind in numbers.items()})

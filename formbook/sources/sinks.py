@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from formbook.operators.durable import written
 from formbook.sources.schema import THRESHOLD_REPORT
 
 
@@ -26,13 +27,9 @@ def write_report_csv(report: DataFrame, path: str, order_by: Sequence[str]) -> s
     """The published layout: quoted names and texts, row number first, CRLF line ends.
 
     Row numbers come from per-partition counts, so the sorted report stays distributed.
-    Every part file starts with the header.
+    Every part file starts with the header, which an empty report has too.
     """
-    ordered = report.orderBy(*order_by)
-    numbered = ordered.rdd.zipWithIndex().map(lambda pair: (pair[1] + 1, *pair[0]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in report.schema)
-    rows = report.sparkSession.createDataFrame(numbered, f"_row bigint, {fields}")
-    names = ["", *report.columns]
+    rows = numbered_rows(report, order_by)
     texts = {"_row", *[f.name for f in report.schema if isinstance(f.dataType, StringType)]}
 
     def cell(name: str) -> Column:
@@ -41,20 +38,33 @@ def write_report_csv(report: DataFrame, path: str, order_by: Sequence[str]) -> s
             text = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
         return F.coalesce(text, F.lit("NA"))
 
-    header = ",".join(f'"{n}"' for n in names)
-    line = F.concat_ws(",", *[cell(c) for c in rows.columns])
-    text = rows.select(line.alias("value"))
+    header = ",".join(f'"{n}"' for n in ["", *report.columns])
+    line = F.concat_ws(",", *[cell(c) for c in ["_row", *report.columns]])
+    # The writer adds header and line ends; a line is one column to it, and it has no quotes of its own.
+    (
+        rows.select(line.alias(header))
+        .write.mode("overwrite")
+        .options(header=True, sep="\u0001", quote="", escapeQuotes=False, lineSep="\r\n", ignoreLeadingWhiteSpace=False)
+        .csv(path)
+    )
+    return path
 
-    def with_header(lines):
-        first = True
-        for batch in lines:
-            if first:
-                first = False
-                batch.loc[batch.index[0], "value"] = header + "\r\n" + batch["value"].iloc[0]
-            yield batch
 
-    text.mapInPandas(with_header, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
-    return path
+def numbered_rows(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``df`` in order with ``_row`` from 1. Sorted ranges count on their own; only one number per range is gathered."""
+    placed = written(df.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(starts, "_part")
+        .withColumn("_row", F.col("_before") + inside + 1)
+        .drop("_at", "_part", "_before")
+        .orderBy("_row")
+    )
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from formbook.operators.codes import DEFAULT_RULES, CodeRule, normalize_codes
-from formbook.sources.schema import KICK_COUNTS, PLAYS, SCHEDULE, WEEKLY, require_columns
+from formbook.sources.schema import KICK_COUNTS, PLAYS, SCHEDULE, WEEKLY, conform, require_columns
 
 
 @dataclass(frozen=True)
@@ -84,11 +84,14 @@ def read_tables(
     seasons: Sequence[int] | range = (),
     downcast_plays: bool = False,
 ) -> FormTables:
-    """Three Parquet tables, checked for the columns the plans need; further columns are kept."""
-    play_table = require_columns(read_table(spark, plays), PLAYS.fieldNames(), "plays")
+    """Three Parquet tables, checked for the columns the plans need and their types; NaN is read as missing.
+    Further columns are kept."""
+    play_table = conform(require_columns(read_table(spark, plays), PLAYS.fieldNames(), "plays"), PLAYS, "plays")
+    kicks = require_columns(kickers_only(read_table(spark, weekly)), ["season", "week", "team", *KICK_COUNTS], "weekly")
+    games = require_columns(read_table(spark, schedule), SCHEDULE.fieldNames(), "schedule")
     tables = FormTables(
-        require_columns(kickers_only(read_table(spark, weekly)), ["season", "week", "team", *KICK_COUNTS], "weekly"),
-        require_columns(read_table(spark, schedule), SCHEDULE.fieldNames(), "schedule"),
+        conform(kicks, WEEKLY, "weekly"),
+        conform(games, SCHEDULE, "schedule"),
         single_precision(play_table) if downcast_plays else play_table,
     )
     return tables.for_seasons(seasons)

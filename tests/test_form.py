@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from formbook.operators.durable import written
 from formbook.plans.comparables import add_comparables, comparable_points
@@ -237,5 +238,26 @@ def test_report_layout(spark, tmp_path):
     assert lines[1].startswith(b'"1",1.2833,') and b'"N""YG"' in lines[1] and b",NA," in lines[1]
     back = read_report_csv(spark, path).orderBy("row")
     assert [r["team"] for r in back.collect()][1] == "JAX" and back.filter("pvalue IS NULL").count() == 1
+    empty = write_report_csv(report.limit(0).coalesce(1), str(tmp_path / "empty"), ["observations"])
+    assert b"".join(p.read_bytes() for p in (tmp_path / "empty").glob("part-*")).startswith(lines[0] + b"\r\n")
+    assert read_report_csv(spark, empty).count() == 0
+    many = write_report_csv(spark.range(100).selectExpr("id AS n", "'a,b' AS t").repartition(5), str(tmp_path / "many"), ["n"])
+    found = spark.read.option("header", True).csv(many).collect()
+    assert sorted((int(r[0]), int(r[1]), r[2]) for r in found) == [(i + 1, i, "a,b") for i in range(100)]
     out = write_csv(report, str(tmp_path / "plain"))
     assert spark.read.option("header", True).csv(out).columns == names
+
+
+def test_read_tables_checks_types_and_reads_nan_as_missing(spark, tables, tmp_path):
+    paths = {k: str(tmp_path / k) for k in ("weekly", "schedule", "plays")}
+    nan = F.when(F.col("week") == 1, F.lit(float("nan"))).otherwise(F.col("fg_att"))
+    tables.weekly.withColumn("fg_att", nan).withColumn("week", F.col("week").cast("long")).write.parquet(paths["weekly"])
+    tables.schedule.write.parquet(paths["schedule"])
+    tables.plays.write.parquet(paths["plays"])
+    found = read_tables(spark, **paths)
+    assert found.weekly.schema["week"].dataType.simpleString() == "int"
+    assert {r.fg_att for r in found.weekly.filter("week = 1").collect()} == {None}
+    assert found.weekly.filter("isnan(fg_att)").count() == 0
+    tables.plays.withColumn("down", F.lit("fourth")).write.mode("overwrite").parquet(paths["plays"])
+    with pytest.raises(ValueError, match="down"):
+        read_tables(spark, **paths)
