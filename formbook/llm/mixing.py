@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from formbook.llm.common import WORD, join_small
 from formbook.operators.durable import written
 
-#: The hash has 60 bits, read as four digits of 15.
-_DIGIT, _LEVELS = 15, 4
+#: The hash has 60 bits, read as five digits of 12: a source's running sums are over 4,096 buckets at most.
+_DIGIT, _LEVELS = 12, 5
 
 
 def _hash(identifier: Column) -> Column:
