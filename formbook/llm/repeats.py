@@ -39,7 +39,7 @@ from formbook.operators.durable import written
 
 _GRAM = 32
 #: A block ends at so many bytes or documents. Bytes of corpus to a bucket of occurrences.
-_BLOCK, _DOCUMENTS, _BUCKET = 4 << 20, 60_000, 24 << 20
+_BLOCK, _DOCUMENTS, _BUCKET = 2 << 20, 60_000, 16 << 20
 _INDEX_BITS = 21
 _LAST = np.iinfo(np.int64).max
 _ROWS = "kind int, key long, part long, data binary"
@@ -143,9 +143,13 @@ class Occurrences:
     def take(self, chosen: np.ndarray, least: int) -> Occurrences:
         sizes = self.count[chosen].astype(np.int64) + least - 1
         offset = np.cumsum(sizes) - sizes
-        at = np.repeat(self.offset[chosen] - offset, sizes) + np.arange(int(sizes.sum()))
+        text, shift = np.empty(int(sizes.sum()), dtype=np.uint8), self.offset[chosen] - offset
+        for part in range(0, len(chosen), 1 << 12):  # an index takes eight times the bytes it gathers
+            own = slice(part, part + (1 << 12))
+            begin, end = offset[own][0], offset[own][-1] + sizes[own][-1]
+            text[begin:end] = self.text[np.repeat(shift[own], sizes[own]) + np.arange(begin, end)]
         return Occurrences(
-            *(c[chosen] for c in (self.order, self.tie, self.start, self.left, self.count)), self.text[at], offset,
+            *(c[chosen] for c in (self.order, self.tie, self.start, self.left, self.count)), text, offset,
             self.bucket[chosen],
         )
 
@@ -284,6 +288,13 @@ def _place(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Which values are in ``rising``, by search: many small lists are held against a long one."""
+    if not len(rising):
+        return np.zeros(len(values), dtype=bool)
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values
+
+
 def _shared(hashes: DataFrame) -> DataFrame:
     """``key`` (block), ``part`` (bucket), ``data``: the hashes of a block that another block has too."""
 
@@ -292,7 +303,7 @@ def _shared(hashes: DataFrame) -> DataFrame:
         # A block has each hash once, but for those that are alike in the bits kept: these may look shared.
         values = np.sort(np.concatenate(parts))
         twice = np.unique(values[1:][values[1:] == values[:-1]])
-        found = [(b, key[0], p[np.isin(p, twice)]) for b, p in zip(rows["part"], parts)]
+        found = [(b, key[0], p[_among(p, twice)]) for b, p in zip(rows["part"], parts)]
         return pd.DataFrame([(b, k, _pack(p)) for b, k, p in found if len(p)], columns=["key", "part", "data"])
 
     return hashes.groupBy("key").applyInPandas(meet, "key long, part long, data binary")
