@@ -34,7 +34,7 @@ _KINDS = ("assign", "access", "hex")
 #: Weak parts: kind, role, pattern. Group 1 is the part; a word before it that must be there begins the pattern.
 _WEAK = (
     ("account", "identifier", re.compile(r"(?i:access[_-]?key[_-]?id|client[_-]?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})")),
-    ("key", "secret", re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])([A-Za-z0-9+/]{32,64}={0,2})(?![A-Za-z0-9+/=])")),
+    ("key", "secret", re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])([A-Za-z0-9+/]{32,}+={0,2})(?![A-Za-z0-9+/=])")),
     ("endpoint", "endpoint", re.compile(r"((?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[A-Za-z0-9._~:/?@%-]+)")),
 )
 #: The roles of strong parts.

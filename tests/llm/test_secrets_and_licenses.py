@@ -103,3 +103,22 @@ def test_licenses_equal_brute_force(spark, empty_docs):
 
 def test_licenses_of_odd_rows(odd, odd_docs):
     assert Counter(r.doc_id for r in licenses.scan(odd_docs).collect()) == Counter(d for d, *_ in odd)
+
+
+PAIR = "wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY123"
+LONG = "Eby8vdM02xNOcqFlqUwJPLlmEtlCDXJ1OUzFT50uSRZ6IFsuFq2UVErCz4I6tq0K1SZFPTOtr0KBHBeksoGMGw"
+
+
+def test_keys_after_equals_and_long_keys(spark):
+    """Parts are listed by hand: (text, kind, part)."""
+    cases = [
+        (f"aws_access_key_id={KEY}\naws_secret_access_key={PAIR}\n", {("access", KEY), ("key", PAIR)}),
+        (f"account=store1;AccountKey={LONG}==;", {("account", "store1"), ("key", LONG + "==")}),
+        (f"client_id=worker-7 {LONG * 3}", {("account", "worker-7"), ("key", LONG * 3)}),
+        (f"client_id = worker-7 key = {PAIR}", {("account", "worker-7"), ("key", PAIR)}),
+        (f"client_id=worker-7 {'A1' * 100_000}=x", set()),
+    ]
+    found = {r.doc_id: r.spans for r in secrets.scan(frame(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, want) in enumerate(cases):
+        spans = [s.split(":") for s in found[i].split(",") if s]
+        assert {(kind, text[int(a) : int(b)]) for kind, a, b in spans} == want
