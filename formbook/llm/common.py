@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,13 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
 
 
+def nullable(rows: list[tuple], schema: str, *whole: str) -> pd.DataFrame:
+    """``rows`` as a frame for Spark; the columns ``whole`` hold 64-bit integers and nulls and never become floats."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = pd.DataFrame(rows, columns=names)
+    return found.assign(**{n: pd.array([r[names.index(n)] for r in rows], dtype="Int64") for n in whole})
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` written once, with a number ``_row`` of its own for every row: identifiers may be
     null or repeated. Written, because the number would change when a lost task runs again."""

@@ -226,8 +226,11 @@ def predict(docs: DataFrame, model: Model | None, at_once: int = 200) -> DataFra
                 sure[rows] = odds[np.arange(len(rows)), top]
             yield part[["doc_id", "held_out"]].assign(lang_pred=best, score=sure)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    # Identifiers go through Python as text: a column of integers with nulls would reach it as floats.
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = rows.mapInPandas(score, "doc_id string, held_out boolean, lang_pred string, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def identify(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", per_language: int = 2_000) -> DataFrame:

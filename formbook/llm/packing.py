@@ -74,12 +74,12 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, ranks:
                     start = max(0, stop - capacity) if k else 0
                     rows.append((row, name, k, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
             found = pd.DataFrame(rows, columns=["_row", "doc_id", "piece", "start", "length", "ids_crc32"])
-            found["doc_id"] = pd.Series([r[1] for r in rows], dtype=part["doc_id"].dtype)
             yield found
 
-    schema = _PIECES.format(id=docs.schema["doc_id"].dataType.simpleString())
-    rows = docs.select("doc_id", utf8().alias("_raw")).withColumn("_row", F.monotonically_increasing_id())
-    return rows.mapInPandas(cut, schema)
+    # Identifiers go through Python as text: a column of integers with nulls would reach it as floats.
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), utf8().alias("_raw")).withColumn("_row", F.monotonically_increasing_id())
+    return rows.mapInPandas(cut, _PIECES.format(id="string")).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 # ---- plan ---------------------------------------------------------------------------------------
@@ -290,5 +290,7 @@ def pack(
                 part.loc[rows.index, "offset"] = ranges[at, 3]
             yield part[columns]
 
-    schema = _PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()).replace("_row long, ", "")
-    return _ranked(found, rows_per_part).select(*columns[:5], "_rank").mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    kind, schema = docs.schema["doc_id"].dataType, _PIECES.format(id="string").replace("_row long, ", "")
+    ranked = _ranked(found, rows_per_part).select(F.col("doc_id").cast("string").alias("doc_id"), *columns[1:5], "_rank")
+    placed = ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast(kind))

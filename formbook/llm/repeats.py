@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import utf8, written_by
+from formbook.llm.common import nullable, utf8, written_by
 from formbook.operators.durable import written
 
 _GRAM = 32
@@ -43,6 +43,7 @@ _BLOCK, _DOCUMENTS, _BUCKET = 2 << 20, 60_000, 16 << 20
 _INDEX_BITS = 21
 _LAST = np.iinfo(np.int64).max
 _ROWS = "kind int, key long, part long, data binary"
+_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: What a row holds: in the first table texts or hashes, then occurrences or runs of repeats.
 _TEXTS, _HASHES, _LIVE, _RUNS = 0, 1, 0, 1
 
@@ -260,8 +261,8 @@ def _blocks(docs: DataFrame, least: int, buckets: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["kind", "key", "part", "data"])
 
         for part in parts:
-            for name, raw in zip(part["doc_id"].astype("Int64"), part["_raw"]):
-                names.append(None if pd.isna(name) else int(name))
+            for name, known, raw in zip(part["_id"], part["_known"], part["_raw"]):
+                names.append(int(name) if known else None)
                 texts.append(raw)
                 size += len(raw)
                 if size >= _BLOCK or len(names) == _DOCUMENTS:
@@ -270,7 +271,9 @@ def _blocks(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         if names:
             yield emit()
 
-    return written_by(docs.select("doc_id", utf8().alias("_raw")).mapInPandas(build, _ROWS), "kind")
+    # A column with nulls would reach Python as floats.
+    known = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNotNull().alias("_known"), utf8().alias("_raw"))
+    return written_by(known.mapInPandas(build, _ROWS), "kind")
 
 
 def _each(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -384,11 +387,10 @@ def _cut(blocks: DataFrame, repeated: DataFrame, least: int) -> DataFrame:
                     own = text[begin : begin + size]
                     kept = own[~here] if spans else own
                     rows.append((ids[i] if known[i] else None, size, int(here.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-                yield out.astype({"doc_id": "Int64"})
+                yield nullable(rows, _CUT, "doc_id")
 
     joined = blocks.select("key", "data").join(runs, "key", "left").select("data", "runs")
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInPandas(cut, _CUT)
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, fan_in: int = 32) -> DataFrame:

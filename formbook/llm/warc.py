@@ -27,6 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formbook.llm.common import nullable
 from formbook.operators.durable import fresh_folder, written
 
 _END = b"\r\n\r\n"
@@ -162,7 +163,7 @@ def normalise(spark: SparkSession, monolithic: str, folder: str, level: int = 6)
                 _put(filesystem, f"{root}/{name}", members())
                 lines = (json.dumps(dict(zip(("page_id", "type", "archive", "offset", "length"), r))).encode() + b"\n" for r in rows)
                 _put(filesystem, f"{root}/{name}.cdxj", lines)
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")]).astype({"page_id": "Int64"})
+                yield nullable(rows, _INDEX, "page_id")
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(monolithic)
     return written(archives.select("path", "content").mapInPandas(rewrite, _INDEX))
@@ -181,7 +182,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         source.seek(offset)
                         record = zlib.decompress(source.read(length), 31)
                         rows.append(_parsed(record))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield nullable(rows, _RECORD, "page_id", "refers_to")
 
     return index.mapInPandas(fetch, _RECORD)
 
