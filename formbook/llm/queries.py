@@ -15,6 +15,7 @@ from formbook.llm.mixing import mix
 from formbook.llm.packing import pack
 from formbook.llm.quality import judge
 from formbook.llm.repeats import remove_repeats
+from formbook.llm.search import ranked
 from formbook.llm.secrets import scan as scan_secrets
 from formbook.llm.simhash import near_duplicates
 from formbook.llm.warc import round_trip
@@ -61,5 +62,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"), most=50)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

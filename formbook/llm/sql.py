@@ -93,5 +93,30 @@ FROM texts LEFT JOIN folded USING (r)
 """
 
 
+#: Every document's terms as rows, joined with every item's.
+OP13_RANKED_SEARCH = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+corpus AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS length FROM texts WHERE len(words) > 0),
+counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM texts) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counted, corpus GROUP BY term),
+measured AS (SELECT r, doc_id, 50 + (50 * len(words)::BIGINT * docs) // length AS m FROM texts, corpus),
+scored AS (
+  SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN measured USING (r)
+  GROUP BY i, item_id, doc_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
 def statements() -> dict[str, str]:
     return {name.lower(): text for name, text in globals().items() if name.startswith("OP") and name[2].isdigit()}

@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = list(queries.registered())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(entry.queries())
     assert set(sql.statements()) <= set(names)
 
