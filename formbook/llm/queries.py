@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formbook.llm.bpe import round_trip as encode_and_decode
 from formbook.llm.common import read
 from formbook.llm.exact import exact_groups
 from formbook.llm.langid import identify
@@ -18,6 +19,7 @@ from formbook.llm.repeats import remove_repeats
 from formbook.llm.search import ranked
 from formbook.llm.secrets import scan as scan_secrets
 from formbook.llm.simhash import near_duplicates
+from formbook.llm.trie import conversation_trie
 from formbook.llm.warc import round_trip
 
 
@@ -62,6 +64,14 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"), read(spark, folder, "labels"), stratum_col="lang")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_and_decode(read(spark, folder, "documents"), vocabulary="byte_bpe_50k.json")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(read(spark, folder, "conversations"))
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"), most=50)
 

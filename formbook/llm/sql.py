@@ -93,6 +93,39 @@ FROM texts LEFT JOIN folded USING (r)
 """
 
 
+#: Prefixes spelled out as lists; every node hands its values to all its prefixes. CRC-32 bit by bit.
+OP12_PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(said ORDER BY nth) AS ts,
+         xor(list_reduce(list_transform(range(8 * length(conv_id::VARCHAR)),
+               lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0::BIGINT END),
+             lambda c, e: xor(xor(c, e) >> 1, 3988292384::BIGINT * (xor(c, e) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, o.h), list_slice(o.ts, o.h + 1, len(o.ts))) AS ts
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+prefixes AS (SELECT conv_id, depth, list_slice(ts, 1, depth) AS p, depth = len(ts) AS last FROM rebuilt, unnest(range(len(ts) + 1)) AS u(depth)),
+nodes AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, p),
+children AS (SELECT depth - 1 AS depth, list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(length(n.p[-1].text), 0) AS saved
+  FROM nodes n LEFT JOIN children USING (depth, p)),
+totals AS (
+  SELECT d AS depth, list_slice(p, 1, d) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM valued, unnest(range(depth + 1)) AS u(d) GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, t.n_leaves,
+       t.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN totals t USING (depth, p) LEFT JOIN nodes m ON m.depth = v.depth - 1 AND m.p = list_slice(v.p, 1, v.depth - 1)
+"""
+
 #: Every document's terms as rows, joined with every item's.
 OP13_RANKED_SEARCH = r"""
 WITH texts AS (
