@@ -1,9 +1,9 @@
 """Running totals that no single task has to carry.
 
-A window ordered by value over one group sorts that whole group in one task.
-Here a group is cut into value blocks; each block is summed up on its own and
-starts from the total of the blocks below it. A block number is a
-function of the value alone, so no sampling pass and no global sort is needed.
+A window ordered by value over one group sorts that whole group in one task. Here all rows are
+dealt by ranges of (group, value) whose ends Spark takes from a sample of the rows themselves, so
+ranges hold about as many rows each however close, far or alike the values are. Each range is summed up
+on its own and starts from the total of the group's ranges before it.
 """
 
 from __future__ import annotations
@@ -15,17 +15,15 @@ from pyspark.sql import functions as F
 
 from formbook.operators.durable import written
 
-# One block spans a factor of e**(1/256), about 0.4 %. The exponent range of a
-# double bounds the number of blocks of any group: 2 * 400,000 at the very most,
-# some thousands for values within a few powers of ten.
-BLOCKS_PER_E = 256
-_BLOCK_SHIFT = 200_000
 
+def in_blocks(df: DataFrame, value: str, group: Sequence[str] = (), tie: str | None = None) -> DataFrame:
+    """``df`` written once, dealt by ranges of group, value and tie; ``_block`` numbers the ranges in their order.
 
-def value_block(value: str) -> str:
-    """SQL of the block number of a double: never decreases as the value grows."""
-    magnitude = f"CAST(floor(ln(abs({value})) * {BLOCKS_PER_E}) AS INT) + {_BLOCK_SHIFT}"
-    return f"CASE WHEN {value} > 0 THEN {magnitude} WHEN {value} < 0 THEN -({magnitude}) ELSE 0 END"
+    Rows alike in all three are ordered by a hash of the row, so a value that a third of all rows
+    share is cut as well. The hash depends on the row alone: a task that runs again deals alike.
+    """
+    order = [*group, value, *([tie] if tie else []), F.xxhash64(*df.columns)]
+    return written(df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
 
 
 def running_totals(
@@ -37,14 +35,14 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<m>_run`` (total up to and including the row) and ``<m>_all`` (group total).
 
-    Rows are ordered by ``value`` then ``tie`` within ``group``. Only the last window
-    sees rows, a block at a time; the others run over block totals, at most a few
-    thousand per group. What lies below a block enters it as one more row in
-    front, so no join is needed. ``df`` is written out once, because both steps read it.
+    Rows are ordered by ``value`` then ``tie`` within ``group``: NULL first, then minus infinity, numbers, infinity
+    and NaN, as Spark sorts them. Only the last window sees rows, a block at a time; the others run over block
+    totals, of which a group has as many as there are ranges at most. What lies below a block enters
+    it as one more row in front, so no join is needed.
     """
     group = list(group)
     block = [*group, "_block"]
-    keyed = written(df).selectExpr("*", f"{value_block(f'CAST({value} AS DOUBLE)')} AS _block")
+    keyed = in_blocks(df, value, group, tie)
     whole = f"PARTITION BY {', '.join(group)}" if group else ""
     below = f"{whole} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     fronts = (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook.operators.bands import HIGHEST, Band, around, band_totals
-from formbook.operators.cumulative import running_totals, value_block
+from formbook.operators.cumulative import in_blocks, running_totals
 from formbook.operators.quantiles import five_number_summary, group_quantiles
 
 
@@ -28,11 +28,36 @@ def found(df, key):
     return {tuple(r[k] for k in key): (r["n"], r["m"]) for r in df.collect()}
 
 
-def test_block_number_never_decreases(spark):
-    values = sorted([0.0, -1e-300, 1e-300, 5e-324, 1.7e308, -1.7e308] + [random.uniform(-9, 9) for _ in range(500)])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    blocks = [r[1] for r in df.selectExpr("v", f"{value_block('v')} AS b").orderBy("v").collect()]
-    assert blocks == sorted(blocks)
+def shares(df):
+    counts = [r["count"] for r in df.groupBy("_block").count().collect()]
+    return max(counts) / sum(counts)
+
+
+@pytest.mark.parametrize("shape", ["close", "one value", "spread", "two groups"])
+def test_no_block_holds_more_than_its_share(spark, shape):
+    """Eight blocks: none has a quarter of the rows, however the values lie."""
+    sql = {"close": "1.7e9D + id * 60D", "one value": "1D", "spread": "exp(id / 200D)", "two groups": "CAST(id % 7 AS DOUBLE)"}[shape]
+    df = spark.range(100_000).selectExpr(f"{sql} AS v", "id", "IF(id % 10 = 0, 'a', 'b') AS g")
+    cut = in_blocks(df, "v", ["g"] if shape == "two groups" else [])
+    assert cut.select("_block").distinct().count() > 4 and shares(cut) < 0.25
+    ends = cut.groupBy(*(["g"] if shape == "two groups" else []), "_block").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    ends = sorted((r["_block"], r["lo"], r["hi"]) for r in ends if shape != "two groups")
+    assert all(a[2] <= b[1] for a, b in zip(ends, ends[1:]))
+
+
+def test_infinite_and_missing_values_have_their_place(spark):
+    values = [None, float("-inf"), -1e308, 0.0, 0.0, 5e-324, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v, i, 1) for i, v in enumerate(values)], "v double, i int, m long").repartition(4)
+    got = {r["i"]: (r["m_run"], r["m_all"]) for r in running_totals(df, "v", ["m"]).collect()}
+    assert {got[3][0], got[4][0]} <= {4, 5} and all(got[i] == (i + 1, 9) for i in (0, 1, 2, 5, 6, 7, 8))
+
+
+def test_running_totals_over_close_values(spark):
+    """Every row's total is right where rows of one group lie in many blocks."""
+    df = spark.range(20_000).selectExpr("1.7e9D + id * 60D AS v", "id AS m", "IF(id % 3 = 0, 'a', 'b') AS g")
+    found = running_totals(df, "v", ["m"], ["g"])
+    want = df.selectExpr("v", "sum(m) OVER (PARTITION BY g ORDER BY v) AS want", "sum(m) OVER (PARTITION BY g) AS want_all")
+    assert found.join(want, "v").filter("m_run != want OR m_all != want_all").count() == 0 and found.count() == 20_000
 
 
 def test_running_totals_match_a_plain_scan(spark):
