@@ -19,7 +19,7 @@ from formbook.functions.expr import (
 )
 from formbook.operators.durable import written
 from formbook.operators.plays import ROLE_MEASURES, attempts, role_rows
-from formbook.operators.relational import stack_tables
+from formbook.operators.relational import numeric_columns, stack_tables
 from formbook.operators.rolling import games_by_team, trailing_sums
 from formbook.operators.sides import AWAY, HOME, schedule_sides, sides_to_games, stack_sides
 from formbook.plans.comparables import add_comparables_to_games
@@ -30,13 +30,18 @@ from formbook.sources.tables import FormTables, in_seasons
 
 @dataclass(frozen=True)
 class FormSettings:
-    """Seasons (all when empty), target weeks with both ends included, window length in weeks."""
+    """Seasons (all when empty), target weeks with both ends included, window length in weeks.
+
+    ``every_numeric`` sums every numeric column of the weekly table over the window, not only the five kick counts, and
+    carries them into the wide data set.
+    """
 
     seasons: tuple[int, ...] = ()
     min_week: int = 7
     max_week: int = 20
     window_weeks: int = 6
     adjusted_down: int = 4
+    every_numeric: bool = False
 
     def between(self, first_season: int, last_season: int) -> FormSettings:
         return replace(self, seasons=tuple(range(first_season, last_season + 1)))
@@ -104,6 +109,20 @@ _ONE_SIDE_NAMES = {
 }
 
 
+# Numbers in a weekly table that name a row and are no measure.
+_NAMES = ("season", "week", "team", "player_id", "game_id")
+
+
+def kick_measures(tables: FormTables, settings: FormSettings) -> tuple[str, ...]:
+    """The weekly columns that are summed over the window."""
+    more = numeric_columns(tables.weekly, exclude=(*_NAMES, *KICK_COUNTS)) if settings.every_numeric else []
+    return (*KICK_COUNTS, *more)
+
+
+def _trailing(tables: FormTables, settings: FormSettings) -> tuple[str, ...]:
+    return (*TRAILING, *kick_measures(tables, settings)[len(KICK_COUNTS) :])
+
+
 def team_week_facts(tables: FormTables, settings: FormSettings) -> DataFrame:
     """Games, kicks, attempts and points of each team in each week.
 
@@ -116,7 +135,7 @@ def team_week_facts(tables: FormTables, settings: FormSettings) -> DataFrame:
         "season",
         "week",
         "team",
-        *[F.expr(f"coalesce({c}, 0) AS {c}") for c in KICK_COUNTS],
+        *[F.expr(f"coalesce({c}, 0) AS {c}") for c in kick_measures(tables, settings)],
         bucket_points(weekly.columns).alias("points"),
     )
     fourth = f"down = {int(settings.adjusted_down)}"
@@ -130,15 +149,20 @@ def team_week_facts(tables: FormTables, settings: FormSettings) -> DataFrame:
     sides = schedule_sides(tables.schedule, ("season", "week")).filter("team IS NOT NULL")
     fixtures = sides.selectExpr("season", "week", "team", "1L AS games")
     stacked = stack_tables([fixtures, kicks, tries]).filter(f"week <= {int(settings.max_week)}")
-    return stacked.groupBy("season", "week", "team").agg(*[F.expr(f"sum({c}) AS {c}") for c in (*TRAILING, "points")])
+    summed = (*_trailing(tables, settings), "points")
+    return stacked.groupBy("season", "week", "team").agg(*[F.expr(f"sum({c}) AS {c}") for c in summed])
+
 
+def _measures(facts: DataFrame) -> tuple[str, ...]:
+    """What is summed over the window: all columns of the facts but their keys and the points."""
+    return tuple(c for c in facts.columns if c not in ("season", "week", "team", "points"))
 
-def team_week_features(tables: FormTables, settings: FormSettings) -> DataFrame:
+
+def team_week_features(facts: DataFrame, settings: FormSettings) -> DataFrame:
     """Trailing totals next to the week's own outcome, for weeks the team plays."""
-    facts = team_week_facts(tables, settings)
     outcomes = facts.selectExpr("*", *[f"{c} AS actual_{c}" for c in ("fg_att", "fg_made", "pat_made")])
     # A team that plays in the target week has a row there through its fixture.
-    return trailing_sums(outcomes, TRAILING, settings.window_weeks).filter(f"week >= {int(settings.min_week)}")
+    return trailing_sums(outcomes, _measures(facts), settings.window_weeks).filter(f"week >= {int(settings.min_week)}")
 
 
 def _side_metrics(side: str, other: str) -> list[list[str]]:
@@ -173,24 +197,30 @@ def build_games(tables: FormTables, settings: FormSettings = FormSettings()) ->
     if settings.seasons:
         tables = tables.for_seasons(settings.seasons)
     target = tables.schedule.filter(F.col("week").between(settings.min_week, settings.max_week))
+    return games_of(target, team_week_facts(tables, settings), settings)
+
+
+def games_of(target: DataFrame, facts: DataFrame, settings: FormSettings) -> DataFrame:
+    """One wide row per game of ``target`` from the facts of its weeks and of those its windows reach."""
     sides = schedule_sides(target, ("game_id", "season", "week", "roof"))
     # The opponent's figures arrive through the regrouping by game, so features
     # are computed and joined once, not once per role.
-    joined = sides.join(team_week_features(tables, settings), ["season", "week", "team"], "left").selectExpr(
+    joined = sides.join(team_week_features(facts, settings), ["season", "week", "team"], "left").selectExpr(
         "*",
         f"CASE WHEN side = '{HOME}' THEN team ELSE opp END AS home_team",
         f"CASE WHEN side = '{AWAY}' THEN team ELSE opp END AS away_team",
     )
-    games = sides_to_games(joined, GAME_KEYS, (*TRAILING, *OUTCOMES)).fillna(0, ["home_points", "away_points"])
+    games = sides_to_games(joined, GAME_KEYS, (*_measures(facts), *OUTCOMES)).fillna(0, ["home_points", "away_points"])
     for home, away in zip(_side_metrics(HOME, AWAY), _side_metrics(AWAY, HOME)):
         games = games.selectExpr("*", *home, *away)
     return games
 
 
 def game_sides(games: DataFrame) -> DataFrame:
-    """One row per side with team, opponent, form, expectation and outcome."""
-    extra = ["historical_points"] if "home_historical_points" in games.columns else []
-    values = ["team", *TRAILING, *OUTCOMES, *METRICS, *extra]
+    """One row per side with team, opponent, form, expectation and outcome, and whatever else both sides of the games have."""
+    known = ["team", *TRAILING, *OUTCOMES, *METRICS]
+    found = [c.removeprefix("home_") for c in games.columns if c.startswith("home_")]
+    values = [*known, *[c for c in found if c not in known]]
     pairs = {v: (f"home_{v}", f"away_{v}") for v in values}
     return stack_sides(
         games, ["game_id", "season", "week", "roof"], {**pairs, "opp": ("away_team", "home_team")}
@@ -226,6 +256,7 @@ __all__ = [
     "build_games",
     "game_sides",
     "games_by_team",
+    "games_of",
     "in_seasons",
     "run",
     "team_week_facts",

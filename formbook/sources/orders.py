@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.functions.expr import BUCKET_POINTS
+from formbook.operators.durable import written
 from formbook.operators.sides import stack_sides
 from formbook.sources.tables import FormTables, kickers_only
 
@@ -74,6 +75,13 @@ def _orders(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFra
     )
 
 
+def _lines(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    """The lines; of the given seasons' orders only, before anything is summed."""
+    if not seasons:
+        return source.lines
+    return source.lines.join(_orders(source, seasons).select(F.col("game_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+
+
 def _games(lines: DataFrame, *more: str) -> DataFrame:
     ends = lines.groupBy(F.col("l_orderkey").alias("game_id")).agg(
         *[F.expr(e) for e in (f"min({_LINE_ORDER}) AS _first", f"max({_LINE_ORDER}) AS _last", *more)]
@@ -85,9 +93,11 @@ def _games(lines: DataFrame, *more: str) -> DataFrame:
 
 
 def schedule(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
-    return _games(source.lines).join(_orders(source, seasons), "game_id").select(
-        "game_id", "season", "week", "home_team", "away_team", "roof"
-    )
+    return _schedule_of(_games(_lines(source, seasons)).join(_orders(source, seasons), "game_id"))
+
+
+def _schedule_of(games: DataFrame) -> DataFrame:
+    return games.select("game_id", "season", "week", "home_team", "away_team", "roof")
 
 
 def plays(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
@@ -150,20 +160,32 @@ def _kind() -> str:
     )
 
 
-def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
-    """One row per player appearance, every position; one aggregation over the lines.
+# What an attempt is to the role tables: side, down and result, numbered.
+_TRIES = [(prefix, down, result) for prefix in ("home", "away") for down in (4, 3) for result in ("made", "missed")]
+_TRY = (
+    f"IF({_ATTEMPT}, IF({_HOME_LINE}, 0, 4) + IF(l_linenumber <= 5, 0, 2) + IF(l_discount <= 0.08D, 0, 1), NULL)"
+)
+
+
+def _folded(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    """One row per game with season, week, both teams and, for either side, lines of each kind and attempts of each
+    down and result: all that the three input tables are made of, from one aggregation over the lines.
 
     Each line is classified once, before the aggregation only compares small numbers.
     """
-    lines = source.lines.selectExpr(
-        "l_orderkey", "l_linenumber", "l_suppkey", f"IF({_HOME_LINE}, 0, {len(_KINDS)}) + {_kind()} AS kind"
+    lines = _lines(source, seasons).selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey", f"IF({_HOME_LINE}, 0, {len(_KINDS)}) + {_kind()} AS kind", f"{_TRY} AS try"
     )
-    sums = [
+    kinds = [
         f"count_if(kind = {offset + i}) AS {prefix}_{name}"
         for prefix, offset in (("home", 0), ("away", len(_KINDS)))
         for i, name in enumerate(_KINDS)
     ]
-    games = _games(lines, *sums).join(_orders(source, seasons), "game_id")
+    tries = [f"count_if(try = {i}) AS {prefix}_down{down}_{result}" for i, (prefix, down, result) in enumerate(_TRIES)]
+    return _games(lines, *kinds, *tries).join(_orders(source, seasons), "game_id")
+
+
+def _weekly_of(games: DataFrame) -> DataFrame:
     buckets = " + ".join(BUCKET_POINTS)
     return (
         stack_sides(
@@ -192,6 +214,21 @@ def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> Data
     )
 
 
+def _attempts_of(games: DataFrame) -> DataFrame:
+    rows = [
+        f"named_struct('posteam', {side}_team, 'defteam', {other}_team, 'down', {down}, "
+        f"'field_goal_attempt', {side}_down{down}_{result}, 'field_goal_result', '{result}')"
+        for side, down, result in _TRIES
+        for other in [{"home": "away", "away": "home"}[side]]
+    ]
+    return games.selectExpr("game_id", "season", "week", f"inline(array({', '.join(rows)}))").filter("field_goal_attempt > 0")
+
+
+def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    """One row per player appearance, every position; one aggregation over the lines."""
+    return _weekly_of(_folded(source, seasons))
+
+
 def weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
     return kickers_only(all_weekly(source, seasons))
 
@@ -228,4 +265,7 @@ def weekly_lists(source: OrderFolder) -> DataFrame:
 
 
 def tables(source: OrderFolder, seasons: Sequence[int] | range = ()) -> FormTables:
-    return FormTables(weekly(source, seasons), schedule(source, seasons), attempts_by_game(source, seasons))
+    """The three tables as views of one table of games, which is written: lines are read and summed once, however often a
+    plan turns to weekly rows, schedule and attempts."""
+    games = written(_folded(source, seasons))
+    return FormTables(kickers_only(_weekly_of(games)), _schedule_of(games), _attempts_of(games))

@@ -12,12 +12,27 @@ from formbook.operators.durable import written
 from formbook.sources.schema import THRESHOLD_REPORT
 
 
-def write_games(games: DataFrame, path: str, partition_by: Sequence[str] = ("season",)) -> str:
-    """Parquet in one folder per season. Rows of a season are not forced through one task."""
-    games.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def replace_parts(df: DataFrame, path: str, partition_by: Sequence[str]) -> str:
+    """Write ``df`` in folders by its part columns; parts that ``df`` has no row of stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     return path
 
 
+def write_games(games: DataFrame, path: str, partition_by: Sequence[str] = ("season",)) -> str:
+    """Parquet in one folder per season; seasons that are not in ``games`` stay. Rows of a season are not forced through
+    one task."""
+    return replace_parts(games, path, partition_by)
+
+
+def read_games(spark: SparkSession, path: str, periods: DataFrame | None = None) -> DataFrame:
+    """The stored data set; with ``periods``, only what joins it on the part columns it has. Folders that no row of a filtered
+    ``periods`` names are skipped when the join runs, though the plan does not know them."""
+    games = spark.read.parquet(path)
+    if periods is None:
+        return games
+    return games.join(periods, [c for c in ("season", "week") if c in periods.columns], "left_semi")
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).csv(path)
     return path

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook import queries
+from formbook.plans.form import FormSettings, build_games
 from formbook.functions.expr import BUCKET_POINTS
 from formbook.operators.plays import attempts_by_role
 from formbook.sources import orders
@@ -60,7 +61,7 @@ def test_folded_attempts_equal_single_plays(spark, folder):
         assert rows(folded) == rows(attempts_by_role(orders.plays(data), down))
 
 
-@pytest.mark.parametrize("name", ["expected_metrics", "points_from_list", "rolling_allowed_fourth"])
+@pytest.mark.parametrize("name", ["points_by_bucket", "points_from_list", "rolling_allowed_fourth"])
 def test_lines_are_folded_before_they_meet_their_game(spark, folder, name):
     """Between a scan of lines and the first join above it there is an aggregation."""
     plan = queries.registered()[name](spark, folder)._jdf.queryExecution().optimizedPlan()
@@ -78,3 +79,30 @@ def test_lines_are_folded_before_they_meet_their_game(spark, folder, name):
         return sum(below(children.apply(i), folded) for i in range(children.size()))
 
     assert below(plan, False)
+
+
+def test_lines_are_read_once_for_all_three_tables(spark, folder):
+    """The plan of the data set has no scan of lines: one table of games was made from them."""
+    found = orders.tables(orders.OrderFolder.at(spark, folder))
+    plan = build_games(found, FormSettings(min_week=7, max_week=53))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan parquet") == 4
+
+
+@pytest.mark.parametrize("seasons", [(), range(1996, 1998)])
+def test_folded_tables_equal_those_made_one_by_one(spark, folder, seasons):
+    data = orders.OrderFolder.at(spark, folder)
+    found = orders.tables(data, seasons)
+    plays = found.plays.groupBy("game_id", "posteam", "defteam", "down", "field_goal_result").agg(F.sum("field_goal_attempt").alias("n"))
+    alone = orders.attempts_by_game(data, seasons).groupBy("game_id", "posteam", "defteam", "down", "field_goal_result").agg(F.sum("field_goal_attempt").alias("n"))
+    for left, right in ((found.schedule, orders.schedule(data, seasons)), (plays, alone), (found.weekly, orders.weekly(data, seasons))):
+        assert rows(left, *left.columns) == rows(right.select(left.columns), *left.columns) and left.count() > 0
+    assert not seasons or {r["season"] for r in found.schedule.select("season").distinct().collect()} == set(seasons)
+
+
+def test_lines_without_number_or_discount(spark):
+    """A line without a number counts for the away side, an attempt of unknown discount as missed, in every table."""
+    data = source(spark, [line(1, 1, 5), line(1, 2, 6), line(1, 6, 7, flag="R")])
+    lines = data.lines.withColumn("l_discount", F.when(F.col("l_linenumber") == 6, None).otherwise(F.col("l_discount")))
+    data = orders.OrderFolder(lines, data.orders)
+    made = orders.tables(data).plays.filter("down = 3").collect()
+    assert [(r["field_goal_attempt"], r["field_goal_result"]) for r in made] == [(1, "missed")]
