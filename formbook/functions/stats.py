@@ -22,6 +22,15 @@ def jarque_bera(values: Column | str) -> Column:
     )
 
 
+def jarque_bera_sums(n: Column, m2: Column, m3: Column, m4: Column) -> Column:
+    """The same statistic from a count and sums of powers of the distance from the mean. NULL when the values do not vary."""
+    size, floor = n.cast("double"), F.lit(0.0)
+    var = F.try_divide(m2, size)
+    skew2 = F.try_divide(F.try_divide(m3, size) * F.try_divide(m3, size), var * var * var)
+    excess = F.try_divide(F.try_divide(m4, size), var * var) - 3
+    return F.when((n > 0) & (m2 > floor), size / 6 * (skew2 + excess * excess / 4))
+
+
 def jarque_bera_signs(n: Column, hits: Column, misses: Column) -> Column:
     """The same statistic for +1 / -1 / 0 outcomes, from their counts alone.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,83 @@ def fit_linear(df: DataFrame, target: str, terms: Sequence[str], zero_fill: bool
     return LinearFit(target, intercept, dict(zip(terms, map(float, weights))), r2, int(moments["n"]), zero_fill)
 
 
+@dataclass(frozen=True)
+class Model:
+    """A regression to fit along with others: ``a:b`` is the product of two columns; rows with a NULL in a column
+    of it, or in one of ``needs``, are left out of this model only."""
+
+    target: str
+    terms: tuple[str, ...]
+    needs: tuple[str, ...] = ()
+
+    def values(self) -> list[Column]:
+        """Terms and target, NULL in rows that the model leaves out."""
+        plain = dict.fromkeys([c for term in self.terms for c in term.split(":")] + [self.target, *self.needs])
+        known = F.lit(True)
+        for c in plain:
+            known = known & F.col(f"`{c}`").isNotNull()
+
+        def value(term: str) -> Column:
+            factors = [F.col(f"`{c}`").cast("double") for c in term.split(":")]
+            return F.when(known, reduce(lambda a, b: a * b, factors))
+
+        return [value(t) for t in (*self.terms, self.target)]
+
+
+def _solved(m: int, model: Model, moments: DataFrame, group: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    """Gauss-Jordan elimination of one model's normal equations as column expressions, one step per term. A term that does
+    not vary beside the ones before it has weight 0."""
+    k, at = len(model.terms), lambda i, j: f"c{m}_{min(i, j)}_{max(i, j)}"
+    kept = [*group, *rest, f"n{m}", *[f"m{m}_{i}" for i in range(k + 1)], *[at(i, k) for i in range(k + 1)], *[at(i, i) for i in range(k)]]
+    kept = list(dict.fromkeys(kept))
+    rows = moments.select(*kept, *[F.col(at(i, j)).alias(f"a{i}_{j}") for i in range(k) for j in range(k + 1)])
+    for p in range(k):
+        pivot = F.col(f"a{p}_{p}")
+        varies = pivot > F.col(at(p, p)) * 1e-12
+        row = {j: F.when(varies, F.col(f"a{p}_{j}") / pivot).otherwise(F.lit(0.0)) for j in range(p + 1, k + 1)}
+        rows = rows.select(
+            *kept,
+            *[(row[j] if i == p else F.col(f"a{i}_{j}") - F.when(varies, F.col(f"a{i}_{p}") * row[j]).otherwise(0.0)).alias(f"a{i}_{j}") for i in range(k) for j in range(p + 1, k + 1)],
+        )
+    weights = [F.when(F.col(f"n{m}") > 0, F.col(f"a{i}_{k}")) for i in range(k)]
+    intercept = F.col(f"m{m}_{k}")
+    explained = F.lit(0.0)
+    for i, w in enumerate(weights):
+        intercept, explained = intercept - w * F.col(f"m{m}_{i}"), explained + w * F.col(at(i, k))
+    fit = F.struct(
+        F.lit(model.target).alias("target"),
+        F.lit(",".join(model.terms)).alias("terms"),
+        F.col(f"n{m}").alias("n"),
+        F.when(F.col(at(k, k)) > 0, explained / F.col(at(k, k))).when(F.col(f"n{m}") > 0, F.lit(1.0)).alias("r2"),
+        intercept.alias("intercept"),
+        F.array(*weights).alias("weights"),
+    )
+    return rows.select(*group, *rest, fit.alias(f"_fit{m}"))
+
+
+def fit_models(df: DataFrame, models: Sequence[Model], group: Sequence[str] = ()) -> DataFrame:
+    """Ordinary least squares of several models for every group, in one pass over ``df``.
+
+    One aggregation holds counts, means and cross products of all models, each under its own mask; Spark merges them in a
+    stable way, so a group may be of any size. The systems are solved where the moments are: one row per group, no
+    row of a group reaches the driver. Returns ``group, target, terms, n, r2, intercept, weights`` (in the order
+    of the terms; NULL without a row), a row per group and model.
+    """
+    values = {f"v{m}_{i}": v for m, model in enumerate(models) for i, v in enumerate(model.values())}
+    rows = df.select(*group, *[v.alias(name) for name, v in values.items()])
+    sums = []
+    for m, model in enumerate(models):
+        names = [f"v{m}_{i}" for i in range(len(model.terms) + 1)]
+        sums += [F.count(names[-1]).alias(f"n{m}"), *[F.avg(v).alias(f"m{m}_{i}") for i, v in enumerate(names)]]
+        sums += [F.covar_pop(v, names[j]).alias(f"c{m}_{i}_{j}") for i, v in enumerate(names) for j in range(i, len(names))]
+    solved, rest = rows.groupBy(*group).agg(*sums), []
+    for m, model in enumerate(models):
+        later = [c for c in solved.columns if c not in group and c not in rest and not c[1:].split("_")[0] == str(m)]
+        solved = _solved(m, model, solved, group, [*rest, *later])
+        rest.append(f"_fit{m}")
+    return solved.select(*group, F.inline(F.array(*rest)))
+
+
 def simple_fit(df: DataFrame, target: str, regressor: str) -> DataFrame:
     """Slope, intercept and R-squared of one regressor, in one aggregation."""
     y, x = F.col(f"`{target}`").cast("double"), F.col(f"`{regressor}`").cast("double")

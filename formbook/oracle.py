@@ -449,6 +449,34 @@ FROM sides h JOIN sides a ON h.game_id = a.game_id AND h.side = 'home' AND a.sid
         + _rolled("kick_week", "games fg_att fg_made fg_missed pat_att pat_made")
         + ")"
     )
+    # Distances of made kicks by bucket; a bucket without a kick is missing in its row.
+    buckets = {"fg_made_0_19": (0, 19), "fg_made_20_29": (20, 29), "fg_made_30_39": (30, 39), "fg_made_40_49": (40, 49), "fg_made_50_59": (50, 59), "fg_made_60_": (60, 9999)}
+    by_bucket = ", ".join(f"nullif(sum(CASE WHEN made = 1 AND yards BETWEEN {a} AND {b} THEN 1 ELSE 0 END), 0) AS {c}" for c, (a, b) in buckets.items())
+    names = " ".join(buckets)
+    listed = ", ".join(buckets)
+    bucket_week = f""", bucket_rows AS (
+  SELECT game_id, season, week, posteam AS team, {by_bucket} FROM lines WHERE position = 'K' GROUP BY ALL),
+"""
+    nothing = ", ".join(["NULL"] * (5 + len(buckets)))
+    sql["rolling_every_column"] = (
+        _SPINE
+        + bucket_week
+        + f"""every_week AS (
+  SELECT season, week, team, fg_att, fg_made, fg_missed, pat_att, pat_made, {listed}, NULL AS games
+  FROM weekly JOIN bucket_rows USING (game_id, season, week, team)
+  UNION ALL SELECT season, week, team, {nothing}, 1 FROM side_rows)"""
+        + _rolled("every_week", f"games fg_att fg_made fg_missed pat_att pat_made {names}")
+    )
+    rolled = ", ".join(f"CAST(sum(coalesce(b.{c}, 0)) FILTER (WHERE b.team IS NOT NULL) AS BIGINT) AS {c}" for c in buckets)
+    sql["sides_every_column"] = (
+        _FORM
+        + bucket_week
+        + f"""f_bucket AS (
+  SELECT t.season, t.week, t.team, {rolled}
+  FROM target t LEFT JOIN bucket_rows b ON b.season = t.season AND b.team = t.team AND b.week BETWEEN t.week - 6 AND t.week - 1
+  GROUP BY t.season, t.week, t.team)
+SELECT game_id, season, week, side, team, games, fg_att, {listed}, exp_points FROM sides JOIN f_bucket USING (season, week, team)"""
+    )
     roles = "own_att own_made allowed_att allowed_made"
     sql["rolling_allowed"] = _SPINE + _role_fact("") + _rolled("role_week", roles)
     sql["rolling_allowed_fourth"] = _SPINE + _role_fact("AND down = 4") + _rolled("role_week", roles)
@@ -565,6 +593,23 @@ SELECT 4e0 AS threshold, points_n / CAST(periods AS DOUBLE) AS weeks_per_occurre
   round(exp(-{central("points")} / 2), 9) AS p_value, points_n AS observations,
   round(points_m - everybody, 6) AS advantage, round(points_m, 6) AS outcome
 FROM (SELECT {moments[moments.index("count(points)"):]} FROM chosen), all_sides"""
+    )
+    # Every try against every side, moments by DuckDB's own functions (samples' skewness and kurtosis turned to populations').
+    sql["points_thresholds"] = (
+        _FORM
+        + """, tries AS (SELECT 2e0 + s / 4e0 AS threshold, p AS pct_threshold
+  FROM range(10) AS r(s), (VALUES (0.5e0), (0.75e0), (0.95e0)) AS v(p)),
+all_sides AS (SELECT avg(points) AS everybody, count(DISTINCT season * 100 + week) AS periods FROM sides),
+met AS (SELECT threshold, pct_threshold, CAST(points AS DOUBLE) AS v FROM tries LEFT JOIN sides
+  ON exp_points >= threshold * 0.95e0 AND exp_points <= threshold * 1.05e0 AND kick_pct > pct_threshold),
+centred AS (SELECT *, v - avg(v) OVER (PARTITION BY threshold, pct_threshold) AS d FROM met),
+tested AS (
+  SELECT threshold, pct_threshold, count(v) AS n, avg(v) AS mean, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4
+  FROM centred GROUP BY ALL)
+SELECT threshold, n / CAST(periods AS DOUBLE) AS weeks_per_occurrence, pct_threshold,
+  CASE WHEN m2 > 0 THEN round(exp(-(n / 6e0 * (m3 * m3 / (m2 * m2 * m2) + (m4 / (m2 * m2) - 3) * (m4 / (m2 * m2) - 3) / 4)) / 2), 9) END AS p_value,
+  n AS observations, round(mean - everybody, 6) AS advantage, round(mean, 6) AS outcome
+FROM tested, all_sides"""
     )
     sql["low_accuracy_cut"] = (
         _FORM
@@ -679,6 +724,30 @@ WHERE exp_points IS NOT NULL GROUP BY above"""
         + _matrix("fgatt xpmade fgmade cash pastatt pastmade exatt pct".split(), "attempts")
     )
 
+    # --- sketches, SQL text -----------------------------------------------------------------
+    sql["approximate_quantiles"] = (
+        _FORM
+        + """SELECT season, quantile, count(*) AS n, true AS within FROM sides, (VALUES ('q25'), ('q50'), ('q88'), ('q95')) AS v(quantile)
+WHERE exp_points IS NOT NULL GROUP BY season, quantile"""
+    )
+    sql["sql_attempts_per_game"] = (
+        _LINES
+        + """, kicks AS (SELECT season, team, CAST(sum(fg_att) AS BIGINT) AS fg_att, CAST(sum(points) AS BIGINT) AS points FROM weekly GROUP BY ALL),
+played AS (SELECT season, team, count(*) AS games FROM side_rows GROUP BY ALL)
+SELECT season, team, fg_att, points, games, fg_att / CAST(games AS DOUBLE) AS attpg FROM kicks LEFT JOIN played USING (season, team)"""
+    )
+    sql["sql_opponents"] = (
+        _LINES
+        + """, kicks AS (SELECT season, week, team, CAST(sum(fg_att) AS BIGINT) AS fg_att FROM weekly GROUP BY ALL)
+SELECT k.*, away_team AS oppteam FROM kicks k JOIN schedule s ON s.season = k.season AND s.week = k.week AND s.home_team = k.team
+UNION SELECT k.*, home_team FROM kicks k JOIN schedule s ON s.season = k.season AND s.week = k.week AND s.away_team = k.team"""
+    )
+    sql["sql_late_season_by_roof"] = (
+        _FORM
+        + """SELECT roof, avg(actual_fg_made) AS fgm, count(*) FILTER (WHERE actual_fg_made >= 2) AS over
+FROM sides WHERE week > 14 GROUP BY roof"""
+    )
+
     # --- regressions ----------------------------------------------------------------------
     sql["ols_simple"] = (
         _FORM
@@ -693,6 +762,28 @@ UNION ALL SELECT 'actual_fg_made', 'pct*exp_att', regr_count(actual_fg_made, pct
   round(regr_intercept(actual_fg_made, pctadj), 6), round(regr_r2(actual_fg_made, pctadj), 6) FROM complete"""
     )
     attempted = "CASE WHEN fg_att > 0 THEN pct END"
+
+    def two(y: str, x1: str, x2: str) -> str:
+        """Two regressors per season in closed form."""
+        v = {f"{a}{b}": f"covar_pop({p}, {q})" for a, p in (("1", x1), ("2", x2), ("y", y)) for b, q in (("1", x1), ("2", x2), ("y", y))}
+        return f"""SELECT season, count(*) AS n, avg({y}) AS my, avg({x1}) AS m1, avg({x2}) AS m2, {v["yy"]} AS cyy, {v["1y"]} AS c1y, {v["2y"]} AS c2y,
+  ({v["1y"]} * {v["22"]} - {v["2y"]} * {v["12"]}) / ({v["11"]} * {v["22"]} - {v["12"]} * {v["12"]}) AS b1,
+  ({v["2y"]} * {v["11"]} - {v["1y"]} * {v["12"]}) / ({v["11"]} * {v["22"]} - {v["12"]} * {v["12"]}) AS b2
+  FROM rows WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL GROUP BY season"""
+
+    fitted = """SELECT season, '{y}' AS target, '{terms}' AS terms, n, round((b1 * c1y + b2 * c2y) / cyy, 6) AS r2,
+  round(my - b1 * m1 - b2 * m2, 6) AS intercept, round(b1, 6) AS first, round(b2, 6) AS second FROM ({inner})"""
+    sql["ols_by_season"] = (
+        _FORM
+        + f""", rows AS (SELECT season, CAST(points AS DOUBLE) AS points, exp_att, CAST(actual_fg_made AS DOUBLE) AS made, {attempted} AS pct, xppg,
+  {attempted} * exp_att AS pct_att FROM sides)
+SELECT season, 'points' AS target, 'exp_att' AS terms, regr_count(points, exp_att) AS n, round(regr_r2(points, exp_att), 6) AS r2,
+  round(regr_intercept(points, exp_att), 6) AS intercept, round(regr_slope(points, exp_att), 6) AS first, CAST(NULL AS DOUBLE) AS second
+FROM rows GROUP BY season UNION ALL """
+        + fitted.format(y="made", terms="pct,exp_att", inner=two("made", "pct", "exp_att"))
+        + " UNION ALL "
+        + fitted.format(y="points", terms="pct:exp_att,xppg", inner=two("points", "pct_att", "xppg"))
+    )
     sql["ols_two"] = (
         _FORM
         + f""", rows AS (SELECT actual_fg_made AS made, {attempted} AS pct, exp_att FROM sides

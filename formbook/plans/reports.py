@@ -8,16 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.functions.expr import ratio_sql, relative_band, safe_ratio
+from formbook.functions.expr import ratio_sql, safe_ratio
 from formbook.functions.stats import (
     chi2_2df_tail,
     hit_rate,
     hit_rate_doubled,
-    jarque_bera,
     jarque_bera_signs,
+    jarque_bera_sums,
 )
 from formbook.operators.bands import around, band_totals
-from formbook.operators.intervals import Box, count_boxes
+from formbook.operators.intervals import Box, count_boxes, moment_boxes
 
 REPORT_BAND = 0.06
 THRESHOLD_BAND = 0.03
@@ -201,31 +201,42 @@ def cut_report(
     return verdict(found, F.col("periods"), F.col("o_u")).drop("periods")
 
 
+@dataclass(frozen=True)
+class PointsTry:
+    """One try of the points analysis: a band around ``exp_points`` and an accuracy to exceed."""
+
+    exp_points: float = 10.25
+    above_pct: float = 0.95
+
+
+def points_thresholds(sides: DataFrame, tries: Sequence[PointsTry], spread: float = 0.05) -> DataFrame:
+    """Points of sides near an expectation with accuracy above a cut, against everybody's: one row per try, all in the same
+    pass over the sides. A try that no side meets has no outcome."""
+    boxes = [
+        Box(
+            {"threshold": _literal(t.exp_points), "pct_threshold": _literal(t.above_pct)},
+            {"exp_points": (t.exp_points * round(1 - spread, 12), t.exp_points * round(1 + spread, 12))},
+            {"kick_pct": t.above_pct},
+        )
+        for t in tries
+    ]
+    found = moment_boxes(sides.select("season", "week", "exp_points", "kick_pct", "points"), boxes, ["season", "week"], "points")
+    return found.select(
+        "threshold",
+        F.try_divide(F.col("n"), F.col("periods")).alias("weeks_per_occurrence"),
+        "pct_threshold",
+        chi2_2df_tail(jarque_bera_sums(F.col("n"), F.col("m2"), F.col("m3"), F.col("m4"))).alias("p_value"),
+        F.col("n").alias("observations"),
+        (F.col("mean") - F.col("everybody")).alias("advantage"),
+        F.col("mean").alias("outcome"),
+    )
+
+
 def points_threshold(
     sides: DataFrame, threshold: float = 10.25, spread: float = 0.05, min_pct: float = 0.95
 ) -> DataFrame:
-    """Points of sides near an expectation with accuracy above a cut, against everybody's."""
-    inside = relative_band("exp_points", float(threshold), spread) & (
-        F.col("kick_pct") > min_pct
-    )
-    points = F.col("points").cast("double")
-    chosen = F.when(inside, points)
-    one = sides.agg(
-        F.count(chosen).alias("observations"),
-        F.count_distinct("season", "week").alias("periods"),
-        F.avg(chosen).alias("outcome"),
-        F.avg(points).alias("everybody"),
-        jarque_bera(chosen).alias("jb"),
-    )
-    return one.select(
-        F.lit(float(threshold)).alias("threshold"),
-        (F.col("observations") / F.col("periods")).alias("weeks_per_occurrence"),
-        F.lit(float(min_pct)).alias("pct_threshold"),
-        chi2_2df_tail(F.col("jb")).alias("p_value"),
-        "observations",
-        (F.col("outcome") - F.col("everybody")).alias("advantage"),
-        "outcome",
-    )
+    """One try of it."""
+    return points_thresholds(sides, [PointsTry(threshold, min_pct)], spread)
 
 
 def low_accuracy_cut(sides: DataFrame, max_pct: float = 0.65) -> DataFrame:
@@ -261,6 +272,7 @@ def low_accuracy_cut(sides: DataFrame, max_pct: float = 0.65) -> DataFrame:
 
 __all__ = [
     "Cut",
+    "PointsTry",
     "Threshold",
     "cut_report",
     "low_accuracy_cut",
@@ -269,6 +281,7 @@ __all__ = [
     "period_count",
     "period_scalar",
     "points_threshold",
+    "points_thresholds",
     "published",
     "threshold_report",
     "threshold_single",

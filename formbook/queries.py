@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.functions.expr import bucket_points, distance_list_points, safe_ratio
+from formbook.functions.expr import BUCKET_POINTS, bucket_points, distance_list_points, safe_ratio
 from formbook.functions.stats import chi2_2df_tail, jarque_bera, jarque_bera_signs
-from formbook.operators import models, quantiles
+from formbook.operators import models, quantiles, sketches
 from formbook.operators.codes import CodeRule, normalize_codes
 from formbook.operators.durable import written
 from formbook.operators.plays import rolling_allowed
@@ -23,9 +24,9 @@ from formbook.operators.rolling import (
     trailing_on_spine,
 )
 from formbook.operators.sides import add_opponent, distinct_matchups, schedule_sides, stack_sides
-from formbook.plans import reports
+from formbook.plans import reports, surface
 from formbook.plans.comparables import add_comparables, add_comparables_to_games, comparable_points
-from formbook.plans.form import FormSettings, build_games, game_sides
+from formbook.plans.form import FormSettings, build_games, game_sides, kick_measures
 from formbook.sources import orders
 from formbook.sources.orders import OrderFolder
 from formbook.sources.schema import KICK_COUNTS
@@ -257,6 +258,23 @@ def rolling_form(spark: SparkSession, d: str) -> DataFrame:
     return rolled.withColumn("att_rate", safe_ratio("fg_att", "games"))
 
 
+@_query
+def rolling_every_column(spark: SparkSession, d: str) -> DataFrame:
+    """Every numeric column of the weekly table over the window, for every team and target week, byes included."""
+    s, found = SETTINGS, orders.tables(OrderFolder.at(spark, d))
+    measures = list(kick_measures(found, replace(s, every_numeric=True)))
+    fixtures = games_by_team(found.schedule)
+    kicks = found.weekly.select("season", "week", "team", *measures)
+    return trailing_on_spine(stack_tables([fixtures, kicks]), ["games", *measures], s.window_weeks, s.min_week, s.max_week)
+
+
+@_query
+def sides_every_column(spark: SparkSession, d: str) -> DataFrame:
+    """The same columns in the data set, for both sides of every game."""
+    found = game_sides(build_games(orders.tables(OrderFolder.at(spark, d)), replace(SETTINGS, every_numeric=True)))
+    return found.select("game_id", "season", "week", "side", "team", "games", "fg_att", *BUCKET_POINTS, "exp_points")
+
+
 @_query
 def rolling_allowed_any(spark: SparkSession, d: str) -> DataFrame:
     s = SETTINGS
@@ -480,6 +498,16 @@ def points_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_rounded(found, 6, "advantage", "outcome"), 9, "p_value")
 
 
+#: Thirty tries: expectations a quarter apart, each with three accuracies to exceed.
+POINTS_TRIES = tuple(reports.PointsTry(2.0 + step / 4, above) for step in range(10) for above in (0.5, 0.75, 0.95))
+
+
+@_query
+def points_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    found = reports.points_thresholds(sides(spark, d), POINTS_TRIES)
+    return _rounded(_rounded(found, 6, "advantage", "outcome"), 9, "p_value")
+
+
 @_query
 def low_accuracy_cut(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_rounded(reports.low_accuracy_cut(sides(spark, d)), 6, "jb"), 9, "p_value")
@@ -544,13 +572,27 @@ def ols_simple(spark: SparkSession, d: str) -> DataFrame:
     rows = sides(spark, d).select(
         "points", "exp_att", "actual_fg_att", "actual_fg_made", "fg_att", "fg_made", "cash", _accuracy().alias("pct")
     )
-    complete = complete_rows(rows).withColumn("pct*exp_att", F.col("pct") * F.col("exp_att"))
-    fits = [
-        models.simple_fit(rows, "points", "exp_att"),
-        models.simple_fit(complete, "actual_fg_att", "exp_att"),
-        models.simple_fit(complete, "actual_fg_made", "pct*exp_att"),
+    every = ("exp_att", "actual_fg_att", "actual_fg_made", "fg_att", "fg_made", "cash", "pct")
+    wanted = [
+        models.Model("points", ("exp_att",)),
+        models.Model("actual_fg_att", ("exp_att",), ("points", *every)),
+        models.Model("actual_fg_made", ("pct:exp_att",), ("points", *every)),
     ]
-    return _rounded(stack_tables(fits), 6, "slope", "intercept", "r2")
+    found = models.fit_models(rows, wanted).select(
+        "target", F.replace("terms", F.lit(":"), F.lit("*")).alias("regressor"), "n", F.col("weights")[0].alias("slope"), "intercept", "r2"
+    )
+    return _rounded(found, 6, "slope", "intercept", "r2")
+
+
+@_query
+def ols_by_season(spark: SparkSession, d: str) -> DataFrame:
+    """Three models for every season from one pass."""
+    rows = sides(spark, d).select("season", "points", "exp_att", F.col("actual_fg_made").alias("made"), _accuracy().alias("pct"), "xppg")
+    wanted = [models.Model("points", ("exp_att",)), models.Model("made", ("pct", "exp_att")), models.Model("points", ("pct:exp_att", "xppg"))]
+    found = models.fit_models(rows, wanted, ["season"]).select(
+        "season", "target", "terms", "n", "r2", "intercept", F.col("weights")[0].alias("first"), F.get("weights", F.lit(1)).alias("second")
+    )
+    return _rounded(found, 6, "r2", "intercept", "first", "second")
 
 
 @_query
@@ -594,6 +636,62 @@ def ols_points_predict(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("game_id", F.round(fit.score(), 6).alias("predicted"))
 
 
+# --- sketches -----------------------------------------------------------------------------------------
+
+
+@_query
+def approximate_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of every (season, week), stored, merged to seasons; whether each quantile's rank is within three hundredths of
+    all rows, against the exact ranks."""
+    rows = written(sides(spark, d).select("season", "week", "exp_points"))
+    asked = {"q25": 0.25, "q50": 0.5, "q88": 0.88, "q95": 0.95}
+    stored = written(sketches.quantile_sketches(rows, "exp_points", ["season", "week"]))
+    found = sketches.rank_errors(rows, "exp_points", sketches.merged_quantiles(stored, asked, ["season"]), asked, ["season"])
+    return found.select("season", "quantile", "n", (F.col("error") <= 0.03).alias("within"))
+
+
+# --- SQL text ---------------------------------------------------------------------------------------------
+
+
+def _surface(spark: SparkSession, d: str) -> None:
+    found = orders.tables(OrderFolder.at(spark, d))
+    surface.register_functions(spark)
+    surface.register_views(found, build_games(found, SETTINGS))
+
+
+@_query
+def sql_attempts_per_game(spark: SparkSession, d: str) -> DataFrame:
+    _surface(spark, d)
+    return spark.sql(
+        """SELECT k.season, k.team, k.fg_att, k.points, g.games, safe_ratio(k.fg_att, g.games) AS attpg
+           FROM (SELECT season, team, sum(fg_att) AS fg_att,
+                        sum(kick_points(fg_made_0_19, fg_made_20_29, fg_made_30_39, fg_made_40_49, fg_made_50_59,
+                                        fg_made_60_, pat_made)) AS points
+                 FROM weekly GROUP BY season, team) k
+           LEFT JOIN gamesplayed g ON g.season = k.season AND g.team = k.team"""
+    )
+
+
+@_query
+def sql_opponents(spark: SparkSession, d: str) -> DataFrame:
+    _surface(spark, d)
+    return spark.sql(
+        """WITH kickers AS (SELECT season, week, team, sum(fg_att) AS fg_att FROM weekly GROUP BY season, week, team)
+           SELECT DISTINCT k.*, s.opp AS oppteam FROM kickers k
+           JOIN schedule_sides s ON s.season = k.season AND s.week = k.week AND s.team = k.team
+           WHERE s.opp IS NOT NULL"""
+    )
+
+
+@_query
+def sql_late_season_by_roof(spark: SparkSession, d: str) -> DataFrame:
+    _surface(spark, d)
+    return spark.sql(
+        """SELECT roof, avg(actual_fg_made) AS fgm, count_if(over_line(actual_fg_made) = 1) AS over
+           FROM sides WHERE week > 14 GROUP BY roof"""
+    )
+
+
 # Functions whose name would hide an imported operator.
 for _name, _public in {
     "safe_ratio_columns": "safe_ratio",
