@@ -63,6 +63,7 @@ def test_weak_parts_need_each_other(spark):
 
 NOTICES = [
     None, "", "nothing", "Released under the MIT License.", "licensed under CC BY-NC 4.0; cc by, CC-BY", "GNU General Public License, version 3",
+    " ".join(n for _, n, _ in licenses.NOTICES), "as is " + licenses.NOTICES[-1][1].upper() + " x", "software License, version 2: software foundation. " * 40,
     "general public general public license general public license version 3", "All Rights Reserved. all rights reserved", "mit and a license",
     "Licensed under the Apache License, Version 2.0.", "apache license", "cc cc by by cc by", "É cc ü by cc by", "word " * 3000 + "mit license " * 3,
 ]
