@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from formbook.llm.common import utf8
 from formbook.operators.durable import written
 
-#: A longer word is scored in parts of this many bytes.
-_LONGEST = 512
 _BYTES = 256
+_STRETCH = 512  # positions of the forward array that are held at once, besides those a piece can still reach
 
 
 def _vocabulary(name: str):
@@ -108,32 +107,40 @@ class Model:
         return found
 
     def _forward(self, words: list[bytes]) -> np.ndarray:
+        """Positions are gone through in stretches; what pieces have reached beyond a stretch is handed on to the next."""
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max(initial=0))
         text = np.zeros((len(words), width), dtype=np.uint8)
         for row, word in zip(text, words):
             row[: len(word)] = np.frombuffer(word, dtype=np.uint8)
-        reached = np.zeros((width + 1, len(words), len(self.languages)))
+        stretch = min(width, _STRETCH)
+        reached = np.zeros((stretch + self.depth + 1, len(words), len(self.languages)))  # [0]: where the stretch begins
         reached[0] = 1.0
-        scale = np.zeros((len(words), len(self.languages)))
-        for start in range(width):
-            alive = np.flatnonzero(lengths > start)
-            if start % 8 == 0 and start:  # keep long words from running out of the smallest double
-                top = reached[start, alive]
-                scale[alive] += np.log(top)
-                reached[start : start + self.depth, alive] /= top
-            node = np.zeros(len(alive), dtype=np.int32)
-            for stop in range(start + 1, min(width, start + self.depth) + 1):
-                node = self.step[node, text[alive, stop - 1]]
-                on = (node > 0) & (lengths[alive] >= stop)
-                alive, node = alive[on], node[on]
-                if not len(alive):
-                    break
-                piece = self.piece[node]
-                ends = piece >= 0
-                at = alive[ends]
-                reached[stop, at] += reached[start, at] * self.probability[piece[ends]]
-        return np.log(reached[lengths, np.arange(len(words))]) + scale
+        scale, found = np.zeros((2, len(words), len(self.languages)))
+        for begin in range(0, width, max(1, stretch)):
+            end = min(width, begin + stretch)
+            for start in range(begin, end):
+                alive = np.flatnonzero(lengths > start)
+                if start % 8 == 0 and start:  # keep long words from running out of the smallest double
+                    top = reached[start - begin, alive]
+                    scale[alive] += np.log(top)
+                    reached[start - begin : start - begin + self.depth, alive] /= top
+                node = np.zeros(len(alive), dtype=np.int32)
+                for stop in range(start + 1, min(width, start + self.depth) + 1):
+                    node = self.step[node, text[alive, stop - 1]]
+                    on = (node > 0) & (lengths[alive] >= stop)
+                    alive, node = alive[on], node[on]
+                    if not len(alive):
+                        break
+                    piece = self.piece[node]
+                    ends = piece >= 0
+                    at = alive[ends]
+                    reached[stop - begin, at] += reached[start - begin, at] * self.probability[piece[ends]]
+            done = np.flatnonzero((lengths > begin) & (lengths <= end))
+            found[done] = np.log(reached[lengths[done] - begin, done]) + scale[done]
+            reached[: self.depth + 1] = reached[stretch : stretch + self.depth + 1].copy()
+            reached[self.depth + 1 :] = 0.0
+        return found
 
 
 class Scorer:
@@ -151,15 +158,7 @@ class Scorer:
         have = len(self._place)
         while have + len(words) > len(self._scores):
             self._scores = np.concatenate((self._scores, np.empty_like(self._scores)))
-        parts, owner = [], []
-        for i, word in enumerate(words):
-            text = b" " + word
-            for at in range(0, len(text), _LONGEST):
-                parts.append(text[at : at + _LONGEST])
-                owner.append(i)
-        scores = np.zeros((len(words), self._scores.shape[1]))
-        np.add.at(scores, owner, self._model.log_likelihoods(parts))
-        self._scores[have : have + len(words)] = scores
+        self._scores[have : have + len(words)] = self._model.log_likelihoods([b" " + word for word in words])
         self._place.update(zip(words, range(have, have + len(words))))
 
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
@@ -236,7 +235,7 @@ def predict(docs: DataFrame, model: Model | None, at_once: int = 200) -> DataFra
 def identify(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", per_language: int = 2_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, lang_pred, score``.
 
-    Learned from text and ``lang`` where ``crc32(doc_id) mod 3`` is not 1; those with 1 are held out (a null
+    A text's likelihood sums over all segmentations of each of its words, however long. Learned from text and ``lang`` where ``crc32(doc_id) mod 3`` is not 1; those with 1 are held out (a null
     identifier counts as an empty text there). ``und`` with score 0 where the text is null or has no letter, or where no
     language was learned. An empty table gives an empty result.
     """

@@ -34,6 +34,26 @@ def test_forward_sums_all_segmentations(model):
     assert np.allclose(model.probability.sum(axis=0), 1)
 
 
+def log_sums(model, word):
+    """The sum over all segmentations of a word of any length, byte by byte, each language in logarithms."""
+    pieces = sorted({bytes([b]) for b in range(256)} | {p for _, p in COUNTS})
+    place, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+    logs = [np.zeros(2)]
+    for stop in range(1, len(word) + 1):
+        ways = [logs[a] + np.log(model.probability[place[word[a:stop]]]) for a in range(max(0, stop - longest), stop) if word[a:stop] in place]
+        logs.append(np.logaddexp.reduce(ways))
+    return logs[-1]
+
+
+def test_long_words_equal_brute_force(model, monkeypatch):
+    """No segmentation is lost at any border: words longer than a stretch, together with short ones, and of exactly its length."""
+    words = [b" " + b"the" * 700, (" " + "éthe" * 500).encode(), b" the", b"", b" " + b"he" * 255 + b"t", b" " + b"t" * 511, b" " + b"the " * 256]
+    want = [log_sums(model, w) if w else np.zeros(2) for w in words]
+    for stretch in (512, 7, 1):
+        monkeypatch.setattr(langid, "_STRETCH", stretch)
+        assert np.allclose(model.log_likelihoods(words), want, rtol=1e-10)
+
+
 def test_long_words_do_not_underflow(model):
     scorer = langid.Scorer(model, remember=10)
     assert np.isfinite(model.log_likelihoods([b" " + b"q" * 5000])).all()
