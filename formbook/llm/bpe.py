@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm.common import utf8
-from formbook.operators.durable import written
+from formbook.operators.durable import fresh_folder
 
 _WINDOW, _CLEAR = 8, 12  # tokens of the first window; bytes that hold three characters for sure
 _DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -104,6 +104,7 @@ class Coder:
         self.spelled: list[bytes] = [b""] * (max([*table.values(), *added.values()]) + 1)
         for token, i in [*table.items(), *((t.encode(), i) for t, i in added.items())]:
             self.spelled[i] = token
+        self._kind = "<u2" if len(self.spelled) <= 1 << 16 else "<u4"
         self.written = [str(i) for i in range(len(self.spelled))]
         self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -128,6 +129,12 @@ class Coder:
             parts = [join(parts[i], parts[i + 1], self.spelled, self.ordinary) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self._kind).tobytes()
+
+    def unpacked(self, raw: bytes) -> list[int]:
+        return np.frombuffer(raw, dtype=self._kind).tolist()
+
     def digest(self, ids: list[int]) -> tuple[int, str, str]:
         written_ids = ",".join([self.written[i] for i in ids])
         return len(ids), hashlib.sha256(written_ids.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
@@ -153,12 +160,11 @@ def leaves(segment: str, most: int) -> list[str]:
     return leaves(segment[:middle], most) + leaves(segment[middle:], most)
 
 
-def _binary(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
-def _ids(raw: bytes) -> list[int]:
-    return np.frombuffer(raw, dtype="<u4").tolist()
+def _in_small_groups(df: DataFrame) -> DataFrame:
+    """``df`` written once, in row groups so small that the leaves of one text are read by many tasks."""
+    path = fresh_folder(df.sparkSession)
+    df.write.option("parquet.block.size", 4 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def round_trip(
@@ -167,7 +173,8 @@ def round_trip(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, ids_sha256`` (of decimal ids joined by commas), ``decoded_sha256``.
 
-    Texts over ``leaf`` characters are encoded as halves and joined, ``fan`` neighbours in a round. A null or empty text has no
+    Texts over ``leaf`` characters are encoded as halves and joined, ``fan`` neighbours in a round, the last ones with what is
+    left of their document. A null or empty text has no
     token. Rows that repeat or lack an identifier are encoded one by one. An empty table gives an empty result.
     """
     leaf_columns = "segment int, leaf int, _raw binary"
@@ -188,30 +195,31 @@ def round_trip(
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = coder(vocabulary, ranks)
         for part in parts:
-            yield part.assign(_raw=[_binary(use.segment_ids(raw.decode("utf-8", "replace"))) for raw in part["_raw"]])
+            yield part.assign(_raw=[use.packed(use.segment_ids(raw.decode("utf-8", "replace"))) for raw in part["_raw"]])
 
-    def join_some(part: pd.DataFrame) -> pd.DataFrame:
+    def whole(part: pd.DataFrame) -> list[int]:
         use = coder(vocabulary, ranks)
-        part = part.sort_values("leaf")
-        whole = _binary(use.joined([_ids(raw) for raw in part["_raw"]]))
-        return part[:1].assign(leaf=part["leaf"].iloc[:1] // fan, _raw=[whole])
+        return use.joined([use.unpacked(raw) for raw in part.sort_values("leaf")["_raw"]])
+
+    def join_some(part: pd.DataFrame) -> pd.DataFrame:
+        return part[:1].assign(leaf=part["leaf"].iloc[:1] // fan, _raw=[coder(vocabulary, ranks).packed(whole(part))])
 
     def finish(part: pd.DataFrame) -> pd.DataFrame:
-        use = coder(vocabulary, ranks)
-        ids = [i for raw in part.sort_values("segment")["_raw"] for i in _ids(raw)]
-        return part[["_row", "doc_id"]][:1].assign(**dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(lambda x: [x], use.digest(ids)))))
+        ids = [i for _, segment in part.groupby("segment", sort=True) for i in whole(segment)]
+        digest = coder(vocabulary, ranks).digest(ids)
+        return part[["_row", "doc_id"]][:1].assign(**{c: [v] for c, v in zip(("n_tokens", "ids_sha256", "decoded_sha256"), digest)})
 
     # Identifiers go through Python as text: a column of integers with nulls would reach it as floats.
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), utf8(text_col).alias("_raw")).withColumn("_row", F.monotonically_increasing_id())
-    begun = written(rows.mapInPandas(start, f"_row long, doc_id string, {leaf_columns}, {_DIGEST}"))
-    part = f"_row long, doc_id string, {leaf_columns}"
+    begun = _in_small_groups(rows.mapInPandas(start, f"_row long, doc_id string, {leaf_columns}, {_DIGEST}"))
+    done = begun.filter("_raw IS NULL").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     nodes = begun.filter("_raw IS NOT NULL").select("_row", "doc_id", "segment", "leaf", "_raw")
     most = nodes.agg(F.max("leaf")).first()[0]
-    done = begun.filter("_raw IS NULL").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     if most is not None:
-        nodes = nodes.repartition("_row", "segment", "leaf").mapInPandas(encode, part)
-        while most:
+        part = f"_row long, doc_id string, {leaf_columns}"
+        nodes = nodes.mapInPandas(encode, part)
+        while most >= fan:
             nodes = nodes.groupBy("_row", "segment", F.floor(F.col("leaf") / fan).alias("node")).applyInPandas(join_some, part)
             most //= fan
         long = nodes.groupBy("_row").applyInPandas(finish, f"_row long, doc_id string, {_DIGEST}")
