@@ -8,8 +8,8 @@ plain Spark text files: a row is a record, and the line separator is the blank l
 lengths and writes every record as a gzip member of its own, with an index of offsets beside the
 archive. ``read_records`` follows that index and inflates single members.
 
-Archives are rolled at a size limit, so that a task holds one compressed archive and one record.
-Writers put a file under a temporary name into the same folder and rename it when it is
+Archives are rolled at a number of records and may be of any size: a task reads, inflates and writes them in pieces and
+holds no more than a piece and one record. Neighbouring members are fetched in one read. Writers put a file under a temporary name into the same folder and rename it when it is
 whole; a task that runs again writes the same file again.
 """
 
@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyarrow import fs
@@ -89,21 +91,21 @@ def write_monolithic(pages: DataFrame, folder: str, least_bytes: int = 0, record
     )
 
 
-def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """A gzip file's content in pieces; several members follow one another."""
-    view, unzip = memoryview(raw), zlib.decompressobj(31)
-    for at in range(0, len(view), step):
-        part = bytes(view[at : at + step])
+def _inflated(source: BinaryIO, step: int = 1 << 18) -> Iterator[bytes]:
+    """A gzip file's content in pieces of bounded size; several members follow one another."""
+    unzip = zlib.decompressobj(31)
+    while part := source.read(step):
         while part:
-            yield unzip.decompress(part)
-            part = unzip.unused_data
+            yield unzip.decompress(part, step)
+            part = unzip.unconsumed_tail or unzip.unused_data
             if unzip.eof:
                 unzip = zlib.decompressobj(31)
+    yield unzip.flush()
 
 
-def split_records(raw: bytes) -> Iterator[bytes]:
+def split_records(source: BinaryIO | bytes) -> Iterator[bytes]:
     """The records of an archive, each with the blank lines that end it."""
-    held, pieces, need = bytearray(), _inflated(raw), 0
+    held, pieces, need = bytearray(), _inflated(io.BytesIO(source) if isinstance(source, bytes) else source), 0
     for piece in pieces:
         held += piece
         while held:
@@ -143,51 +145,70 @@ def normalise(spark: SparkSession, monolithic: str, folder: str, level: int = 6)
     """Rewrite every archive of a folder with one gzip member per record; returns the offset index
     (``page_id, record_type, archive, offset, length``), which also lies beside each archive as ``.cdxj``."""
     def rewrite(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = fs.FileSystem.from_uri(_uri(folder))
+        (monoliths, _), (filesystem, root) = fs.FileSystem.from_uri(_uri(monolithic)), fs.FileSystem.from_uri(_uri(folder))
         filesystem.create_dir(root)
         for part in parts:
-            for source, raw in zip(part["path"], part["content"]):
-                name = source.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
+            for path in part["path"]:
+                name = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
                 rows: list[tuple] = []
 
-                def members(raw: bytes = raw, rows: list = rows, name: str = name) -> Iterator[bytes]:
+                def members(path: str = path, rows: list = rows, name: str = name) -> Iterator[bytes]:
                     offset = 0
-                    for record in split_records(raw):
-                        head = _headers(record[: record.index(_END)])
-                        zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        member = zipped.compress(record) + zipped.flush()
-                        rows.append((_page(head["warc-record-id"]), head["warc-type"], name, offset, len(member)))
-                        offset += len(member)
-                        yield member
+                    with monoliths.open_input_stream(fs.FileSystem.from_uri(_uri(path))[1], compression=None) as source:
+                        for record in split_records(source):
+                            head = _headers(record[: record.index(_END)])
+                            zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
+                            member = zipped.compress(record) + zipped.flush()
+                            rows.append((_page(head["warc-record-id"]), head["warc-type"], name, offset, len(member)))
+                            offset += len(member)
+                            yield member
 
                 _put(filesystem, f"{root}/{name}", members())
                 lines = (json.dumps(dict(zip(("page_id", "type", "archive", "offset", "length"), r))).encode() + b"\n" for r in rows)
                 _put(filesystem, f"{root}/{name}.cdxj", lines)
                 yield nullable(rows, _INDEX, "page_id")
 
+    # Only the paths travel: content is read as a stream by the task that rewrites it.
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(monolithic)
-    return written(archives.select("path", "content").mapInPandas(rewrite, _INDEX))
-
-
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records of an index: headers, and payload (a revisit has none). ``payload_bytes`` is the length
-    that the HTTP header states, which a revisit keeps too; for a response it is verified, as is the digest."""
+    return written(archives.select("path").mapInPandas(rewrite, _INDEX))
+
+
+def _ranges(wanted: pd.DataFrame, most: int = 1 << 22) -> Iterator[tuple[int, int, list[int]]]:
+    """Offset and length of reads that each take in neighbouring members, up to ``most`` bytes or one member, and their lengths."""
+    start, size, lengths = 0, 0, []
+    for offset, length in sorted(zip(wanted["offset"].tolist(), wanted["length"].tolist())):
+        if lengths and (offset != start + size or size + length > most):
+            yield start, size, lengths
+            size, lengths = 0, []
+        if not lengths:
+            start = offset
+        size += length
+        lengths.append(length)
+    if lengths:
+        yield start, size, lengths
+
+
+def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of an index: headers, and payload (a revisit has none; nor has any without ``payloads``, whose
+    payloads are verified all the same). ``payload_bytes`` is the length that the HTTP header states, which a revisit keeps
+    too; for a response it is verified, as is the digest."""
     def fetch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, root = fs.FileSystem.from_uri(_uri(folder))
         for part in parts:
             for archive, wanted in part.groupby("archive"):
-                rows = []
                 with filesystem.open_input_file(f"{root}/{archive}") as source:
-                    for offset, length in zip(wanted["offset"], wanted["length"]):
+                    for offset, size, lengths in _ranges(wanted):
                         source.seek(offset)
-                        record = zlib.decompress(source.read(length), 31)
-                        rows.append(_parsed(record))
-                yield nullable(rows, _RECORD, "page_id", "refers_to")
+                        members, at, rows = source.read(size), 0, []
+                        for length in lengths:
+                            rows.append(_parsed(zlib.decompress(members[at : at + length], 31), payloads))
+                            at += length
+                        yield nullable(rows, _RECORD, "page_id", "refers_to")
 
     return index.mapInPandas(fetch, _RECORD)
 
 
-def _parsed(record: bytes) -> tuple:
+def _parsed(record: bytes, payloads: bool) -> tuple:
     stop = record.index(_END)
     head = _headers(record[:stop])
     block = record[stop + len(_END) : stop + len(_END) + int(head["content-length"])]
@@ -200,7 +221,7 @@ def _parsed(record: bytes) -> tuple:
         raise ValueError(f"the payload of {head['warc-record-id']} does not match its headers")
     return (
         _page(head["warc-record-id"]), head["warc-type"], digest, _page(head.get("warc-refers-to")), size,
-        head["warc-target-uri"], payload if head["warc-type"] == "response" else None,
+        head["warc-target-uri"], payload if payloads and head["warc-type"] == "response" else None,
     )
 
 
@@ -221,6 +242,6 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, records_per_archive: int
     root = _uri(fresh_folder(spark, "warc"))
     write_monolithic(pages, f"{root}/monolithic", least_bytes, records_per_archive)
     index = normalise(spark, f"{root}/monolithic", f"{root}/members")
-    return read_records(index, f"{root}/members").select(
+    return read_records(index, f"{root}/members", payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )

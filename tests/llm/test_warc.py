@@ -1,11 +1,13 @@
 import base64
 import gzip
 import hashlib
+import io
 import json
 import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from formbook.llm import warc
@@ -78,3 +80,25 @@ def test_cut_archive_is_an_error():
 
 def test_no_pages(pages):
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_archives_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Records larger than a piece, members of several reads, and a stream no part of which is held whole."""
+    rows = [(i, "u", chr(97 + i) * (300_000 + i) + str(i), "x", 4) for i in range(12)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    found = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in found.items()} == {r[0]: (len(r[2]), digest(r[2])) for r in rows}
+    raw = b"".join(gzip.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" * 40_000) for _ in range(2))
+
+    class Source(io.BytesIO):
+        def read(self, size):
+            assert size <= 1 << 18
+            return super().read(size)
+
+    assert sum(1 for _ in warc.split_records(Source(raw))) == 80_000
+    assert max(map(len, warc._inflated(Source(raw)))) <= 1 << 18
+
+
+def test_reads_take_in_neighbours(spark):
+    wanted = pd.DataFrame([(30, 5), (0, 10), (10, 20), (50, 1), (51, 100), (151, 3)], columns=["offset", "length"])
+    assert list(warc._ranges(wanted, 40)) == [(0, 35, [10, 20, 5]), (50, 1, [1]), (51, 100, [100]), (151, 3, [3])]
