@@ -19,8 +19,10 @@ from formbook.operators.durable import written
 _DIGIT, _LEVELS = 12, 5
 
 
-def _hash(identifier: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(identifier.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def _hash(identifier: Column, text: Column) -> Column:
+    """Of identifier and text, so that documents without an identifier are spread like others."""
+    named = F.concat(F.coalesce(identifier.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def _prefix(level: int) -> Column:
@@ -88,7 +90,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more:
         F.col(id_col).alias("doc_id"),
         source.alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        _hash(F.col(id_col)).alias("_hash"),
+        _hash(F.col(id_col), F.col(text_col)).alias("_hash"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_source"),
         *more,
     )
@@ -130,8 +132,8 @@ def mix(
     ``size`` counts words (null text: 0). Sources take ``weights`` in turn by code point, null
     last, and share 100 % of all words. A document is taken whole, ``times`` times;
     ``taken = times * size``. A source misses its target by at most half of the document at
-    its threshold. Documents are chosen by their identifier alone: rows that repeat one
-    (or have none) are chosen together, and reruns agree. Sources without words have target 0.
+    its threshold. Documents are chosen by identifier and text alone: rows alike in both
+    are chosen together, others without an identifier one by one, and reruns agree. Sources without words have target 0.
     An empty table gives an empty result.
     """
     rows = written(_keyed(docs, id_col, text_col, source_col))

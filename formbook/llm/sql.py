@@ -32,7 +32,7 @@ FROM rows JOIN groups USING (text_sha256)
 OP3_MIXING = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 ranked AS (
