@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.operators.bands import HIGHEST, Band, around, band_totals
+from formbook.operators.boards import board_totals
 from formbook.operators.durable import written
 
 POINTS_BAND = 0.05
@@ -21,8 +22,10 @@ def comparable_points(
 
     ``as_of='all'`` compares with every row, the probe's own included.
     ``'past'`` compares with earlier weeks only, so nothing leaks from the future;
-    the result is then per (season, week, exp_points, kick_pct).
+    the result is then per (season, week, exp_points, kick_pct). ``probes`` other than the history itself are taken for a
+    board, of which there are few.
     """
+    totals = band_totals if probes is None or as_of == "past" else board_totals
     probes = history if probes is None else probes
     key = ["exp_points", "kick_pct"]
     bands = [around("kick_pct", "kick_pct", spread), around("exp_points", "exp_points", spread)]
@@ -32,7 +35,7 @@ def comparable_points(
         bands = [Band("_period", f"-{HIGHEST}D", f"{_PERIOD} - 1"), *bands]
     elif as_of != "all":
         raise ValueError("as_of is 'all' or 'past'")
-    found = band_totals(history, probes, key, bands, ["points"])
+    found = totals(history, probes, key, bands, ["points"])
     return found.select(*key, (F.col("points") / F.col("n")).alias("historical_points"), F.col("n").alias("comparables"))
 
 
@@ -44,7 +47,7 @@ def add_comparables(
     ``sides`` and ``history`` are read several times: pass written tables.
     """
     history = sides if history is None else history
-    found = comparable_points(history, sides, spread, as_of).drop("comparables")
+    found = comparable_points(history, None if history is sides else sides, spread, as_of).drop("comparables")
     key = [c for c in found.columns if c != "historical_points"]
     return sides.join(found, on=key, how="left")
 

@@ -16,7 +16,8 @@ from formbook.functions.stats import (
     jarque_bera_signs,
     jarque_bera_sums,
 )
-from formbook.operators.bands import around, band_totals
+from formbook.operators.bands import around
+from formbook.operators.boards import board_totals
 from formbook.operators.intervals import Box, count_boxes, moment_boxes
 
 REPORT_BAND = 0.06
@@ -101,7 +102,7 @@ def threshold_report(
     history = outcome_history(sides, expectation, zero_fill)
     probes = board.select(F.col(board_expectation).alias("threshold"), F.col(board_pct).alias("pct_threshold"))
     bands = [around("pct", "pct_threshold", spread), around("exatt", "threshold", spread)]
-    found = band_totals(history, probes, ["threshold", "pct_threshold"], bands, OUTCOME_COUNTS)
+    found = board_totals(history, probes, ["threshold", "pct_threshold"], bands, OUTCOME_COUNTS)
     rows = board.select(
         "game_id", "side", "team", F.col(board_expectation).alias("threshold"), F.col(board_pct).alias("pct_threshold")
     ).join(found, ["threshold", "pct_threshold"], "left")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook.operators.bands import HIGHEST, Band, around, band_totals
+from formbook.operators.boards import board_totals
 from formbook.operators.cumulative import in_blocks, running_totals
 from formbook.operators.quantiles import five_number_summary, group_quantiles
 
@@ -157,3 +158,28 @@ def test_hot_value_is_folded_before_the_shuffle(spark):
     got = group_quantiles(df, "v", {"q": 0.5}).first()["q"]
     assert got == pytest.approx(np.quantile([1.0 if i % 3 == 0 else i / 1e4 for i in range(30000)], 0.5))
     assert df.agg(F.count_if(F.col("v") == 1)).first()[0] >= 10000
+
+
+@pytest.mark.parametrize("most_cells", [4_000_000, 10])
+@pytest.mark.parametrize("shape", ["spread", "grid", "one"])
+def test_a_board_by_prefix_sums_equals_brute_force(spark, shape, most_cells):
+    """Ends that touch values, boxes that share ends, empty and impossible boxes, missing and infinite values."""
+    rng = random.Random(len(shape))
+    value = {"spread": lambda: rng.uniform(0, 3), "grid": lambda: rng.randint(0, 8) / 4, "one": lambda: 1.0}[shape]
+    odd = [(None, 1.0, 2), (1.0, None, 2), (float("inf"), 1.0, 3), (1.0, float("-inf"), 4), (0.0, 0.0, None)]
+    history = [(value(), value(), rng.randint(-3, 9)) for _ in range(400)] + odd
+    probes = [(value(), value()) for _ in range(25)] + [(99.0, 1.0), (None, 1.0), (float("inf"), 1.0), (0.0, 0.0), (-1.0, 1.0)]
+    want = brute(history, probes, lambda p: [(None, None) if v is None else (v * 0.9, v * 1.1) for v in p])
+    bands = [around("x", "px", 0.1), around("y", "py", 0.1)]
+    df = spark.createDataFrame(history, "x double, y double, m long").repartition(3)
+    board = spark.createDataFrame(probes + probes[:5], "px double, py double")
+    assert found(board_totals(df, board, ["px", "py"], bands, ["m"], most_cells), ["px", "py"]) == want
+    assert board_totals(df, board.limit(0), ["px", "py"], bands, ["m"], most_cells).count() == 0
+    assert board_totals(df.limit(0), board, ["px", "py"], bands, ["m"], most_cells).count() == 0
+
+
+def test_a_board_report_reads_its_history_once(spark):
+    df = spark.range(100).selectExpr("id / 10D AS x", "id / 7D AS y", "id AS m")
+    board = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "px double, py double")
+    plan = board_totals(df, board, ["px", "py"], [around("x", "px", 0.1), around("y", "py", 0.1)], ["m"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 100") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
