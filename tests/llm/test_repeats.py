@@ -79,3 +79,46 @@ def test_least_is_bounded(odd_docs):
         remove_repeats(odd_docs, least=20)
     with pytest.raises(ValueError):
         remove_repeats(odd_docs, fan_in=1)
+
+
+def factor_array(text):
+    """Longest previous factors from a plain suffix array: common prefixes with the previous and the next smaller position
+    in suffix order, found by a stack."""
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+
+    def common(i, j):
+        n = 0
+        while i + n < len(text) and j + n < len(text) and text[i + n] == text[j + n]:
+            n += 1
+        return n
+
+    factor = [0] * len(text)
+    for sequence in (order, order[::-1]):  # previous smaller, then next smaller positions
+        stack = []
+        for at in sequence:
+            while stack and stack[-1] > at:
+                stack.pop()
+            if stack:
+                factor[at] = max(factor[at], common(stack[-1], at))
+            stack.append(at)
+    return factor
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_removal_equals_an_independent_factor_array(spark, monkeypatch, seed):
+    """Documents end to end, each closed by a character of its own: what a factor of 40 or more covers goes."""
+    monkeypatch.setattr(repeats, "_BLOCK", 500)
+    docs = sorted((i, t.replace("é", "e")) for i, t in shuffled_passages(seed, 25, 4))
+    text, begins = "", {}
+    for i, t in docs:
+        begins[i] = len(text)
+        text += t + chr(0x1000 + i)
+    covered = [False] * len(text)
+    for at, factor in enumerate(factor_array(text)):
+        if factor >= 40:
+            covered[at : at + 40] = [True] * 40
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 40).collect()}
+    for i, t in docs:
+        gone = covered[begins[i] : begins[i] + len(t)]
+        kept = "".join(c for c, g in zip(t, gone) if not g)
+        assert got[i] == (sum(gone), hashlib.sha256(kept.encode()).hexdigest())

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -123,3 +124,77 @@ def test_keys_after_equals_and_long_keys(spark):
     for i, (text, want) in enumerate(cases):
         spans = [s.split(":") for s in found[i].split(",") if s]
         assert {(kind, text[int(a) : int(b)]) for kind, a, b in spans} == want
+
+
+ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def run(text, at, chars):
+    end = at
+    while end < len(text) and text[end] in chars:
+        end += 1
+    return end
+
+
+def own_weak_parts(text):
+    """Weak parts found character by character, without a pattern."""
+    found, folded = [], lower(text)
+    at = 0
+    while at < len(text):  # identifiers after their word
+        hit = None
+        for word in [f"access{a}key{b}id" for a in ("_", "-", "") for b in ("_", "-", "")] + ["client_id", "client-id", "clientid", "account", "username", "user", "login"]:
+            if folded.startswith(word, at):
+                p = at + len(word)
+                p += text[p : p + 1] in ('"', "'") and p < len(text)
+                p = run(text, p, " ")
+                if text[p : p + 1] in (":", "=") and p < len(text):
+                    p = run(text, p + 1, " ")
+                    p += text[p : p + 1] in ('"', "'") and p < len(text)
+                    end = run(text, p, ALPHANUMERIC + "._@-")
+                    if end - p >= 3:
+                        hit = p, end
+                        break
+        if hit:
+            found.append(("account", "identifier", *hit))
+        at = hit[1] if hit else at + 1
+    at = 0
+    while at < len(text):  # runs that look like keys
+        end = run(text, at, ALPHANUMERIC + "+/")
+        if end > at:
+            word, pad = text[at:end], run(text, end, "=") - end
+            if len(word) >= 32 and any(c.isdigit() for c in word) and any("A" <= c <= "Z" for c in word) and pad <= 2:
+                if text[end + pad : end + pad + 1] not in tuple(ALPHANUMERIC + "+/"):
+                    found.append(("key", "secret", at, end + pad))
+        at = max(end, at + 1)
+    at = 0
+    while at < len(text):  # addresses
+        hit = None
+        for scheme in ("https", "http", "ftp", "jdbc:", "postgresql", "postgres", "mysql", "mongodb", "redis", "amqps", "amqp"):
+            if text.startswith(scheme, at):
+                p = at + len(scheme)
+                if scheme == "jdbc:":
+                    p = run(text, p, ALPHANUMERIC[26:52])
+                    if p == at + len(scheme):
+                        continue
+                end = run(text, p + 3, ALPHANUMERIC + "._~:/?@%-")
+                if text.startswith("://", p) and end > p + 3:
+                    hit = end
+                    break
+        if hit:
+            found.append(("endpoint", "endpoint", at, hit))
+        at = hit or at + 1
+    return found
+
+
+def test_parts_equal_those_found_without_patterns():
+    rng = random.Random(9)
+    pieces = [
+        "user", "username", "account", "client_id", "access-key-id", "login", "=", ":", " = ", ": ", '"', "'", " ", "\n", "abc", "worker-7", "x@y.z", KEY, BARE, PAIR, LONG,
+        "==", "=", "https://", "http://", "jdbc:mysql://db", "redis://", "host.example/path?q", "é", "A1b2" * 9, "a" * 40, "secret=", "0123456789abcdef01",
+    ]
+    for text in [t or "" for t in TEXTS] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3000)]:
+        strong = brute_base(text)
+        weak = [p for p in own_weak_parts(text) if not any(s[0] < p[3] and s[2] > p[2] for s in strong)]
+        got = secrets._parts(text, strong)
+        assert sorted(p for p in got if p[0] in ("account", "key", "endpoint")) == sorted(weak), text
+        assert bool(got) == bool(weak)
