@@ -51,20 +51,23 @@ def trailing_on_spine(
     first: int,
     last: int,
     keep_empty: bool = False,
+    entity: str = "team",
+    season: str = "season",
+    period: str = "week",
 ) -> DataFrame:
-    """Trailing totals for each target week of each team, byes included.
+    """Trailing totals for each target period of each entity, byes included.
 
     The spine is stacked under the facts rather than joined to them: one
     aggregation shuffle serves both.
     """
-    spine = period_spine(facts, first, last)
-    keys = ["season", "week", "team"]
+    spine = period_spine(facts, first, last, entity, season, period)
+    keys = [season, period, entity]
     dense = (
-        stack_tables([facts.filter(F.col("week") <= last), spine])
+        stack_tables([facts.filter(F.col(period) <= last), spine])
         .groupBy(*keys)
         .agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
     )
-    rolled = trailing_sums(dense, measures, width).filter(F.col("week").between(first, last))
+    rolled = trailing_sums(dense, measures, width, entity, season, period).filter(F.col(period).between(first, last))
     if not keep_empty:
         rolled = rolled.dropna(how="all", subset=list(measures))
     return rolled.select(*keys, *measures)

@@ -52,14 +52,15 @@ def add_comparables(
     return sides.join(found, on=key, how="left")
 
 
-def add_comparables_to_games(games: DataFrame, history: DataFrame, spread: float = POINTS_BAND) -> DataFrame:
+def add_comparables_to_games(games: DataFrame, history: DataFrame, spread: float = POINTS_BAND, as_of: str = "all") -> DataFrame:
     """Wide games with ``home_`` and ``away_historical_points``.
 
-    ``history`` holds the sides; the answers per (exp_points, kick_pct) are worked out
+    ``history`` holds the sides; the answers per (exp_points, kick_pct), with ``as_of='past'`` per week as well, are worked out
     once and written, then looked up for either side.
     """
-    found = written(comparable_points(history, spread=spread).drop("comparables"))
+    found = written(comparable_points(history, spread=spread, as_of=as_of).drop("comparables"))
+    shared = [c for c in ("season", "week") if c in found.columns]
     for side in ("home", "away"):
-        mine = found.withColumnsRenamed({c: f"{side}_{c}" for c in found.columns})
-        games = games.join(mine, [f"{side}_exp_points", f"{side}_kick_pct"], "left")
+        mine = found.withColumnsRenamed({c: f"{side}_{c}" for c in found.columns if c not in shared})
+        games = games.join(mine, [*shared, f"{side}_exp_points", f"{side}_kick_pct"], "left")
     return games

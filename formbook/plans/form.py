@@ -228,7 +228,17 @@ def game_sides(games: DataFrame) -> DataFrame:
 
 
 def with_dotted_names(games: DataFrame) -> DataFrame:
-    """The wide data set under its customary dotted names (backticks needed in Spark)."""
+    """The wide data set under its customary dotted names (backticks needed in Spark), with each side's opponent, what the
+    opponent allowed and how often it played."""
+    for side, other in ((HOME, AWAY), (AWAY, HOME)):
+        games = games.withColumns(
+            {
+                f"{side}.oppteam": F.col(f"{other}_team"),
+                f"{side}.oppfga": F.col(f"{other}_allowed_att_any"),
+                f"{side}.OG": F.col(f"{other}_games"),
+                f"{side}.oppfgapg": F.col(f"{side}_opp_any_rate"),
+            }
+        )
     names = {k.format(s=s): v.format(s=s) for s in (HOME, AWAY) for k, v in DOTTED_NAMES.items()}
     return games.withColumnsRenamed({**names, **_ONE_SIDE_NAMES})
 
@@ -238,16 +248,17 @@ def run(
     path: str,
     settings: FormSettings = FormSettings(),
     dotted: bool = False,
-    comparables: bool = False,
+    comparables: bool | str = False,
 ) -> str:
     """Build the wide data set and write it as Parquet, one folder per season.
 
-    ``comparables`` adds what sides with a similar expectation scored.
+    ``comparables`` adds what sides with a similar expectation scored: in any week (``True`` or ``"all"``), or in
+    earlier weeks only (``"past"``), so that nothing leaks from the future.
     """
     games = build_games(tables.with_modern_codes(), settings)
     if comparables:
         games = written(games)
-        games = add_comparables_to_games(games, game_sides(games))
+        games = add_comparables_to_games(games, game_sides(games), as_of="all" if comparables is True else comparables)
     return write_games(with_dotted_names(games) if dotted else games, path)
 
 

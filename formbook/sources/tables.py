@@ -40,6 +40,14 @@ class FormTables:
             normalize_codes(self.plays, ["posteam", "defteam"], "modern", season, rules),
         )
 
+    def with_historical_codes(self, rules: Sequence[CodeRule] = DEFAULT_RULES) -> FormTables:
+        """Every team under the code it had in the row's own season, in all three tables."""
+        return FormTables(
+            normalize_codes(self.weekly, ["team"], "historical", "season", rules),
+            normalize_codes(self.schedule, ["home_team", "away_team"], "historical", "season", rules),
+            normalize_codes(self.plays, ["posteam", "defteam"], "historical", "season", rules),
+        )
+
 
 def in_seasons(df: DataFrame, seasons: Sequence[int] | range) -> DataFrame:
     """Keep a list of seasons, or an inclusive range; prunes ``season=`` folders."""

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook.operators.durable import written
-from formbook.plans.comparables import add_comparables, comparable_points
+from formbook.operators.sides import stack_sides
+from formbook.plans.comparables import add_comparables, add_comparables_to_games, comparable_points
 from formbook.plans.form import FormSettings, build_games, game_sides, run, with_dotted_names
 from formbook.plans.reports import (
     Cut,
@@ -261,3 +262,37 @@ def test_read_tables_checks_types_and_reads_nan_as_missing(spark, tables, tmp_pa
     tables.plays.withColumn("down", F.lit("fourth")).write.mode("overwrite").parquet(paths["plays"])
     with pytest.raises(ValueError, match="down"):
         read_tables(spark, **paths)
+
+
+def test_dotted_export_names_the_opponent_and_what_it_allowed(tables):
+    r = with_dotted_names(build_games(tables, FormSettings())).first()
+    assert (r["home.oppteam"], r["away.oppteam"]) == ("W", "H")
+    assert (r["home.oppfga"], r["away.oppfga"], r["home.OG"], r["away.OG"]) == (18, 6, 6, 6)
+    assert (r["home.oppfgapg"], r["home.projfga"]) == (3.0, (3.0 + r["home.attpg"]) / 2)
+
+
+def test_wide_comparables_of_earlier_weeks_only(spark):
+    """Brute force: for either side of every game, the mean points of all sides of earlier weeks within five per cent."""
+    rng = random.Random(12)
+    games = [(f"g{i}", 2020, 1 + i // 6, *[rng.choice([1.0, 1.02, 2.0, 2.05]) for _ in range(2)], *[rng.choice([0.8, 0.82]) for _ in range(2)], i, i + 100) for i in range(30)]
+    wide = spark.createDataFrame(games, "game_id string, season int, week int, home_exp_points double, away_exp_points double, home_kick_pct double, away_kick_pct double, home_points int, away_points int")
+    history = stack_sides(wide, ["season", "week"], {c: (f"home_{c}", f"away_{c}") for c in ("exp_points", "kick_pct", "points")})
+    rows_ = [(g[2], g[3 + s], g[5 + s], g[7 + s]) for g in games for s in (0, 1)]
+    near = lambda x, y: y * 0.95 <= x <= y * 1.05
+    for r in add_comparables_to_games(wide, history, as_of="past").collect():
+        for side in ("home", "away"):
+            met = [p for w, e, k, p in rows_ if w < r["week"] and near(e, r[f"{side}_exp_points"]) and near(k, r[f"{side}_kick_pct"])]
+            assert r[f"{side}_historical_points"] == (pytest.approx(sum(met) / len(met)) if met else None)
+
+
+def test_a_table_set_under_the_codes_of_its_time(spark):
+    made = lambda team: FormTables(
+        spark.createDataFrame([(s, team) for s in (2010, 2022)], "season int, team string"),
+        spark.createDataFrame([(s, team, "KC") for s in (2010, 2022)], "season int, home_team string, away_team string"),
+        spark.createDataFrame([(s, "KC", team) for s in (2010, 2022)], "season int, posteam string, defteam string"),
+    )
+    back = made("LV").with_historical_codes()
+    assert rows(back.weekly, "season") == [(2010, "OAK"), (2022, "LV")]
+    assert rows(back.schedule, "season") == [(2010, "OAK", "KC"), (2022, "LV", "KC")]
+    assert rows(back.plays, "season") == [(2010, "KC", "OAK"), (2022, "KC", "LV")]
+    assert rows(back.with_modern_codes().weekly, "season") == [(2010, "LV"), (2022, "LV")]

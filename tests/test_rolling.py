@@ -132,3 +132,9 @@ def test_small_relational_tools(spark):
     assert rows(stack_tables([a, b])) == [(1, 2, None), (3, None, 4)]
     assert prefixed(a, "home_", keep=["k"]).columns == ["k", "home_x"]
     assert rows(complete_rows(stack_tables([a, b]), ["x"])) == [(1, 2, None)]
+
+
+def test_trailing_totals_under_other_names(spark):
+    df = spark.createDataFrame([(1, 1, "a", 5), (1, 2, "a", 7), (1, 4, "b", 1)], "year int, month int, shop string, sold long")
+    found = trailing_on_spine(df, ["sold"], 2, 2, 4, entity="shop", season="year", period="month")
+    assert rows(found, "shop", "month") == [(1, 2, "a", 5), (1, 3, "a", 12), (1, 4, "a", 7)]
