@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formbook.operators.durable import fresh_folder, written
+from formbook.operators.durable import fresh_folder, scratch, written
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,16 +44,30 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """What names a row where identifiers may repeat: identifier and text. Null text is empty."""
-    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text).alias("_key")
-
-
-def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``row_key`` is in ``keys``, all columns; one of those that are alike in both."""
-    rows = docs.select(F.struct("*").alias("_doc"), row_key())
-    return rows.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
+def without_rows(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame], limit: int = 1_000_000, **more: Column) -> DataFrame:
+    """``docs`` without the rows whose ``_row`` is in ``dropped(rows)``, all columns.
+
+    ``rows`` is the one copy that is written: ``_row``, the document as ``_doc`` and ``more``. What ``dropped`` writes is deleted when
+    it is done. Only numbers of dropped rows travel; up to ``limit`` of them are sent to all executors."""
+    rows = numbered(docs.select(F.struct("*").alias("_doc"), *[c.alias(name) for name, c in more.items()]))
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(dropped(rows).select("_row"))
+    if gone.count() <= limit:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """What is written inside the block reaches Python in batches of so many rows: whole texts are wide, and a batch is held several
+    times, by the JVM, by Arrow and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written_by(df: DataFrame, column: str) -> DataFrame:

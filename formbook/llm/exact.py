@@ -1,10 +1,11 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
-Every input partition makes a run: its distinct digests in order, each with a row count and the
-best identifier. Runs then meet in rounds. In a round, ``fan_in`` neighbouring runs are dealt
-by digest and merged; a digest found in several keeps the best identifier of all. After
-log(runs) rounds one run is left. A text that fills a third of the corpus is folded
-inside each run first, so that a round carries it once per run at most.
+Every input partition makes a run: its distinct digests, each with a row count and the best identifier. Runs then
+meet in rounds. In a round, ``fan_in`` neighbouring runs are dealt by ranges of digests, so that no task
+has a whole run; a task sorts what it got by digest, which puts the entries of one digest from all runs next to each other, and
+the first of them, that with the best identifier, takes the sum of their counts. After log(runs) rounds one run is
+left, in order within each range. A text that fills a third of the corpus is folded inside each run first, so a
+round carries it once per run, and at most ``fan_in`` neighbours are ever equal.
 
 A merge is verified: entries are one only if SHA-256, the byte length and an unrelated
 64-bit hash all agree, so no text is merged on the word of a single digest.
@@ -12,10 +13,10 @@ A merge is verified: entries are one only if SHA-256, the byte length and an unr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formbook.llm.common import ascii_lower, keep_rows, numbered, row_key
+from formbook.llm.common import ascii_lower, numbered, without_rows
 
 _IDENTITY = ["_sha", "_bytes", "_check"]
 
@@ -29,6 +30,18 @@ def _best(key: str, keep: str) -> Column:
     raise ValueError("keep is 'largest' or 'smallest'")
 
 
+def _merged(runs: DataFrame, keep: str, fan_in: int) -> DataFrame:
+    """One round: ``fan_in`` neighbouring runs become one, range by range, in the order of their digests."""
+    dealt = runs.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int")).withColumn("_range", F.substring("_sha", 1, 4))
+    best = F.desc("_best") if keep == "largest" else F.asc("_best")
+    ordered = dealt.repartition("_run", "_range").sortWithinPartitions("_run", "_range", *_IDENTITY, best)
+    equal = Window.partitionBy("_run", "_range", *_IDENTITY).orderBy(best)
+    neighbours = ordered.select(
+        "_run", *_IDENTITY, "_best", F.row_number().over(equal).alias("_nth"), F.sum("_size").over(equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size")
+    )
+    return neighbours.filter("_nth = 1").drop("_nth")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 8,
     carry: tuple[Column, ...] = (),
@@ -62,11 +75,7 @@ def exact_groups(
     )
     while runs:
         runs //= fan_in
-        merged = (
-            merged.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-            .groupBy("_run", *_IDENTITY)
-            .agg(_best("_best", keep), F.sum("_size").alias("_size"))
-        )
+        merged = _merged(merged, keep, fan_in)
     return rows.join(merged.drop("_run"), _IDENTITY).select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),
@@ -79,4 +88,8 @@ def exact_groups(
 
 def without_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` with one row of every group of equal texts, all columns."""
-    return keep_rows(docs, exact_groups(docs, keep=keep, carry=(row_key(),)).filter("kept").select("_key"))
+    def dropped(rows: DataFrame) -> DataFrame:
+        texts = rows.select("_doc.doc_id", "_doc.text", F.col("_row").alias("_number"))
+        return exact_groups(texts, keep=keep, carry=(F.col("_number"),)).filter("NOT kept").select(F.col("_number").alias("_row"))
+
+    return without_rows(docs, dropped)
