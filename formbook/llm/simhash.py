@@ -12,6 +12,9 @@ nodes differ by in bits both share is a lower bound for every pair below them, a
 beyond the radius goes as a whole. The bits in which a node's members are not all equal are an upper bound:
 a node within the radius is one group at once, without looking at its pairs.
 
+A cell beyond a size is never gathered: its fingerprints are dealt in the same order into blocks of bounded size,
+blocks are the top nodes of its tree, and every pair of blocks that the lower bound leaves is one small join.
+
 A cell returns a forest: at most one link per fingerprint, never all pairs of a
 group. Components of all links are found by joins that hand every fingerprint the smallest
 identifier in reach, with shortcuts, so a chain of n links takes about log n rounds.
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formbook.llm.common import keep_rows, numbered, row_key, utf8
+from formbook.llm.common import join_small, numbered, utf8, without_rows
 from formbook.operators.durable import written
 
 _SEED, _BITS, _LEAF, _FAN = 42, 64, 8, 4
@@ -160,14 +163,18 @@ def _segments(count: int, radius: int) -> int:
     return segments
 
 
-def near_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints of column ``fp`` that connect what the radius connects."""
+def near_links(prints: DataFrame, radius: int, most: int = 100_000) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints of column ``fp`` that connect what the radius connects. A task holds about
+    ``most`` fingerprints of a cell."""
     segments = _segments(prints.count(), radius)
     edges = [round(i * _BITS / segments) for i in range(segments + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(segments), segments - radius)]
     signed = [m - (1 << _BITS) if m >> (_BITS - 1) else m for m in masks]
     cells = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]
     dealt = prints.select("fp", F.inline(F.array(*cells)))
+    sizes = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    large = written(sizes.filter(F.col("n") > most))
+    in_large = large.agg(F.sum("n")).first()[0] or 0
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -177,8 +184,37 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
                 if len(a):
                     yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    grouped = dealt.groupBy("choice", "bits").agg(F.collect_list("fp").alias("fps"), F.count("*").alias("n")).filter("n > 1")
-    return grouped.select("n", "fps").mapInPandas(join, "a long, b long").distinct()
+    small = join_small(dealt, large, ["choice", "bits"], "left_anti") if in_large else dealt
+    grouped = small.groupBy("choice", "bits").agg(F.collect_list("fp").alias("fps"), F.count("*").alias("n")).filter("n > 1")
+    found = grouped.select("n", "fps").mapInPandas(join, "a long, b long")
+    if in_large:
+        blocks = _block_pairs(join_small(dealt, large.drop("n"), ["choice", "bits"]), radius, -(-2 * in_large // most))
+        found = found.union(blocks.mapInPandas(join, "a long, b long"))
+    return found.distinct()
+
+
+def _block_pairs(dealt: DataFrame, radius: int, count: int) -> DataFrame:
+    """``n, fps`` of every pair of blocks of a cell, and of every block, that may have a link in it. ``dealt`` is cut into
+    ``count`` ranges by cell and Gray rank; where a cell begins or ends inside a range, a block does too."""
+    @F.pandas_udf("long")
+    def rank(fps: pd.Series) -> pd.Series:
+        ranks = gray_rank(fps.to_numpy(dtype=np.int64).view(np.uint64))
+        return pd.Series((ranks ^ np.uint64(1 << 63)).view(np.int64))  # in the same order as signed numbers
+
+    cell = ["choice", "bits"]
+    ranked = written(dealt.withColumn("_rank", rank("fp")).repartitionByRange(count, *cell, "_rank").withColumn("_block", F.spark_partition_id()))
+    blocks = written(
+        ranked.groupBy(*cell, "_block").agg(F.collect_list("fp").alias("fps"), F.bit_and("fp").alias("alls"), F.bit_or("fp").alias("anys"))
+    )
+    bounds = blocks.select(*cell, "_block", "alls", "anys")
+    one = bounds.select(*cell, *[F.col(c).alias(f"{c}1") for c in ("_block", "alls", "anys")])
+    two = bounds.select(*cell, *[F.col(c).alias(f"{c}2") for c in ("_block", "alls", "anys")])
+    apart = (F.col("alls1").bitwiseAND(F.bitwise_not("anys2"))).bitwiseOR(F.col("alls2").bitwiseAND(F.bitwise_not("anys1")))
+    pairs = one.join(two, cell).filter((F.col("_block1") <= F.col("_block2")) & (F.bit_count(apart) <= radius)).select(*cell, "_block1", "_block2")
+    for side in "12":
+        pairs = pairs.join(blocks.select(*cell, F.col("_block").alias(f"_block{side}"), F.col("fps").alias(f"fps{side}")), [*cell, f"_block{side}"])
+    both = F.when(F.col("_block1") == F.col("_block2"), F.col("fps1")).otherwise(F.concat("fps1", "fps2"))
+    return pairs.select(both.alias("fps")).select(F.size("fps").cast("long").alias("n"), "fps")
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -238,5 +274,9 @@ def near_duplicates(
 
 def without_near_copies(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of every component, all columns."""
-    found = near_duplicates(docs, width, radius, carry=(row_key(),))
-    return keep_rows(docs, found.filter("kept").select("_key"))
+    def dropped(rows: DataFrame) -> DataFrame:
+        texts = rows.select("_doc.doc_id", "_doc.text", F.col("_row").alias("_number"))
+        found = near_duplicates(texts, width, radius, carry=(F.col("_number"),))
+        return found.filter("NOT kept").select(F.col("_number").alias("_row"))
+
+    return without_rows(docs, dropped)

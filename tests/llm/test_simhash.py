@@ -105,3 +105,18 @@ def test_dense_ball_needs_no_pairs():
     ball = np.unique(np.array([center ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)], dtype=np.uint64))
     a, b = cell_links(ball, 4)
     assert len(a) == len(ball) - 1
+
+
+def test_cells_beyond_a_size_are_joined_block_by_block(spark):
+    """A hot template: most fingerprints are a few bits from one, so they share cells; blocks of ten at most."""
+    rng = random.Random(2)
+    template = rng.getrandbits(64)
+    prints = {template ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(60)}
+    prints = sorted(prints)
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    df = spark.createDataFrame([(v,) for v in signed.values()], "fp long").repartition(4)
+    place = {v: i for i, v in enumerate(signed.values())}
+    want = grouped(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
+    for most in (10, 100_000):
+        links = [(place[r.a], place[r.b]) for r in near_links(df, 4, most).collect()]
+        assert grouped(len(prints), links) == want
