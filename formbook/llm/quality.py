@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formbook.llm.common import join_small, numbered, utf8
+from formbook.llm.common import join_small, numbered, small_batches, utf8
 
 _NAMES = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_letters".split()
 COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in _NAMES])
@@ -182,7 +182,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", **optio
     n_repeat_words, base_failed, kept``.
 
     A null text counts as empty and fails the hard rules, as every text under 50 words does. Null
-    strata form one stratum. Rows that repeat an identifier are judged one by one; a null
+    strata form one stratum. Rows that repeat an identifier are judged one by one, and a labelled one counts in the holdout
+    as often (the bounds take trials to be independent: repeat no identifier where they must hold); a null
     identifier has no label. Without labels nothing but the hard rules applies.
     """
     counted = numbered(
@@ -195,13 +196,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", **optio
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", **options: float) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns. Texts are counted a second time
-    rather than shuffled to meet their verdicts."""
-    counted = numbered(
-        docs.select("doc_id", _stratum(stratum_col).alias("_stratum"), text_counts(utf8()).alias("_counts"))
-    )
-    cuts = _cut(learn_cutoffs(counted, labels, **options))
-    rows = docs.select(
-        F.struct("*").alias("_doc"), _stratum(stratum_col).alias("_stratum"), text_counts(utf8()).alias("_counts")
-    )
+    """The rows of ``docs`` that ``judge`` keeps, all columns. Texts are counted once: the counts are written beside the
+    documents, and verdicts are an expression over them."""
+    with small_batches(docs.sparkSession):
+        rows = numbered(
+            docs.select(F.struct("*").alias("_doc"), _stratum(stratum_col).alias("_stratum"), text_counts(utf8()).alias("_counts"))
+        )
+    cuts = _cut(learn_cutoffs(rows.select(F.col("_doc.doc_id").alias("doc_id"), "_stratum", "_counts"), labels, **options))
     return join_small(rows, cuts, ["_stratum"], "left").filter(_passes()).select("_doc.*")

@@ -58,3 +58,40 @@ def test_pipeline_stage_drops_every_similar_text(spark):
     roots = brute_roots([t for _, t in rows])
     out = corpus_pipeline.near_dedup(spark, docs, FOLDER)
     assert {r.doc_id for r in out.collect()} == {rows[i][0] for i in roots}
+
+
+def test_sketches_find_more_than_nine_tenths(spark):
+    """Pairs just above 0.8, far from each other in fingerprint: what share is linked, against brute force."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows, n = [], 400
+    for i in range(n):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        other = list(base)
+        while True:  # one word less at a time, until the next would go below
+            trial = list(other)
+            trial[rng.randrange(len(trial))] = rng.choice(words)
+            x, y = brute_set(" ".join(base)), brute_set(" ".join(trial))
+            if 10 * len(x & y) < 8 * len(x | y):
+                break
+            other = trial
+        rows += [(2 * i, " ".join(base), "en", "a"), (2 * i + 1, " ".join(other), "en", "a")]
+    found = {r.doc_id: r.component_id for r in similar(frame(spark, rows).repartition(4)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(n)) >= 0.99 * n
+    assert all(found[2 * i] == 2 * i for i in range(n))
+
+
+def test_a_hot_group_and_texts_that_share_most_words(spark):
+    """A third are variants of one text; another third share a long passage, too little to be similar."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda k: [rng.choice(words) for _ in range(k)]
+    template, passage = prose(200), prose(100)
+    rows = []
+    for _ in range(60):
+        text = list(template)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(200)] = rng.choice(words)
+        rows += [" ".join(text), " ".join(passage + prose(60)), " ".join(prose(rng.randint(50, 200)))]
+    rows = [(i, t, "en", "a") for i, t in enumerate(rows)]
+    check(frame(spark, rows).repartition(5), rows)

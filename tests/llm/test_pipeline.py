@@ -7,9 +7,9 @@ from formbook.llm.packing import Encoder
 
 from .conftest import WORD, frame, lower
 from .test_exact_and_mixing import fill
+from .test_jaccard import brute_roots
 from .test_packing import best_fit
 from .test_quality import brute as brute_counts
-from .test_simhash import brute_print, grouped
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -55,11 +55,11 @@ def test_exact_stage(stages):
 
 
 def test_near_stage(stages):
+    """Brute force over all pairs: five-word shingle sets with a Jaccard similarity of 0.8 or more; the smallest identifier stays."""
     _, docs, out = stages[2]
     rows = documents(docs)
     ids = sorted(rows)
-    prints = [brute_print(rows[i].text) for i in ids]
-    roots = grouped(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
+    roots = brute_roots([rows[i].text for i in ids])
     assert set(documents(out)) == {ids[r] for r in roots}
 
 
