@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.operators.relational import group_sums, stack_tables
+from formbook.operators.relational import group_sums
 from formbook.operators.sides import schedule_sides
 
 
@@ -44,6 +44,12 @@ def period_spine(
     )
 
 
+def _row_struct(period: str, asked: str, values: Mapping[str, str]) -> str:
+    """SQL of one row for the trailing window: its period, whether it is asked for, and its measures."""
+    fields = {"_period": period, "_asked": asked, **values}
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
 def trailing_on_spine(
     facts: DataFrame,
     measures: Sequence[str],
@@ -57,17 +63,26 @@ def trailing_on_spine(
 ) -> DataFrame:
     """Trailing totals for each target period of each entity, byes included.
 
-    The spine is stacked under the facts rather than joined to them: one
-    aggregation shuffle serves both.
+    Facts are summed to one row per period first and dealt by (season, entity); there the first row of an entity
+    brings the entity's target periods along. Targets are never shuffled or aggregated: made from the few (season, entity)
+    pairs before a shuffle, all of them would come from one task. An entity or a season that is NULL has no
+    targets but the periods it has facts in.
     """
-    spine = period_spine(facts, first, last, entity, season, period)
     keys = [season, period, entity]
-    dense = (
-        stack_tables([facts.filter(F.col(period) <= last), spine])
-        .groupBy(*keys)
-        .agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
-    )
-    rolled = trailing_sums(dense, measures, width, entity, season, period).filter(F.col(period).between(first, last))
+    if not keep_empty:  # what has facts in later periods only has nothing in any window
+        facts = facts.filter(F.col(period) <= last)
+    dense = facts.groupBy(*keys).agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
+    types = {f.name: f.dataType.simpleString() for f in dense.schema}
+    known = f"{season} IS NOT NULL AND {entity} IS NOT NULL"
+    within = f"coalesce({period} BETWEEN {int(first)} AND {int(last)}, false)"
+    own = _row_struct(period, f"NOT ({known}) AND {within}", {m: m for m in measures})
+    target = _row_struct(f"CAST(_p AS {types[period]})", "true", {m: f"CAST(NULL AS {types[m]})" for m in measures})
+    targets = f"transform(sequence({int(first)}, {int(last)}), _p -> {target})"
+    rows = dense.selectExpr(
+        "*", f"{known} AND row_number() OVER (PARTITION BY {season}, {entity} ORDER BY {period}) = 1 AS _leads"
+    ).selectExpr(season, entity, f"inline(IF(_leads, concat(array({own}), {targets}), array({own})))")
+    rows = rows.withColumnRenamed("_period", period)
+    rolled = trailing_sums(rows, measures, width, entity, season, period).filter("_asked")
     if not keep_empty:
         rolled = rolled.dropna(how="all", subset=list(measures))
     return rolled.select(*keys, *measures)

@@ -138,3 +138,21 @@ def test_trailing_totals_under_other_names(spark):
     df = spark.createDataFrame([(1, 1, "a", 5), (1, 2, "a", 7), (1, 4, "b", 1)], "year int, month int, shop string, sold long")
     found = trailing_on_spine(df, ["sold"], 2, 2, 4, entity="shop", season="year", period="month")
     assert rows(found, "shop", "month") == [(1, 2, "a", 5), (1, 3, "a", 12), (1, 4, "a", 7)]
+
+
+def test_targets_come_after_the_aggregation(spark):
+    """Targets made before an aggregation come from the few tasks that hold the distinct pairs, and stay in their memory."""
+    facts = spark.range(100).selectExpr("1 AS season", "CAST(id % 10 AS INT) AS week", "id % 7 AS team", "id AS x")
+    plan = trailing_on_spine(facts, ["x"], 6, 7, 53)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_trailing_totals_of_unknown_and_late_entities(spark):
+    """NULL names have rows for the periods of their facts only; who appears after the last target is kept where empty rows are."""
+    found = [(1, 2, "A", 1), (1, 2, "A", 4), (1, 9, "B", 2), (1, None, "C", 3), (1, 2, None, 5), (1, 3, None, 6), (None, 3, "A", 7), (None, 4, "A", 8)]
+    facts = spark.createDataFrame(found, "season int, week int, team string, x long")
+    named = [(1, 3, "A", 5), (1, 4, "A", 5)]
+    unnamed = [(1, 3, None, 5), (None, 4, "A", 7)]
+    assert set(rows(trailing_on_spine(facts, ["x"], 2, 3, 4))) == {*named, *unnamed}
+    empty = [(1, w, t, None) for w in (3, 4) for t in "BC"] + [(None, 3, "A", None)]
+    assert set(rows(trailing_on_spine(facts, ["x"], 2, 3, 4, keep_empty=True))) == {*named, *unnamed, *empty}
