@@ -114,34 +114,6 @@ def plays(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame
     )
 
 
-def attempts_by_game(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
-    """Attempts as a play table with one row per game, side, down and result; ``field_goal_attempt`` counts them.
-
-    Lines are counted before they meet their game, so a large order costs a few rows per task.
-    """
-    counts = (
-        source.lines.filter(_ATTEMPT)
-        .selectExpr(
-            "l_orderkey AS game_id",
-            f"{_HOME_LINE} AS at_home",
-            "CASE WHEN l_linenumber <= 5 THEN 4 ELSE 3 END AS down",
-            f"CASE WHEN {_MADE} THEN 'made' ELSE 'missed' END AS field_goal_result",
-        )
-        .groupBy("game_id", "at_home", "down", "field_goal_result")
-        .agg(F.count(F.lit(1)).alias("field_goal_attempt"))
-    )
-    return counts.join(schedule(source, seasons), "game_id").selectExpr(
-        "game_id",
-        "season",
-        "week",
-        "IF(at_home, home_team, away_team) AS posteam",
-        "IF(at_home, away_team, home_team) AS defteam",
-        "down",
-        "field_goal_attempt",
-        "field_goal_result",
-    )
-
-
 # What a line is: a made kick by distance bucket, a missed one, a good or a failed extra point.
 _KINDS = (*BUCKET_POINTS, "fg_missed", "pat_made", "pat_missed")
 
@@ -224,6 +196,14 @@ def _attempts_of(games: DataFrame) -> DataFrame:
     return games.selectExpr("game_id", "season", "week", f"inline(array({', '.join(rows)}))").filter("field_goal_attempt > 0")
 
 
+def attempts_by_game(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
+    """Attempts as a play table with one row per game, side, down and result; ``field_goal_attempt`` counts them.
+
+    Lines are counted and their game's ends found in one aggregation, so a large order costs a row per task.
+    """
+    return _attempts_of(_folded(source, seasons))
+
+
 def all_weekly(source: OrderFolder, seasons: Sequence[int] | range = ()) -> DataFrame:
     """One row per player appearance, every position; one aggregation over the lines."""
     return _weekly_of(_folded(source, seasons))
