@@ -77,7 +77,7 @@ def _pair(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(f"{a}._row", f"{b}._row").alias("a"), F.greatest(f"{a}._row", f"{b}._row").alias("b")]
 
 
-def _linked(rows: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
+def _linked(texts: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar. Only texts of candidates travel."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}  # sets of the last few texts: a text meets many others in a row
@@ -100,7 +100,7 @@ def _linked(rows: DataFrame, pairs: DataFrame, width: int, least: Fraction) -> D
 
     pairs = written(pairs.distinct())
     asked = pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b").alias("_row"))).distinct()
-    known = written(join_small(rows.select("_row", "_raw"), asked, ["_row"], limit=_FEW))
+    known = written(join_small(texts.select("_row", "_raw"), asked, ["_row"], limit=_FEW))
     one, two = (known.select(F.col("_row").alias(k), F.col("_raw").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return written(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"))
 
@@ -143,13 +143,13 @@ def _between(met: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
     return rest.join(every, "key").filter((F.col("a_label") != F.col("b_label")) & once & _may_be_similar("a", "b", least)).select(_pair())
 
 
-def _classes(rows: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """``_row, component_id, kept`` of the rows that have a link; ``rows`` has ``_row, doc_id, _raw, n, fp, bands``."""
+def _classes(rows: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """``_row, component_id, kept`` of the rows that have a link; ``rows`` has ``_row, doc_id, n, fp, bands``, ``texts`` ``_row, _raw``."""
     names = rows.select(F.col("_row").alias("fp"), F.col("_row").alias("name"))
     with scratch(rows.sparkSession) as keep:
         met = _met(rows)
-        links = _linked(rows, _by_fingerprint(rows, least).union(_with_two(met, least)), width, least)
-        more = _linked(rows, _between(met, components(links, names), least), width, least)
+        links = _linked(texts, _by_fingerprint(rows, least).union(_with_two(met, least)), width, least)
+        more = _linked(texts, _between(met, components(links, names), least), width, least)
         found = components(links.union(more), names).withColumnRenamed("fp", "_row")
         named = written(join_small(rows.select("_row", "doc_id"), found, ["_row"], limit=_FEW))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("of_all")
@@ -166,7 +166,7 @@ def similar(docs: DataFrame, width: int = 5, least: str = "0.8", id_col: str = "
     """
     with small_batches(docs.sparkSession):
         rows = numbered(docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("_raw"), _measured(width, utf8(text_col)).alias("_m"))).select("_row", "doc_id", "_raw", "_m.*")
-        found = _classes(rows, width, Fraction(least)).withColumn("_linked", F.lit(True))
+        found = _classes(rows, rows, width, Fraction(least)).withColumn("_linked", F.lit(True))
     return rows.select("_row", "doc_id").join(found, "_row", "left").select(
         "doc_id", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept")
     )
@@ -175,8 +175,9 @@ def similar(docs: DataFrame, width: int = 5, least: str = "0.8", id_col: str = "
 def without_similar(docs: DataFrame, width: int = 5, least: str = "0.8") -> DataFrame:
     """``docs`` with one row of every component, all columns."""
     def dropped(rows: DataFrame) -> DataFrame:
-        texts = rows.select("_row", F.col("_doc.doc_id").alias("doc_id"), utf8("_doc.text").alias("_raw"), "_m.*")
-        return _classes(texts, width, Fraction(least)).filter("NOT kept")
+        texts = rows.select("_row", utf8("_doc.text").alias("_raw"))
+        sketches = written(rows.select("_row", "_doc.doc_id", _measured(width, utf8("_doc.text")).alias("_m"))).select("_row", "doc_id", "_m.*")
+        return _classes(sketches, texts, width, Fraction(least)).filter("NOT kept")
 
     with small_batches(docs.sparkSession):
-        return without_rows(docs, dropped, _m=_measured(width, utf8()))
+        return without_rows(docs, dropped)

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from formbook.llm.packing import Encoder
+from formbook.operators import durable
 
 from .conftest import WORD, frame, lower
 from .test_exact_and_mixing import fill
@@ -104,3 +105,17 @@ def test_near_stage_keeps_one_of_each_component(spark):
     docs = frame(spark, [(3, "a b c d e f", "en", "a"), (2, "a b c d e f", "en", "b"), (2, "a B c d e f", "en", "b"), (9, "other words here now", "en", "a")])
     out = corpus_pipeline.near_dedup(spark, docs, FOLDER)
     assert sorted(r.doc_id for r in out.collect()) == [2, 9]
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[:3]], ids=["quality", "exact", "near"])
+def test_stages_over_a_table_leave_no_copy_of_it(spark, monkeypatch, tmp_path, stage):
+    """A table that is read again holds its texts already; only numbers of rows stay behind. The rows are those that a copy gives."""
+    path = f"{tmp_path}/documents.parquet"
+    spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3).write.parquet(path)
+    docs, folder = spark.read.parquet(path), tmp_path / "shared"
+    monkeypatch.setattr(durable, "shared_folder", lambda spark: str(folder))
+    found = sorted(stage(spark, docs, FOLDER).collect(), key=str)
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    assert size(folder) < size(tmp_path / "documents.parquet") / 4
+    assert len(found) < docs.count()
+    assert found == sorted(stage(spark, docs.filter("true OR rand() < 2"), FOLDER).collect(), key=str)
