@@ -9,12 +9,18 @@ whose sizes cannot be similar, or whose fingerprints differ in more than 20 bits
 
 Only components are wanted. So the texts of a band are first paired with two of them, and only then, between
 components, with each other: a group of variants never meets pair by pair, and no group is ever collected.
+
+Texts of one template that are less than similar stay in components of their own, and a band may have many. What is left of them is
+held against a bound that no link fails: a text's parities say for 512 parts of the hashes whether its set has an odd number there, and
+the parities of two sets differ in no more places than the sets have shingles that the other lacks. So of such texts the pairs near
+the wanted similarity alone are brought together; the others cost a comparison of eight numbers inside the band.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +34,7 @@ from formbook.llm.simhash import components, near_links
 from formbook.operators.durable import scratch, written
 
 _SEED, _BANDS, _MINIMA, _APART, _CLOSE = 42, 24, 6, 20, 3
+_PARITIES = 512
 _FEW = 1_000_000  # rows of two numbers that are sent to all executors
 _ODD = np.random.default_rng(_SEED).integers(0, 1 << 63, _BANDS * _MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -54,14 +61,20 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return int(fp.view(np.int64)), np.array(bands, dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each part of the hashes, by their upper bits, whether the set has an odd number there, as signed 64-bit numbers."""
+    part = hashes >> np.uint64(64 - (_PARITIES - 1).bit_length())
+    return np.packbits(np.bincount(part.astype(np.int64), minlength=_PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
 def _measured(width: int, raw: Column) -> Column:
-    @F.pandas_udf("n int, fp long, bands array<long>")
+    @F.pandas_udf("n int, fp long, bands array<long>, odd array<long>")
     def measure(raws: pd.Series) -> pd.DataFrame:
         found = []
         for raw in raws:
             own = shingles(raw, width)
-            found.append((len(own), *sketch(own)))
-        return pd.DataFrame(found, columns=["n", "fp", "bands"])
+            found.append((len(own), *sketch(own), parities(own)))
+        return pd.DataFrame(found, columns=["n", "fp", "bands", "odd"])
 
     return measure(raw)
 
@@ -73,6 +86,14 @@ def _may_be_similar(a: str, b: str, least: Fraction) -> Column:
     return (F.col(f"{a}._row") != F.col(f"{b}._row")) & sizes & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= _APART)
 
 
+def _differ_little(a: str, b: str, least: Fraction) -> Column:
+    """Parities of the texts ``a`` and ``b`` allow a similarity of ``least``: with x and y shingles, d of them in one set only, it is
+    (x + y - d) / (x + y + d)."""
+    places = [F.bit_count(F.col(f"{a}_odd")[i].bitwiseXOR(F.col(f"{b}_odd")[i])) for i in range(_PARITIES // 64)]
+    d, both = reduce(lambda x, y: x + y, places).cast("long"), F.col(f"{a}.n").cast("long") + F.col(f"{b}.n")
+    return d * (least.denominator + least.numerator) <= both * (least.denominator - least.numerator)
+
+
 def _pair(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(f"{a}._row", f"{b}._row").alias("a"), F.greatest(f"{a}._row", f"{b}._row").alias("b")]
 
@@ -130,26 +151,29 @@ def _with_two(met: DataFrame, least: Fraction) -> DataFrame:
     return both.filter(_may_be_similar("a", "b", least)).select(_pair())
 
 
-def _between(met: DataFrame, found: DataFrame, least: Fraction) -> DataFrame:
+def _between(met: DataFrame, found: DataFrame, rows: DataFrame, least: Fraction) -> DataFrame:
     """Candidates: texts of a band that are in different components. One side is never of the band's largest component."""
     label = F.coalesce("component", "text._row")
     met = written(met.join(found.withColumnRenamed("fp", "_row"), met["text._row"] == F.col("_row"), "left").select("key", "text", label.alias("label")))
     sizes = met.groupBy("key", "label").agg(F.count("*").alias("n"))
     apart = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", "main")
-    met = written(join_small(met, apart, ["key"], limit=_FEW))
-    rest = met.filter("label <> main").select("key", F.col("text").alias("a"), F.col("label").alias("a_label"))
-    every = met.select("key", F.col("text").alias("b"), F.col("label").alias("b_label"), "main")
+    met = written(join_small(met, apart, ["key"], limit=_FEW).withColumn("_row", F.col("text._row")))
+    odd = join_small(rows.select("_row", "odd"), met.select("_row").distinct(), ["_row"], limit=_FEW)
+    met = written(met.join(odd, "_row"))
+    rest = met.filter("label <> main").select("key", F.col("text").alias("a"), F.col("label").alias("a_label"), F.col("odd").alias("a_odd"))
+    every = met.select("key", F.col("text").alias("b"), F.col("label").alias("b_label"), F.col("odd").alias("b_odd"), "main")
     once = (F.col("b_label") == F.col("main")) | (F.col("a._row") < F.col("b._row"))
-    return rest.join(every, "key").filter((F.col("a_label") != F.col("b_label")) & once & _may_be_similar("a", "b", least)).select(_pair())
+    apart = F.col("a_label") != F.col("b_label")
+    return rest.join(every, "key").filter(apart & once & _may_be_similar("a", "b", least) & _differ_little("a", "b", least)).select(_pair())
 
 
 def _classes(rows: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
-    """``_row, component_id, kept`` of the rows that have a link; ``rows`` has ``_row, doc_id, n, fp, bands``, ``texts`` ``_row, _raw``."""
+    """``_row, component_id, kept`` of the rows that have a link; ``rows`` has ``_row, doc_id, n, fp, bands, odd``, ``texts`` ``_row, _raw``."""
     names = rows.select(F.col("_row").alias("fp"), F.col("_row").alias("name"))
     with scratch(rows.sparkSession) as keep:
         met = _met(rows)
         links = _linked(texts, _by_fingerprint(rows, least).union(_with_two(met, least)), width, least)
-        more = _linked(texts, _between(met, components(links, names), least), width, least)
+        more = _linked(texts, _between(met, components(links, names), rows, least), width, least)
         found = components(links.union(more), names).withColumnRenamed("fp", "_row")
         named = written(join_small(rows.select("_row", "doc_id"), found, ["_row"], limit=_FEW))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("of_all")

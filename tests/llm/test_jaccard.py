@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from formbook.llm.jaccard import similar, without_similar
+import numpy as np
+from formbook.llm import jaccard
+from formbook.llm.jaccard import parities, shingles, similar, without_similar
 
 from .conftest import WORD, frame, lower
 from .test_simhash import grouped
@@ -95,3 +97,41 @@ def test_a_hot_group_and_texts_that_share_most_words(spark):
         rows += [" ".join(text), " ".join(passage + prose(60)), " ".join(prose(rng.randint(50, 200)))]
     rows = [(i, t, "en", "a") for i, t in enumerate(rows)]
     check(frame(spark, rows).repartition(5), rows)
+
+
+def template_texts(count):
+    """Texts of one template with a tenth of the words changed, most pairs somewhat below 0.8, and a near copy of every tenth."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(3000)]
+    template, rows = [rng.choice(words) for _ in range(160)], []
+    for i in range(count):
+        text = list(template)
+        for at in rng.sample(range(160), 8):
+            text[at] = rng.choice(words)
+        rows.append(" ".join(text))
+        if i % 10 == 0:
+            text[rng.randrange(160)] = rng.choice(words)
+            rows.append(" ".join(text))
+    return [(i, t, "en", "a") for i, t in enumerate(rows)]
+
+
+def test_texts_of_a_template_that_are_less_than_similar_are_not_paired(spark, monkeypatch):
+    rows, compared, linked = template_texts(250), [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda texts, pairs, *rest: compared.append(pairs.distinct().count()) or linked(texts, pairs, *rest))
+    check(frame(spark, rows).repartition(4), rows)
+    assert compared[1] < 2 * len(rows)
+
+
+def test_no_similar_pair_fails_the_parities():
+    sets = [shingles(t.encode(), 5) for _, t, *_ in variants() + template_texts(60)]
+    odd = [parities(s).view(np.uint64) for s in sets]
+    near = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            only_one = len(np.setxor1d(x, y, assume_unique=True))
+            places = int(np.bitwise_count(odd[i] ^ odd[j]).sum())
+            assert places <= only_one
+            if 10 * (len(x) + len(y) - only_one) >= 8 * (len(x) + len(y) + only_one):
+                near += 1
+                assert 9 * places <= len(x) + len(y)
+    assert near > 100
