@@ -9,12 +9,16 @@ only a handful of ranges, and within a range the last dimension is
 answered by the difference of two running totals. The work is
 n log n whatever the distribution, and a value shared by a third of
 the rows is folded to one row before anything is shuffled by value.
+
+With three dimensions and more, where the ranks of all but the last make a grid of bounded size, one sweep along the last
+answers instead (``sweeps.py``), with the same result: every point and end then travels once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from formbook.operators.cumulative import running_totals
 from formbook.operators.durable import written
 from formbook.operators.sides import stack_rows
+from formbook.operators.sweeps import MOST_CELLS, swept_totals
 
 HIGHEST = 1.7e308
 
@@ -135,19 +140,28 @@ def _value_ranges(ranks: DataFrame, spans: DataFrame) -> DataFrame:
     return holding.join(spans.select("_range").distinct(), "_range", "left_semi")
 
 
+def _ranked_boxes(boxes: DataFrame, place: int, ranks: DataFrame, low: str, high: str) -> DataFrame:
+    """Boxes with the interval of ranks of one dimension, those that reach none left out."""
+    start = ranks.filter("NOT _closed").selectExpr(f"_at AS {low}", f"_rank AS _from{place}")
+    stop = ranks.filter("_closed").selectExpr(f"_at AS {high}", f"_rank AS _to{place}")
+    return boxes.join(start, low).join(stop, high).filter(f"_from{place} < _to{place}").drop(low, high)
+
+
 def band_totals(
     history: DataFrame,
     probes: DataFrame,
     key: Sequence[str],
     bands: Sequence[Band],
     measures: Sequence[str],
+    most_cells: int = MOST_CELLS,
 ) -> DataFrame:
     """One row per probe key with at least one history row in its box.
 
     Adds the count ``n`` and the total of every measure. ``key`` must determine
     the bands. Measures are integers, so totals and their differences are exact.
     A NULL in a band column or a band end matches nothing. Both inputs
-    are read more than once: pass written tables or cheap plans.
+    are read more than once: pass written tables or cheap plans. With three bands or more, up to ``most_cells``
+    combinations of ranks are swept as a grid.
     """
     measures = list(measures)
     columns = [b.column for b in bands]
@@ -168,21 +182,36 @@ def band_totals(
         F.expr("count(1) AS n"), *[F.expr(f"coalesce(sum({m}), 0L) AS {m}") for m in measures]
     )
     wanted = boxes.distinct()
+    asked, ranks = [], []
+    for band in bands[:-1]:
+        low, high = ends[band.column]
+        asked.append(boxes.selectExpr(f"{low} AS _lo", f"{high} AS _hi").distinct())
+        ranks.append(_ranks(complete.selectExpr(f"{band.column} AS _at").distinct(), asked[-1]))
+    last = bands[-1].column
+    low, high = ends[last]
+
+    if len(ranks) > 1:
+        sizes = [r.agg(F.max("_size")).first()[0] or 0 for r in ranks]
+        if 0 < prod(sizes) <= most_cells:
+            for place, (band, rank) in enumerate(zip(bands, ranks)):
+                cell = rank.filter("NOT _closed").selectExpr(f"_at AS {band.column}", f"_rank AS _from{place}")
+                entered = entered.join(cell, band.column).drop(band.column)
+                wanted = _ranked_boxes(wanted, place, rank, *ends[band.column])
+            entered, wanted = entered.withColumnRenamed(last, "_at"), wanted.withColumnsRenamed({low: "_lo", high: "_hi"})
+            found = swept_totals(entered, wanted, sizes, keys, totals)
+            return found.filter("n > 0").withColumnsRenamed(dict(zip(keys, key)))
+
     group: list[str] = []
     for index, band in enumerate(bands[:-1]):
-        low, high = ends[band.column]
-        asked = boxes.selectExpr(f"{low} AS _lo", f"{high} AS _hi").distinct()
-        ranks = _ranks(complete.selectExpr(f"{band.column} AS _at").distinct(), asked)
-        spans = _span_ranges(asked, ranks)
+        spans = _span_ranges(asked[index], ranks[index])
         place = f"_range{index}"
-        holding = _value_ranges(ranks, spans).withColumnsRenamed({"_at": band.column, "_range": place})
+        holding = _value_ranges(ranks[index], spans).withColumnsRenamed({"_at": band.column, "_range": place})
         entered = entered.join(holding, band.column).drop(band.column)
-        wanted = wanted.join(spans.withColumnsRenamed({"_lo": low, "_hi": high, "_range": place}), [low, high])
-        wanted = wanted.drop(low, high)
+        wanted = wanted.join(
+            spans.withColumnsRenamed(dict(zip(("_lo", "_hi"), ends[band.column])) | {"_range": place}), [*ends[band.column]]
+        ).drop(*ends[band.column])
         group.append(place)
 
-    last = bands[-1].column
-    low, high = ends[last]
     entered = entered.groupBy(*group, F.col(last).alias("_at")).agg(*[F.expr(f"sum({t}) AS {t}") for t in totals])
     found = _lookup(entered, _both_ends(wanted, low, high, [*keys, *group]), group, totals)
     return (

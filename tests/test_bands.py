@@ -183,3 +183,43 @@ def test_a_board_report_reads_its_history_once(spark):
     board = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "px double, py double")
     plan = board_totals(df, board, ["px", "py"], [around("x", "px", 0.1), around("y", "py", 0.1)], ["m"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0, 100") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("most_cells", [1_000_000, 0])
+@pytest.mark.parametrize("shape", ["spread", "grid", "one"])
+def test_three_dimensions_by_a_sweep_equal_brute_force(spark, shape, most_cells):
+    """Many steps and blocks; ends that touch values, equal ends, empty boxes, missing values, a total that is not one of doubles."""
+    rng = random.Random(len(shape))
+    value = {"spread": lambda: rng.uniform(0, 3), "grid": lambda: rng.randint(0, 8) / 4, "one": lambda: 1.0}[shape]
+    odd = [(None, 1.0, 1.0, 2), (1.0, 1.0, None, 2), (1.0, 1.0, 1.0, 2**60 + 1), (0.0, 0.0, 0.0, None)]
+    history = [(float(rng.randint(1, 30)), rng.randint(0, 8) / 8, value(), rng.randint(-3, 9)) for _ in range(2500)] + odd
+    probes = list({(float(rng.randint(0, 32)), rng.randint(0, 8) / 8, value()) for _ in range(400)})
+    probes += [(None, 1.0, 1.0), (2.0, 1.0, 99.0), (0.0, 1.0, 1.0), (40.0, 1.0, 1.0), (3.0, -1.0, 1.0)]
+    bands = [Band("t", f"-{HIGHEST}D", "pt - 1"), around("a", "pa", 0.2), around("b", "pb", 0.1)]
+    h = spark.createDataFrame(history, "t double, a double, b double, m bigint").repartition(3)
+    p = spark.createDataFrame(probes, "pt double, pa double, pb double")
+    want = brute(
+        history,
+        [q for q in probes if None not in q],
+        lambda q: [(-HIGHEST, q[0] - 1), (q[1] * 0.8, q[1] * 1.2), (q[2] * 0.9, q[2] * 1.1)],
+    )
+    assert found(band_totals(h, p, ["pt", "pa", "pb"], bands, ["m"], most_cells), ["pt", "pa", "pb"]) == want
+
+
+def test_a_sweep_moves_each_point_and_end_once(spark, monkeypatch):
+    """Rows dealt along the last dimension: one per point and two per box, not one per range of ranks."""
+    from formbook.operators import cumulative, sweeps
+
+    sent = []
+
+    def counted(df, *args, **more):
+        dealt = in_blocks(df, *args, **more)
+        sent.append(dealt.count())
+        return dealt
+
+    monkeypatch.setattr(cumulative, "in_blocks", counted)
+    monkeypatch.setattr(sweeps, "in_blocks", counted)
+    h = spark.range(4000).selectExpr("id % 40 AS t", "id % 37 / 37D AS a", "id / 7D AS b", "id AS m")
+    bands = [Band("t", f"-{HIGHEST}D", "t - 1"), around("a", "a", 0.2), around("b", "b", 0.1)]
+    assert band_totals(h, h, ["t", "a", "b"], bands, ["m"]).count() > 3000
+    assert max(sent) <= 3 * 4000
