@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formbook.functions.expr import linear_score
+from formbook.operators.sides import stack_rows
 
 
 @dataclass(frozen=True)
@@ -163,10 +164,30 @@ def prediction_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"))
 
 
+#: Correlations in one aggregation. The code Spark makes for many more outgrows what the JVM compiles and is then
+#: interpreted: on 8 million rows 14 took 2.6 s and 28 took 22 s.
+PAIRS_TOGETHER = 7
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns as (row, col, r); one pass over the data."""
+    """Pearson correlation of every pair of columns as (row, col, r); one pass over the data.
+
+    A row enters once for every ``PAIRS_TOGETHER`` pairs, as a group of its own.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    parts = [pairs[i : i + PAIRS_TOGETHER] for i in range(0, len(pairs), PAIRS_TOGETHER)]
+    values = {"_part": [str(p) for p in range(len(parts))]}
+    for i in range(min(PAIRS_TOGETHER, len(pairs))):
+        for place in (0, 1):
+            values[f"_{'xy'[place]}{i}"] = [
+                f"CAST(`{part[i][place]}` AS DOUBLE)" if i < len(part) else "CAST(NULL AS DOUBLE)" for part in parts
+            ]
+    stacked = stack_rows(df, [], values) if pairs else df.selectExpr("0 AS _part")
+    found = stacked.groupBy("_part").agg(*[F.corr(f"_x{i}", f"_y{i}").alias(f"r{i}") for i in range(len(values) // 2)] or [F.count("*")])
+    one = found.agg(
+        F.count("*").alias("parts"),
+        *[F.max(F.when(F.col("_part") == p, F.col(f"r{i}"))).alias(f"{a}|{b}") for p, part in enumerate(parts) for i, (a, b) in enumerate(part)],
+    )
 
     def cell(a: str, b: str) -> Column:
         if a == b:

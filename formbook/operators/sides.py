@@ -15,15 +15,17 @@ def stack_rows(df: DataFrame, keep: Sequence[str], values: Mapping[str, Sequence
     """Several rows out of each input row, in one pass over it.
 
     ``values`` maps an output column to its source in each of the rows: names or SQL
-    expressions. All structs are built from the same input row, so the input is read
-    and computed once, which a union of projections would not do.
+    expressions. The input is read and computed once, which a union of projections would not do. Each column is
+    an expression of its own, so Spark drops those that nobody reads, and all that was computed for them alone.
     """
     height = max(len(sources) for sources in values.values())
-    rows = [
-        "named_struct(" + ", ".join(f"'{name}', {sources[i]}" for name, sources in values.items()) + ")"
-        for i in range(height)
-    ]
-    return df.selectExpr(*keep, f"inline(array({', '.join(rows)}))")
+
+    def source(sources: Sequence[str]) -> str:
+        cases = "".join(f" WHEN _nth = {i} THEN {sources[i]}" for i in range(height - 1))
+        return f"CASE{cases} ELSE {sources[height - 1]} END" if cases else sources[0]
+
+    rows = df.withColumn("_nth", F.explode(F.array(*[F.lit(i) for i in range(height)])))
+    return rows.selectExpr(*keep, *[f"{source(sources)} AS {name}" for name, sources in values.items()])
 
 
 def stack_sides(games: DataFrame, keep: Sequence[str], values: Mapping[str, tuple[str, str]]) -> DataFrame:

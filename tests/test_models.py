@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formbook import queries
+from formbook.operators import models
 from formbook.operators.models import Model, correlation_matrix, fit_linear, fit_models, prediction_errors, simple_fit
 
 
@@ -109,3 +110,32 @@ def test_models_of_all_groups_read_the_table_once(spark, folder):
     plan = queries.registered()["ols_by_season"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 4  # target games, fixtures, kicks and attempts of one table of games
     assert "lineitem" not in plan
+
+
+def test_many_correlations_are_split_over_rows(spark):
+    """Pairs count only where both are known; no aggregation holds more correlations than the JVM compiles together."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(1e6, 1.0, (300, 8)) + rng.normal(0, 1, (300, 1))
+    known = rng.random((300, 8)) > 0.1
+    names = list("abcdefgh")
+    df = spark.createDataFrame([tuple(float(v) if k else None for v, k in zip(r, m)) for r, m in zip(data, known)], ", ".join(f"{n} double" for n in names))
+    found = models.correlation_matrix(df, names)
+    got = {(r["row"], r["col"]): r["r"] for r in found.collect()}
+    assert len(got) == 64
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = known[:, i] & known[:, j]
+            assert got[a, b] == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert max(line.count("corr(") for line in plan.splitlines()) <= models.PAIRS_TOGETHER
+    assert models.correlation_matrix(df.limit(0), names).count() == 64
+    assert [tuple(r) for r in models.correlation_matrix(df, ["a"]).collect()] == [("a", "a", 1.0)]
+
+
+def test_a_stacked_column_that_nobody_reads_is_not_computed(spark):
+    from formbook.operators.sides import stack_sides
+
+    games = spark.range(5).selectExpr("id AS game_id", "id AS home_a", "-id AS away_a", "exp(id) AS home_b", "exp(-id) AS away_b")
+    sides = stack_sides(games, ["game_id"], {"a": ("home_a", "away_a"), "b": ("home_b", "away_b")})
+    assert sorted(tuple(r) for r in sides.collect())[:2] == [(0, "away", 0, 1.0), (0, "home", 0, 1.0)]
+    assert "EXP" not in sides.select("a")._jdf.queryExecution().executedPlan().toString().upper().replace("EXPLODE", "")
