@@ -32,22 +32,23 @@ def _answering(
     Rows come in order, block by block. The function and its helpers are nested, so they travel with the plan and workers need not
     have this package.
     """
-    step = max(256, 2 * int(np.prod(sizes) ** 0.5))
+    step = max(256, 4 * int(np.prod(sizes) ** 0.5))
     axes = range(len(sizes))
 
     def prefix_sums(grid: np.ndarray) -> np.ndarray:
-        """Totals of all cells before each corner; the last axis holds the measures."""
-        sums = np.zeros([n + 1 for n in sizes] + [len(totals)], np.int64)
-        for axis in axes:
-            grid = np.cumsum(grid, axis=axis)
-        sums[tuple(slice(1, None) for _ in axes)] = grid
+        """Totals of all cells before each corner; the first axis holds the measures."""
+        sums = np.zeros((len(totals), *[n + 1 for n in sizes]), np.int64)
+        inner = sums[(slice(None), *[slice(1, None) for _ in axes])]
+        np.cumsum(grid, axis=1, out=inner)
+        for axis in axes[1:]:
+            np.cumsum(inner, axis=axis + 1, out=inner)
         return sums
 
     def passed(prefix: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         found = np.zeros((len(low), len(totals)), np.int64)
         for ends in product((0, 1), repeat=len(sizes)):
             corner = tuple((high if end else low)[:, i] for i, end in enumerate(ends))
-            found += (-1) ** (len(ends) - sum(ends)) * prefix[corner]
+            found += (-1) ** (len(ends) - sum(ends)) * prefix[(slice(None), *corner)].T
         return found
 
     def near(points: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def _answering(
             cuts = sorted({*range(0, len(sign), step), *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(sign)})
             for start, stop in zip(cuts, cuts[1:]):
                 if blocks[start] != block:
-                    block, grid, prefix = blocks[start], np.zeros((*sizes, len(totals)), np.int64), None
+                    block, grid, prefix = blocks[start], np.zeros((len(totals), *sizes), np.int64), None
                 here = np.arange(start, stop)
                 points, ends = here[sign[start:stop] == 0], here[sign[start:stop] != 0]
                 if len(ends):
@@ -76,7 +77,8 @@ def _answering(
                     answer = passed(prefix, low[ends], high[ends]) + near(points, ends, low, high, values)
                     found[ends] = answer * sign[ends][:, None]
                 if len(points):
-                    np.add.at(grid, tuple(low[points].T), values[points])
+                    for i in range(len(totals)):
+                        np.add.at(grid[i], tuple(low[points].T), values[points, i])
                     prefix = None
             asked = sign != 0
             own = [batch.column(k).filter(pa.array(asked)) for k in keys]
