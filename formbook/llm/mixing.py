@@ -66,7 +66,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         if row["weight"] == weight or not row["weight"]:
             break
         free, weight = total - row["held"], row["weight"]
-        share = (F.lit(free) * F.col("_weight")).cast("double") / F.lit(float(weight))
+        # As doubles: a literal below 2**31 is an int, and its product with an int weight would overflow.
+        share = F.lit(float(free)) * F.col("_weight") / F.lit(float(weight))
         stopped = share > ceiling
     target = ceiling.cast("double") if weight is None else F.when(stopped, ceiling.cast("double")).otherwise(share)
     return ranked.select("_source", "source_size", target.alias("target"))

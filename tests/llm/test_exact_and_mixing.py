@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from formbook.llm.exact import exact_groups, without_copies
-from formbook.llm.mixing import mix, mixed
+from formbook.llm.mixing import mix, mixed, targets
 
 from .conftest import WORD, lower
 
@@ -96,3 +96,13 @@ def test_mixed_repeats_documents(odd, odd_docs, empty_docs):
 def test_mix_of_one_source_takes_all(spark):
     docs = spark.createDataFrame([(i, "w " * i, None) for i in range(20)], "doc_id long, text string, source string")
     assert all(r.times == 1 for r in mix(docs).collect() if r["size"])
+
+
+def test_targets_of_a_billion_words(spark):
+    """Words that fit 32 bits, times a weight that does not."""
+    words = {"a": 700_000_000, "b": 20_000_000, "c": 300_000_000, "d": 2_000_000, None: 100_000_000}
+    assert sum(words.values()) < 2**31 < 2 * sum(words.values())
+    rows = [("=" + s if s else "", s, size) for s, size in words.items()]
+    sizes = spark.createDataFrame(rows, "_source string, source string, source_size long")
+    found = {r["_source"][1:] or None: r.target for r in targets(sizes, (5, 2, 1), 3).collect()}
+    assert found == pytest.approx(fill(words, (5, 2, 1), 3))
