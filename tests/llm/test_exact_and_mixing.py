@@ -106,3 +106,9 @@ def test_targets_of_a_billion_words(spark):
     sizes = spark.createDataFrame(rows, "_source string, source string, source_size long")
     found = {r["_source"][1:] or None: r.target for r in targets(sizes, (5, 2, 1), 3).collect()}
     assert found == pytest.approx(fill(words, (5, 2, 1), 3))
+
+
+def test_large_weights_share_like_small_ones(odd_docs):
+    """Few words, times weights that leave 32 bits."""
+    large = (500_000_000, 200_000_000, 100_000_000)
+    assert as_rows(mix(odd_docs, weights=large)) == as_rows(mix(odd_docs))
